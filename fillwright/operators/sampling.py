@@ -75,8 +75,15 @@ def _prefix_ends(df: DataFrame, keys: list[str], seed: int, sizes: dict[str, Col
     return last_rows.agg(F.map_from_entries(entries)).scalar()
 
 
-def _in_prefix(ends: Column, name: str, keys: Sequence[str], seed: int) -> Column:
-    return F.coalesce(_place(keys, seed) <= F.try_element_at(ends, F.lit(name)), F.lit(False))
+def _with_place(df: DataFrame, keys: list[str], seed: int, sizes: dict[str, Column]) -> DataFrame:
+    """Add the row's place and the prefix ends, each computed once."""
+    ends = _prefix_ends(df, keys, seed, sizes)
+    return df.withColumn("_place", _place(keys, seed)).withColumn("_ends", ends)
+
+
+def _in_prefix(name: str) -> Column:
+    end = F.try_element_at("_ends", F.lit(name))
+    return F.coalesce(F.col("_place") <= end, F.lit(False))
 
 
 def sample_ratio(
@@ -84,8 +91,9 @@ def sample_ratio(
 ) -> DataFrame:
     """The first ``int(n * ratio)`` rows of the permutation, exactly that many."""
     keys = _as_list(keys)
-    ends = _prefix_ends(df, keys, seed, {"sample": F.floor(F.col("_n") * F.lit(float(ratio)))})
-    return df.filter(_in_prefix(ends, "sample", keys, seed))
+    sizes = {"sample": F.floor(F.col("_n") * F.lit(float(ratio)))}
+    placed = _with_place(df, keys, seed, sizes)
+    return placed.filter(_in_prefix("sample")).drop("_place", "_ends")
 
 
 def nested_subsets(
@@ -100,11 +108,11 @@ def nested_subsets(
     """
     keys = _as_list(keys)
     sizes = {str(r): F.floor(F.col("_n") * F.lit(float(r))) for r in ratios}
-    ends = _prefix_ends(df, keys, seed, sizes)
-    tags = [
-        F.when(_in_prefix(ends, str(r), keys, seed), F.lit(percent_of(r))) for r in ratios
-    ]
-    return df.withColumn("pct", F.explode(F.array_compact(F.array(*tags))))
+    tags = [F.when(_in_prefix(str(r)), F.lit(percent_of(r))) for r in ratios]
+    placed = _with_place(df, keys, seed, sizes)
+    return placed.withColumn("pct", F.explode(F.array_compact(F.array(*tags)))).drop(
+        "_place", "_ends"
+    )
 
 
 def train_eval_split(
@@ -119,10 +127,9 @@ def train_eval_split(
         size = F.ceil(F.col("_n") * F.lit(float(eval_size)))
     else:
         size = F.least(F.lit(int(eval_size)), F.col("_n"))
-    ends = _prefix_ends(df, keys, seed, {"eval": size})
-    return df.withColumn(
-        "split", F.when(_in_prefix(ends, "eval", keys, seed), "eval").otherwise("train")
-    )
+    placed = _with_place(df, keys, seed, {"eval": size})
+    side = F.when(_in_prefix("eval"), "eval").otherwise("train")
+    return placed.withColumn("split", side).drop("_place", "_ends")
 
 
 def mix_merged(

@@ -78,34 +78,34 @@ def exact_match(
     both sides hold the same answer, the product of the counts is the number of
     correct pairs. Both steps combine on the map side, so a task with a third of
     all completions, or one answer given a billion times, stays a few rows.
+    ``by`` groups the score by columns of the truth, which then has one row a task.
     """
     sides = truth.select(
         key,
         normalise_answer(truth_col).alias("_answer"),
         F.lit(1).alias("_truth"),
         F.lit(0).alias("_pred"),
-        *by,
     ).unionByName(
         pred.select(
             key,
             normalise_answer(pred_col).alias("_answer"),
             F.lit(0).alias("_truth"),
             F.lit(1).alias("_pred"),
-        ),
-        allowMissingColumns=True,
+        )
     )
-    groups = [F.max(c).alias(c) for c in by]
     per_answer = sides.groupBy(key, "_answer").agg(
-        F.sum("_truth").alias("_truth"), F.sum("_pred").alias("_pred"), *groups
+        F.sum("_truth").alias("_truth"), F.sum("_pred").alias("_pred")
     )
     hits = F.when(F.col("_answer").isNotNull(), F.col("_truth") * F.col("_pred")).otherwise(0)
     per_task = per_answer.groupBy(key).agg(
         F.sum(hits).alias("_hits"),
         F.sum("_truth").alias("_truth"),
         F.sum("_pred").alias("_pred"),
-        *groups,
     )
     scored = per_task.filter(F.col("_truth") > 0)
+    if by:
+        # joined to the per-task numbers, so the aggregates stay on integers
+        scored = scored.join(truth.select(key, *by), key)
     pairs = F.col("_truth") * F.greatest(F.col("_pred"), F.lit(1))
     return _ratio(
         scored.groupBy(*by).agg(

@@ -16,6 +16,7 @@ from fillwright.functions.tokens import (
     pad_right,
 )
 from fillwright.operators.contracts import checked
+from fillwright.operators.ordering import chunk
 
 MAX_TRAINING_SEQ_LENGTH = 1216  # fixed value: default sequence limit
 
@@ -42,6 +43,17 @@ def sft_truncate(ids: Column | str, max_length: int) -> Column:
     return F.slice(_col(ids), 1, max_length)
 
 
+def _prompt(template: str) -> Column:
+    return render_template(template, instruction=F.col("problem"), response=F.lit(""))
+
+
+def _pair_length(prompt: Column | str, tokenizer: Tokenizer) -> Column:
+    """Ids of prompt and completion together, before the cut."""
+    return encoded_length(prompt, tokenizer, add_bos=True) + encoded_length(
+        "solution", tokenizer, add_eos=True
+    )
+
+
 def sft_map(
     pairs: DataFrame,
     template: str,
@@ -54,21 +66,17 @@ def sft_map(
     One projection, no shuffle. The flag comes from the full lengths; the ids
     are then built only as far as the limit keeps them.
     """
-    prompt = render_template(template, instruction=F.col("problem"), response=F.lit(""))
-    total = encoded_length("_prompt", tokenizer, add_bos=True) + encoded_length(
-        "solution", tokenizer, add_eos=True
-    )
     # nothing past the limit survives the cut, so no text is expanded past it;
     # an end id that moves forward by this still lies beyond the limit
     prompt_ids = encode("_prompt", tokenizer, add_bos=True, truncation=max_length)
     completion_ids = encode("solution", tokenizer, add_eos=True, truncation=max_length)
     return (
-        pairs.select(*keep, "solution", prompt.alias("_prompt"))
+        pairs.select(*keep, "solution", _prompt(template).alias("_prompt"))
         .select(
             *keep,
             prompt_ids.alias("_p"),
             completion_ids.alias("_c"),
-            (total > max_length).alias("exceeding_length"),
+            (_pair_length("_prompt", tokenizer) > max_length).alias("exceeding_length"),
         )
         .select(
             *keep,
@@ -87,17 +95,15 @@ def count_truncated(examples: DataFrame) -> DataFrame:
     )
 
 
-def batch_max_length(
-    df: DataFrame, ids: str = "input_ids", width_col: str = "width"
-) -> DataFrame:
-    """Add the longest sequence of the row's batch.
+def batch_max_length(df: DataFrame, length: Column, width_col: str = "width") -> DataFrame:
+    """Add the largest ``length`` of the row's batch.
 
     A batch has as many rows as its chunk size, so the window stays small; it
-    costs one shuffle, where an aggregate joined back would compute the
-    sequences twice.
+    costs one shuffle, where an aggregate joined back would compute the rows
+    twice.
     """
     batch = Window.partitionBy("batch_id")
-    return df.withColumn(width_col, F.max(F.size(ids)).over(batch))
+    return df.withColumn(width_col, F.max(length).over(batch))
 
 
 def collate(
@@ -108,12 +114,15 @@ def collate(
 ) -> DataFrame:
     """Pad ids and labels of every batch to one width and add the mask.
 
-    Takes ``batch_id`` from ``chunk``. Padding to the limit needs no shuffle.
+    Takes ``batch_id`` from ``chunk``, and ``width`` where it is known already.
+    Padding to the limit needs no shuffle.
     """
     if pad_to_max_length:
         wide = df.withColumn("width", F.lit(max_length))
+    elif "width" in df.columns:
+        wide = df
     else:
-        wide = batch_max_length(df)
+        wide = batch_max_length(df, F.size("input_ids"))
     width = checked(F.col("width"), F.col("width") <= max_length, "a batch is wider than the limit")
     return (
         wide.withColumn("width", width)
@@ -123,7 +132,32 @@ def collate(
     )
 
 
+def sft_batches(
+    pairs: DataFrame,
+    template: str,
+    tokenizer: Tokenizer,
+    rows: int,
+    max_length: int = MAX_TRAINING_SEQ_LENGTH,
+    pad_to_max_length: bool = False,
+    order: str = "ord",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Ordered pairs to padded batches of ``rows``: chunk, tokenize, collate.
+
+    The batch width follows from text lengths, so the shuffle that gathers a
+    batch carries text; ids and labels, eight times its size, are built after.
+    """
+    batches = chunk(pairs, rows, order)
+    known = ("batch_id",)
+    if not pad_to_max_length:
+        length = F.least(_pair_length(_prompt(template), tokenizer), F.lit(max_length))
+        batches = batch_max_length(batches, length)
+        known = ("batch_id", "width")
+    examples = sft_map(batches, template, tokenizer, max_length, keep=(*keep, *known))
+    return collate(examples, tokenizer.pad_token_or_eos, max_length, pad_to_max_length)
+
+
 def left_pad_batch(df: DataFrame, ids: str, pad_id: int) -> DataFrame:
     """Left-pad every batch to its longest row, for batched generation."""
-    wide = batch_max_length(df, ids)
+    wide = batch_max_length(df, F.size(ids))
     return wide.withColumn(ids, pad_left(ids, F.col("width"), pad_id))

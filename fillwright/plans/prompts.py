@@ -38,6 +38,7 @@ from fillwright.plans.views import (
     MODEL_SQL,
     TEMPLATE,
     WS_SQL,
+    documents,
     infill_tasks,
     model_key,
     sql_text,
@@ -188,7 +189,7 @@ def _assert_prompt(spark, sf_dir):
         WHEN 2 THEN concat('head \"\"\"\n', text, '.\n', {_ASSERT}, '\n\"\"\" tail')
         ELSE concat('\"\"\"\n', text, '\n', {_ASSERT}, '\n\"\"\"') END"""
     )
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select(F.col("doc_id").alias("task_id"), prompt.alias("prompt"))
 
 
@@ -218,7 +219,7 @@ def q_map_docstring_assert(spark, sf_dir):
 )
 def q_map_function(spark, sf_dir):
     prompt = F.concat(F.lit("\n"), "text", F.lit(" "))
-    tasks = table(spark, sf_dir, "documents").select(
+    tasks = documents(spark, sf_dir).select(
         F.col("doc_id").alias("task_id"), prompt.alias("prompt")
     )
     return map_function_prompt(tasks).select(
@@ -242,7 +243,7 @@ _INSTRUCT = "('Explain. ' || text || ' ')"
 )
 def q_map_two_mode(spark, sf_dir):
     head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\ndef f():\n"), "text"))
-    tasks = table(spark, sf_dir, "documents").select(
+    tasks = documents(spark, sf_dir).select(
         F.col("doc_id").alias("task_id"),
         head.otherwise(F.col("text")).alias("complete_prompt"),
         F.concat(F.lit("Explain. "), "text", F.lit(" ")).alias("instruct_prompt"),
@@ -265,7 +266,7 @@ _DS_LEAD = f"{sql_text(DATA_SCIENCE_SENTENCE + chr(10))} || {_BLOCK}"
 )
 def q_map_ds_fewshot(spark, sf_dir):
     head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\ndef f():\n"), "text"))
-    tasks = table(spark, sf_dir, "documents").select(
+    tasks = documents(spark, sf_dir).select(
         F.col("doc_id").alias("task_id"), head.otherwise(F.col("text")).alias("prompt")
     )
     return map_ds_fewshot(tasks, EXAMPLES).select(

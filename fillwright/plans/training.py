@@ -21,9 +21,9 @@ from fillwright.operators.models import (
 )
 from fillwright.operators.ordering import chunk, seeded_shuffle
 from fillwright.operators.sft import (
-    collate,
     count_truncated,
     left_pad_batch,
+    sft_batches,
     sft_map,
 )
 from fillwright.plans.catalogue import query
@@ -35,6 +35,7 @@ from fillwright.plans.views import (
     bytes_sql,
     csv_text,
     document_pairs,
+    documents,
     model_key,
     sft_pairs,
     table,
@@ -60,7 +61,7 @@ def _csv(array: str) -> str:
 def q_encode_bytes(spark, sf_dir):
     ids = encode("text", TOKENS, add_bos=True, add_eos=True)
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(F.col("doc_id").alias("id"), ids.alias("ids"))
         .select("id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(csv_text("ids")).alias("md5_ids"))
     )
@@ -74,7 +75,7 @@ def q_encode_truncated(spark, sf_dir):
     # the limit applies to the text's own ids; begin and end come on top
     ids = encode("text", TOKENS, add_bos=True, add_eos=True, truncation=LIMIT)
     full = encoded_length("text", TOKENS, add_bos=True, add_eos=True)
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         full.cast("bigint").alias("n_full"),
         F.md5(csv_text(ids)).alias("md5_ids"),
@@ -93,7 +94,7 @@ def q_encode_function(spark, sf_dir):
         lambda rows: ["".join(chr(i) for i in row) for row in rows],
     )
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(F.col("doc_id").alias("id"), encode("text", points).alias("ids"))
         .select("id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(csv_text("ids")).alias("md5_ids"))
     )
@@ -104,7 +105,7 @@ def q_decode_roundtrip(spark, sf_dir):
     ids = encode("text", TOKENS, add_bos=True, add_eos=True)
     back = decode("ids", TOKENS)
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(F.col("doc_id").alias("id"), "text", ids.alias("ids"))
         .select("id", "text", back.alias("back"))
         .select("id", F.md5("back").alias("md5_text"), (F.col("back") == F.col("text")).alias("same"))
@@ -116,7 +117,7 @@ def q_decode_roundtrip(spark, sf_dir):
 )
 def q_drop_special_ids(spark, sf_dir):
     ids = F.concat(encode("text", TOKENS, add_bos=True, add_eos=True), F.array(F.lit(258)))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), F.md5(csv_text(drop_special_ids(ids, TOKENS))).alias("md5_ids")
     )
 
@@ -178,9 +179,12 @@ v_wide AS (SELECT *, CAST(max(len(input_ids)) OVER (PARTITION BY batch_id) AS IN
 """
 
 
-def _examples(spark, sf_dir):
-    examples = sft_map(sft_pairs(spark, sf_dir), PAIR_TEMPLATE, TOKENS, LIMIT, keep=("id",))
-    return chunk(seeded_shuffle(examples, "id"), ROWS)
+def _batches(spark, sf_dir, tokenizer, pad_to_max_length=False):
+    # ordered while the rows are still text
+    pairs = seeded_shuffle(sft_pairs(spark, sf_dir), "id")
+    return sft_batches(
+        pairs, PAIR_TEMPLATE, tokenizer, ROWS, LIMIT, pad_to_max_length, keep=("id",)
+    )
 
 
 def _padded_sql(width: str, pad: int) -> str:
@@ -203,14 +207,13 @@ def _flat(batches):
 
 @query(_BATCHED + f"SELECT batch_id, id, width, {_padded_sql('width', 258)} FROM v_wide")
 def q_collate(spark, sf_dir):
-    return _flat(collate(_examples(spark, sf_dir), TOKENS.pad_token_or_eos, LIMIT))
+    return _flat(_batches(spark, sf_dir, TOKENS))
 
 
 @query(_BATCHED + f"SELECT batch_id, id, {LIMIT} AS width, {_padded_sql(str(LIMIT), 257)} FROM v_wide")
 def q_collate_to_max(spark, sf_dir):
     # no pad id: padding is the end id, and the mask hides real end ids as well
-    pad = byte_tokenizer(pad_id=None).pad_token_or_eos
-    return _flat(collate(_examples(spark, sf_dir), pad, LIMIT, pad_to_max_length=True))
+    return _flat(_batches(spark, sf_dir, byte_tokenizer(pad_id=None), pad_to_max_length=True))
 
 
 @query(
@@ -219,7 +222,9 @@ def q_collate_to_max(spark, sf_dir):
     AS ids_csv FROM v_wide"""
 )
 def q_pad_left(spark, sf_dir):
-    padded = left_pad_batch(_examples(spark, sf_dir), "input_ids", 258)
+    ordered = chunk(seeded_shuffle(sft_pairs(spark, sf_dir), "id"), ROWS)
+    examples = sft_map(ordered, PAIR_TEMPLATE, TOKENS, LIMIT, keep=("id", "batch_id"))
+    padded = left_pad_batch(examples, "input_ids", TOKENS.pad_token_or_eos)
     return padded.select("batch_id", "id", csv_text("input_ids").alias("ids_csv"))
 
 
@@ -229,7 +234,7 @@ def q_pad_left(spark, sf_dir):
 )
 def q_attention_mask(spark, sf_dir):
     # the blank as pad id: every blank of the text is masked
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         csv_text(attention_mask(encode("text", TOKENS), 32)).alias("mask_csv"),
     )
@@ -244,7 +249,7 @@ def q_attention_mask(spark, sf_dir):
     CASE WHEN used >= ctx THEN 1 ELSE 0 END AS rejected FROM j"""
 )
 def q_token_budget(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id",
         model_key().alias("model_key"),
         encoded_length("text", TOKENS, add_bos=True).alias("used"),

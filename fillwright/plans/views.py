@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fillwright.functions.text import MARKER, WHITESPACE
 from fillwright.operators.models import MODELS
+from fillwright.session import spread
 
 WS_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all task slots: for work that is heavy per text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def csv_text(ids: str | Column) -> Column:
     """An array as comma-joined text, for comparing results."""
     c = F.col(ids) if isinstance(ids, str) else ids
@@ -56,7 +62,7 @@ def sql_text(value: str) -> str:
 def infill_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, cut, k = F.col("text"), F.col("_cut"), F.col("_k")
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select("doc_id", "lang", "text")
         .withColumn("_cut", F.expr("cast(char_length(text) div 3 as int)"))
         .withColumn("_k", F.least(F.lit(40), F.char_length(text) - cut))
@@ -151,7 +157,7 @@ v_sft AS (
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first third of a document and the rest of it."""
     cut = F.expr("cast(char_length(text) div 3 as int)")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         F.substr("text", F.lit(1), cut).alias("problem"),
         F.substr("text", cut + 1).alias("solution"),
