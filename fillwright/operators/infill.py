@@ -111,8 +111,9 @@ def infill_for_model(
     fmt = F.col("fim_format")
     expr = None
     for name, build in FORMATS.items():
-        prompt = fim_by_token_ids(vocabulary) if vocabulary is not None and name == "dscoder" else build()
+        by_id = vocabulary is not None and name == "dscoder"
+        prompt = fim_by_token_ids(vocabulary) if by_id else build()
         expr = F.when(fmt == name, prompt) if expr is None else expr.when(fmt == name, prompt)
     return joined.withColumn("infill_prompt", expr).withColumn(
-        REASON, reason_when((F.col("infill_prompt").isNull(), "model has no infill format"))
+        REASON, reason_when((fmt.isNull(), "model has no infill format"))
     )

@@ -157,7 +157,22 @@ def sft_batches(
     return collate(examples, tokenizer.pad_token_or_eos, max_length, pad_to_max_length)
 
 
-def left_pad_batch(df: DataFrame, ids: str, pad_id: int) -> DataFrame:
-    """Left-pad every batch to its longest row, for batched generation."""
-    wide = batch_max_length(df, F.size(ids))
-    return wide.withColumn(ids, pad_left(ids, F.col("width"), pad_id))
+def encode_with_padding(
+    df: DataFrame,
+    text: str,
+    tokenizer: Tokenizer,
+    side: str = "left",
+    add_bos: bool = False,
+    add_eos: bool = False,
+    ids_col: str = "input_ids",
+) -> DataFrame:
+    """Encode a text and pad it to the longest of its batch; padding on the left
+    is what batched generation needs. The batch is gathered as text."""
+    if side not in ("left", "right"):
+        raise ValueError(f"unknown padding side: {side}")
+    pad = pad_left if side == "left" else pad_right
+    wide = batch_max_length(df, encoded_length(text, tokenizer, add_bos, add_eos))
+    ids = encode(text, tokenizer, add_bos, add_eos)
+    return wide.withColumn(ids_col, ids).withColumn(
+        ids_col, pad(ids_col, F.col("width"), tokenizer.pad_token_or_eos)
+    )

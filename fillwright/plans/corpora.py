@@ -25,7 +25,7 @@ from fillwright.operators.sampling import (
 from fillwright.plans.catalogue import query
 from fillwright.plans.views import PAIR_SQL, sft_pairs, table, with_sql
 
-_RANKED = """
+RANKED_SQL = """
 v_rank AS (
   SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rank,
          count(*) OVER () AS n FROM documents)"""
@@ -45,7 +45,7 @@ def q_key_ordinal(spark, sf_dir):
     return with_key_ordinal(_documents(spark, sf_dir, "doc_id", "lang"), ["lang", "doc_id"])
 
 
-@query(with_sql(_RANKED) + "SELECT doc_id, rank FROM v_rank")
+@query(with_sql(RANKED_SQL) + "SELECT doc_id, rank FROM v_rank")
 def q_exact_rank(spark, sf_dir):
     return exact_rank(_documents(spark, sf_dir), "doc_id")
 
@@ -61,7 +61,7 @@ def q_seeded_shuffle(spark, sf_dir):
 
 
 @query(
-    with_sql(_RANKED)
+    with_sql(RANKED_SQL)
     + """SELECT doc_id, md5(text) AS md5_text FROM documents JOIN v_rank USING (doc_id)
     WHERE rank <= floor(n * CAST(0.29 AS DOUBLE))"""
 )
@@ -71,7 +71,7 @@ def q_sample_ratio(spark, sf_dir):
 
 
 @query(
-    with_sql(_RANKED)
+    with_sql(RANKED_SQL)
     + " UNION ALL ".join(
         f"SELECT {percent_of(r)} AS pct, doc_id FROM v_rank WHERE rank <= floor(n * CAST({r} AS DOUBLE))"
         for r in RATIOS
@@ -82,7 +82,7 @@ def q_nested_subsets(spark, sf_dir):
 
 
 @query(
-    with_sql(_RANKED)
+    with_sql(RANKED_SQL)
     + """SELECT CASE WHEN rank <= ceil(n * CAST(0.05 AS DOUBLE)) THEN 'eval' ELSE 'train' END AS split,
     count(*) AS n FROM v_rank GROUP BY 1"""
 )

@@ -26,25 +26,25 @@ from fillwright.plans.views import (
 )
 
 _SAME = f"trim(ground_truth, {WS_SQL}) = trim(completion, {WS_SQL})"
-_COUNTS = f"""count(*) AS n, CAST(sum(CASE WHEN {_SAME} THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+COUNTS_SQL = f"""count(*) AS n, CAST(sum(CASE WHEN {_SAME} THEN 1 ELSE 0 END) AS BIGINT) AS correct,
   CAST(sum(CASE WHEN {_SAME} THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS em"""
-_PAIRED = "FROM v_infill LEFT JOIN v_pred USING (task_id)"
+PAIRED_SQL = "FROM v_infill LEFT JOIN v_pred USING (task_id)"
 _SAMPLED = "FROM v_infill LEFT JOIN v_samples USING (task_id)"
 
 
-@query(with_sql(INFILL_SQL, PREDICTION_SQL) + f"SELECT {_COUNTS} {_PAIRED}")
+@query(with_sql(INFILL_SQL, PREDICTION_SQL) + f"SELECT {COUNTS_SQL} {PAIRED_SQL}")
 def q_exact_match(spark, sf_dir):
     tasks = infill_tasks(spark, sf_dir)
     return exact_match(tasks, predictions(tasks))
 
 
-@query(with_sql(INFILL_SQL, PREDICTION_SQL) + f"SELECT lang, {_COUNTS} {_PAIRED} GROUP BY lang")
+@query(with_sql(INFILL_SQL, PREDICTION_SQL) + f"SELECT lang, {COUNTS_SQL} {PAIRED_SQL} GROUP BY lang")
 def q_exact_match_by_lang(spark, sf_dir):
     tasks = infill_tasks(spark, sf_dir)
     return exact_match(tasks, predictions(tasks), by=["lang"])
 
 
-@query(with_sql(INFILL_SQL, PREDICTION_SQL, SAMPLED_SQL) + f"SELECT {_COUNTS} {_SAMPLED}")
+@query(with_sql(INFILL_SQL, PREDICTION_SQL, SAMPLED_SQL) + f"SELECT {COUNTS_SQL} {_SAMPLED}")
 def q_exact_match_samples(spark, sf_dir):
     tasks = infill_tasks(spark, sf_dir)
     return exact_match(tasks, sampled_predictions(tasks))
@@ -76,7 +76,7 @@ def q_unpaired_predictions(spark, sf_dir):
     with_sql(INFILL_SQL, PREDICTION_SQL)
     + f""", t AS (SELECT ground_truth, row_number() OVER (ORDER BY doc_id) AS i FROM v_infill),
     p AS (SELECT completion, row_number() OVER (ORDER BY doc_id) AS i FROM v_pred)
-    SELECT {_COUNTS} FROM t JOIN p USING (i)"""
+    SELECT {COUNTS_SQL} FROM t JOIN p USING (i)"""
 )
 def q_pair_position(spark, sf_dir):
     tasks = infill_tasks(spark, sf_dir)

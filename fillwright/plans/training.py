@@ -22,7 +22,7 @@ from fillwright.operators.models import (
 from fillwright.operators.ordering import chunk, seeded_shuffle
 from fillwright.operators.sft import (
     count_truncated,
-    left_pad_batch,
+    encode_with_padding,
     sft_batches,
     sft_map,
 )
@@ -216,15 +216,20 @@ def q_collate_to_max(spark, sf_dir):
     return _flat(_batches(spark, sf_dir, byte_tokenizer(pad_id=None), pad_to_max_length=True))
 
 
+_PROMPT_IDS = f"[256] || {bytes_sql('problem')}"
+
+
 @query(
-    _BATCHED
-    + f"""SELECT batch_id, id, {_csv("list_transform(range(width - len(input_ids)), lambda x: 258) || input_ids")}
-    AS ids_csv FROM v_wide"""
+    with_sql(PAIR_SQL)
+    + f""", b AS (SELECT id, {_PROMPT_IDS} AS ids,
+      (row_number() OVER (ORDER BY md5('42:' || id), id) - 1) // {ROWS} AS batch_id FROM v_sft),
+    w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM b)
+    SELECT batch_id, id, {_csv("list_transform(range(width - len(ids)), lambda x: 258) || ids")}
+    AS ids_csv FROM w"""
 )
 def q_pad_left(spark, sf_dir):
-    ordered = chunk(seeded_shuffle(sft_pairs(spark, sf_dir), "id"), ROWS)
-    examples = sft_map(ordered, PAIR_TEMPLATE, TOKENS, LIMIT, keep=("id", "batch_id"))
-    padded = left_pad_batch(examples, "input_ids", TOKENS.pad_token_or_eos)
+    batches = chunk(seeded_shuffle(sft_pairs(spark, sf_dir), "id"), ROWS)
+    padded = encode_with_padding(batches, "problem", TOKENS, add_bos=True)
     return padded.select("batch_id", "id", csv_text("input_ids").alias("ids_csv"))
 
 

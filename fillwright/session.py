@@ -54,14 +54,13 @@ def scratch_dir(spark: SparkSession) -> str:
     A machine-local folder is made only when the session runs in local mode and
     names none; on a cluster the setting is required.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.getCheckpointDir():
-        named = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="fillwright-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fillwright-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 

@@ -8,7 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fillwright.operators.sampling import RATIOS, SEED, percent_of, sample_ratio
+from fillwright.operators.sampling import (
+    RATIOS,
+    SEED,
+    nested_subsets,
+    percent_of,
+    sample_ratio,
+)
 
 
 def _write(df: DataFrame, path: str) -> str:
@@ -39,16 +45,23 @@ def write_solutions(df: DataFrame, path: str, dataset: str) -> str:
     return _write(df.select(F.col("id").alias("task_id"), "code"), path)
 
 
+def write_subset(
+    df: DataFrame, prefix: str, keys: Sequence[str] | str, ratio: float, seed: int = SEED
+) -> str:
+    """The sample of one ratio, named by its whole percent: a filtered scan,
+    without a shuffle of the rows."""
+    sample = sample_ratio(df, keys, ratio, seed)
+    return _write(sample, f"{prefix}_{percent_of(ratio)}pct.jsonl")
+
+
 def write_subsets(
     df: DataFrame,
-    prefix: str,
+    folder: str,
     keys: Sequence[str] | str,
     ratios: Sequence[float] = RATIOS,
     seed: int = SEED,
-) -> list[str]:
-    """One output per ratio, named by its whole percent. Each is a filtered scan
-    of the table, without a shuffle of its rows."""
-    return [
-        _write(sample_ratio(df, keys, ratio, seed), f"{prefix}_{percent_of(ratio)}pct.jsonl")
-        for ratio in ratios
-    ]
+) -> str:
+    """All nested subsets from one scan, a ``pct=...`` folder for each."""
+    tagged = nested_subsets(df, keys, ratios, seed)
+    tagged.write.mode("overwrite").partitionBy("pct").json(folder, ignoreNullFields=False)
+    return folder
