@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fillwright.functions.text import _col
 
@@ -84,11 +85,11 @@ def function_tokenizer(
     are computed for the whole text, then cut.
     """
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def to_ids(texts: pa.Array) -> pa.Array:
         return pa.array(encode(texts.to_pylist()), pa.list_(pa.int32()))
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def to_text(rows: pa.Array) -> pa.Array:
         return pa.array(decode(rows.to_pylist()), pa.string())
 
