@@ -20,8 +20,9 @@ from fillwright.session import write_through
 # fifteen million to a bucket. Rows spread evenly because keys are unique.
 BUCKET_DIGITS = 4
 
-# Largest offset table that is broadcast; beyond it Spark chooses the join.
-BROADCAST_ROWS = 1 << 18
+# Largest offset table that is broadcast, about 150 MB with long file names;
+# beyond it Spark chooses the join.
+BROADCAST_ROWS = 1 << 20
 
 
 def shuffle_hash(seed: int, *keys: str) -> Column:
@@ -43,18 +44,25 @@ def bucket_table(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
 
 
 def exact_rank(
-    df: DataFrame, keys: Sequence[str] | str, seed: int = 42, rank_col: str = "rank"
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    seed: int = 42,
+    rank_col: str = "rank",
+    unique: bool = True,
 ) -> DataFrame:
     """1-based position of every row in the seeded permutation.
 
-    ``keys`` must identify a row; add columns, or number the rows with
-    :func:`with_file_ordinal`, where they do not. Costs one shuffle of the rows,
-    by bucket, and a broadcast of at most 65,536 offsets.
+    Where ``keys`` identify a row, this costs one shuffle of the rows, by hash
+    bucket, and a broadcast of at most 65,536 offsets. With ``unique=False`` keys
+    may repeat in any number of rows: the rows are then sorted by range, which
+    cuts a repeated key into many partitions, and written once.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hashed = df.withColumn("_hash", shuffle_hash(seed, *keys)).withColumn(
-        "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
-    )
+    hashed = df.withColumn("_hash", shuffle_hash(seed, *keys))
+    if not unique:
+        numbered = with_key_ordinal(hashed, ["_hash", *keys], "_ord")
+        return numbered.withColumn(rank_col, F.col("_ord") + 1).drop("_hash", "_ord")
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     inside = Window.partitionBy("_bucket").orderBy("_hash", *keys)
     numbered = hashed.withColumn("_inside", F.row_number().over(inside))
     offsets = bucket_table(df, keys, seed).select("_bucket", "_before")
@@ -66,10 +74,15 @@ def exact_rank(
 
 
 def seeded_shuffle(
-    df: DataFrame, keys: Sequence[str] | str, seed: int = 42, ord_col: str = "ord"
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    seed: int = 42,
+    ord_col: str = "ord",
+    unique: bool = True,
 ) -> DataFrame:
     """The permutation as a 0-based order column, the same for the same seed."""
-    return exact_rank(df, keys, seed, "_rank").withColumn(ord_col, F.col("_rank") - 1).drop("_rank")
+    ranked = exact_rank(df, keys, seed, "_rank", unique)
+    return ranked.withColumn(ord_col, F.col("_rank") - 1).drop("_rank")
 
 
 def _number_blocks(

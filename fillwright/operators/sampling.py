@@ -17,6 +17,7 @@ from fillwright.operators.ordering import (
     BUCKET_DIGITS,
     bucket_table,
     exact_rank,
+    seeded_shuffle,
     shuffle_hash,
 )
 
@@ -69,31 +70,45 @@ def _prefix_ends(df: DataFrame, keys: list[str], seed: int, sizes: dict[str, Col
         .filter(F.col("_at") == F.col("_need"))
     )
     tied = F.col("_next").eqNullSafe(F.col("_place"))
-    message = F.lit("subset keys repeat at the cut; add columns that identify a row")
+    message = F.lit("keys repeat at the cut of a subset; pass unique=False")
     place = F.when(tied, F.raise_error(message)).otherwise(F.col("_place"))
     entries = F.collect_list(F.struct(F.col("name"), place))
     return last_rows.agg(F.map_from_entries(entries)).scalar()
 
 
-def _with_place(df: DataFrame, keys: list[str], seed: int, sizes: dict[str, Column]) -> DataFrame:
-    """Add the row's place and the prefix ends, each computed once."""
-    ends = _prefix_ends(df, keys, seed, sizes)
-    return df.withColumn("_place", _place(keys, seed)).withColumn("_ends", ends)
-
-
-def _in_prefix(name: str) -> Column:
-    end = F.try_element_at("_ends", F.lit(name))
-    return F.coalesce(F.col("_place") <= end, F.lit(False))
+def _with_members(
+    df: DataFrame, keys: list[str], seed: int, sizes: dict[str, Column], unique: bool
+) -> DataFrame:
+    """Add ``_in``, a struct that tells for each prefix whether the row is in it."""
+    if unique:
+        ends = _prefix_ends(df, keys, seed, sizes)
+        placed = df.withColumn("_place", _place(keys, seed)).withColumn("_ends", ends)
+        tests = {
+            name: F.coalesce(F.col("_place") <= F.try_element_at("_ends", F.lit(name)), F.lit(False))
+            for name in sizes
+        }
+    else:
+        ranked = exact_rank(df, keys, seed, "_place", unique=False)
+        placed = ranked.withColumn("_n", ranked.agg(F.count("*")).scalar())
+        tests = {name: F.col("_place") <= size for name, size in sizes.items()}
+    members = F.struct(*[test.alias(name) for name, test in tests.items()])
+    return placed.withColumn("_in", members).select(*[f"`{c}`" for c in df.columns], "_in")
 
 
 def sample_ratio(
-    df: DataFrame, keys: Sequence[str] | str, ratio: float, seed: int = SEED
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    ratio: float,
+    seed: int = SEED,
+    unique: bool = True,
 ) -> DataFrame:
-    """The first ``int(n * ratio)`` rows of the permutation, exactly that many."""
-    keys = _as_list(keys)
+    """The first ``int(n * ratio)`` rows of the permutation, exactly that many.
+
+    ``unique=False`` allows keys that repeat, at the cost of ranking all rows.
+    """
     sizes = {"sample": F.floor(F.col("_n") * F.lit(float(ratio)))}
-    placed = _with_place(df, keys, seed, sizes)
-    return placed.filter(_in_prefix("sample")).drop("_place", "_ends")
+    marked = _with_members(df, _as_list(keys), seed, sizes, unique)
+    return marked.filter(F.col("_in.sample")).drop("_in")
 
 
 def nested_subsets(
@@ -101,18 +116,17 @@ def nested_subsets(
     keys: Sequence[str] | str,
     ratios: Sequence[float] = RATIOS,
     seed: int = SEED,
+    unique: bool = True,
 ) -> DataFrame:
     """Every row once per subset it belongs to, tagged with ``pct``.
 
     All ratios share one permutation, so a smaller subset lies inside a larger.
     """
-    keys = _as_list(keys)
-    sizes = {str(r): F.floor(F.col("_n") * F.lit(float(r))) for r in ratios}
-    tags = [F.when(_in_prefix(str(r)), F.lit(percent_of(r))) for r in ratios]
-    placed = _with_place(df, keys, seed, sizes)
-    return placed.withColumn("pct", F.explode(F.array_compact(F.array(*tags)))).drop(
-        "_place", "_ends"
-    )
+    names = {f"r{i}": float(r) for i, r in enumerate(ratios)}
+    sizes = {name: F.floor(F.col("_n") * F.lit(r)) for name, r in names.items()}
+    tags = [F.when(F.col("_in")[name], F.lit(percent_of(r))) for name, r in names.items()]
+    marked = _with_members(df, _as_list(keys), seed, sizes, unique)
+    return marked.withColumn("pct", F.explode(F.array_compact(F.array(*tags)))).drop("_in")
 
 
 def train_eval_split(
@@ -120,30 +134,33 @@ def train_eval_split(
     keys: Sequence[str] | str,
     eval_size: float = EVAL_SIZE,
     seed: int = SEED,
+    unique: bool = True,
 ) -> DataFrame:
     """Tag rows ``eval`` or ``train``; a size up to 1 is a ratio, above a count."""
-    keys = _as_list(keys)
     if eval_size <= 1:
         size = F.ceil(F.col("_n") * F.lit(float(eval_size)))
     else:
         size = F.least(F.lit(int(eval_size)), F.col("_n"))
-    placed = _with_place(df, keys, seed, {"eval": size})
-    side = F.when(_in_prefix("eval"), "eval").otherwise("train")
-    return placed.withColumn("split", side).drop("_place", "_ends")
+    marked = _with_members(df, _as_list(keys), seed, {"eval": size}, unique)
+    side = F.when(F.col("_in.eval"), "eval").otherwise("train")
+    return marked.withColumn("split", side).drop("_in")
 
 
 def mix_merged(
-    sources: dict[str, DataFrame], key: str, seed: int | None = None
+    sources: dict[str, DataFrame],
+    key: str,
+    seed: int | None = None,
+    unique: bool = True,
 ) -> DataFrame:
     """Several corpora as one table, with ``source`` and ``source_ord``.
 
-    With a seed the merged rows also get ``ord``, one permutation over all.
+    With a seed the merged rows also get ``ord``, one permutation over all; the
+    key has to identify a row inside its corpus only.
     """
     merged = _tagged(sources, "source_ord")
     if seed is None:
         return merged
-    ranked = exact_rank(merged, ["source_ord", key], seed, "_rank")
-    return ranked.withColumn("ord", F.col("_rank") - 1).drop("_rank")
+    return seeded_shuffle(merged, ["source_ord", key], seed, "ord", unique)
 
 
 def mix_sequential(sources: dict[str, DataFrame]) -> DataFrame:

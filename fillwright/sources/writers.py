@@ -46,11 +46,16 @@ def write_solutions(df: DataFrame, path: str, dataset: str) -> str:
 
 
 def write_subset(
-    df: DataFrame, prefix: str, keys: Sequence[str] | str, ratio: float, seed: int = SEED
+    df: DataFrame,
+    prefix: str,
+    keys: Sequence[str] | str,
+    ratio: float,
+    seed: int = SEED,
+    unique: bool = True,
 ) -> str:
     """The sample of one ratio, named by its whole percent: a filtered scan,
     without a shuffle of the rows."""
-    sample = sample_ratio(df, keys, ratio, seed)
+    sample = sample_ratio(df, keys, ratio, seed, unique)
     return _write(sample, f"{prefix}_{percent_of(ratio)}pct.jsonl")
 
 
@@ -60,8 +65,9 @@ def write_subsets(
     keys: Sequence[str] | str,
     ratios: Sequence[float] = RATIOS,
     seed: int = SEED,
+    unique: bool = True,
 ) -> str:
     """All nested subsets from one scan, a ``pct=...`` folder for each."""
-    tagged = nested_subsets(df, keys, ratios, seed)
+    tagged = nested_subsets(df, keys, ratios, seed, unique)
     tagged.write.mode("overwrite").partitionBy("pct").json(folder, ignoreNullFields=False)
     return folder

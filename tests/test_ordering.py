@@ -60,13 +60,32 @@ def test_percent_is_truncated():
     assert [sm.percent_of(r) for r in (0.29, 0.57, 0.2, 1.0)] == [28, 56, 20, 100]
 
 
-def test_repeated_keys_are_told(spark):
-    # a third of the rows share one key, and every cut falls into them
-    df = spark.range(30).select(F.least("id", F.lit(3)).alias("k"))
-    with pytest.raises(Exception, match="identify a row"):
-        sm.sample_ratio(df, "k", 0.5).collect()
-    # as a permutation they still get distinct places
-    assert sorted(r.rank for r in od.exact_rank(df, "k").collect()) == list(range(1, 31))
+def test_repeated_keys(spark):
+    # a third of the rows are copies of one row, and the cut falls into them
+    df = spark.range(0, 3000, 1, 5).select(F.greatest("id", F.lit(1000)).alias("k"))
+    hot = permutation({1000}, 42)[0]
+    before = permutation(range(1000, 3000), 42).index(hot)
+    ratio = (before + 400) / 3000
+    with pytest.raises(Exception, match="unique=False"):
+        sm.sample_ratio(df, "k", ratio).collect()
+    got = [r.k for r in sm.sample_ratio(df, "k", ratio, unique=False).collect()]
+    assert len(got) == int(3000 * ratio)
+    assert set(got) == set(permutation(range(1000, 3000), 42)[: before + 1])
+    assert sorted(r.rank for r in od.exact_rank(df, "k", unique=False).collect()) == list(range(1, 3001))
+    sizes = sm.nested_subsets(df, "k", (0.1, ratio, 1.0), unique=False).groupBy("pct").count()
+    assert sorted(r["count"] for r in sizes.collect()) == sorted([300, int(3000 * ratio), 3000])
+    parts = sm.train_eval_split(df, "k", 50, unique=False).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in parts} == {"eval": 50, "train": 2950}
+
+
+def test_repeated_key_is_cut_into_partitions(spark):
+    # one value in every row: the sort still uses all partitions
+    df = spark.range(0, 40000, 1, 8).select(F.lit("hot").alias("k"), "id")
+    plan = df.withColumn("_input", F.monotonically_increasing_id()).repartitionByRange(4, "k", "_input")
+    sizes = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 20000
+    got = od.with_key_ordinal(df, "k").collect()
+    assert all(r.ord == r.id for r in got)
 
 
 def test_split_sizes(rows):
