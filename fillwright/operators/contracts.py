@@ -35,8 +35,10 @@ def checked(value: Column, cond: Column, message: str) -> Column:
     return F.when(cond, value).otherwise(F.raise_error(F.lit(message)))
 
 
-def _raise_if_any(bad: DataFrame, message: str) -> None:
-    if not bad.limit(1).isEmpty():
+def _raise_if_any(df: DataFrame, bad: Column, message: str) -> None:
+    # one aggregate over all partitions at once; looking for a first row would
+    # go through a table without any in rounds
+    if df.agg(F.max(F.coalesce(bad, F.lit(True)))).first()[0]:
         raise ValueError(message)
 
 
@@ -51,7 +53,7 @@ def check_same_count(a: DataFrame, b: DataFrame) -> int:
 def check_parallel_lengths(df: DataFrame, a: str, b: str) -> None:
     """Arrays ``a`` and ``b`` have the same length in every row."""
     same = F.size(a).eqNullSafe(F.size(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()
-    _raise_if_any(df.filter(~same), f"{a} and {b} differ in length")
+    _raise_if_any(df, ~same, f"{a} and {b} differ in length")
 
 
 def check_padding_bounds(
@@ -60,4 +62,4 @@ def check_padding_bounds(
     """No padded row is wider than ``max_length``; all are that wide if asked."""
     width = F.size(ids)
     bad = width != max_length if pad_to_max else width > max_length
-    _raise_if_any(df.filter(bad), f"{ids} breaks the padding bound {max_length}")
+    _raise_if_any(df, bad, f"{ids} breaks the padding bound {max_length}")

@@ -61,17 +61,20 @@ def _prefix_ends(df: DataFrame, keys: list[str], seed: int, sizes: dict[str, Col
     )
     near = df.select(*keys).withColumn("_place", _place(keys, seed))
     near = near.withColumn("_bucket", F.substring("_place.hash", 1, BUCKET_DIGITS))
-    inside = Window.partitionBy("name").orderBy("_place")
-    # two rows with the same place can not be told apart by the comparison
-    last_rows = (
+    # copies of a key are counted before they meet, so they are one row each
+    places = (
         near.join(F.broadcast(ends), "_bucket")
-        .withColumn("_at", F.row_number().over(inside))
-        .withColumn("_next", F.lead("_place").over(inside))
-        .filter(F.col("_at") == F.col("_need"))
+        .groupBy("name", "_need", "_place")
+        .agg(F.count("*").alias("_copies"))
     )
-    tied = F.col("_next").eqNullSafe(F.col("_place"))
+    ahead = Window.partitionBy("name").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = F.col("_ahead") + F.col("_copies")
+    last_rows = places.withColumn(
+        "_ahead", F.coalesce(F.sum("_copies").over(ahead), F.lit(0))
+    ).filter((F.col("_ahead") < F.col("_need")) & (F.col("_need") <= up_to))
+    # a cut between copies can not be told by comparing places
     message = F.lit("keys repeat at the cut of a subset; pass unique=False")
-    place = F.when(tied, F.raise_error(message)).otherwise(F.col("_place"))
+    place = F.when(F.col("_need") == up_to, F.col("_place")).otherwise(F.raise_error(message))
     entries = F.collect_list(F.struct(F.col("name"), place))
     return last_rows.agg(F.map_from_entries(entries)).scalar()
 

@@ -72,46 +72,15 @@ def exact_match(
     pred_col: str = "completion",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """The score of :func:`pair_by_key` without building the pairs.
+    """Score of the pairs by key, over all or by columns of the truth.
 
-    Truths and completions are counted per (task, answer), then per task; where
-    both sides hold the same answer, the product of the counts is the number of
-    correct pairs. Both steps combine on the map side, so a task with a third of
-    all completions, or one answer given a billion times, stays a few rows.
-    ``by`` groups the score by columns of the truth, which then has one row a task.
+    The pairs are counted where they are joined: over a truth small enough for
+    Spark to broadcast, no completion is moved at all, and over a large one a
+    task with very many completions is split like any skewed join.
     """
-    sides = truth.select(
-        key,
-        normalise_answer(truth_col).alias("_answer"),
-        F.lit(1).alias("_truth"),
-        F.lit(0).alias("_pred"),
-    ).unionByName(
-        pred.select(
-            key,
-            normalise_answer(pred_col).alias("_answer"),
-            F.lit(0).alias("_truth"),
-            F.lit(1).alias("_pred"),
-        )
-    )
-    per_answer = sides.groupBy(key, "_answer").agg(
-        F.sum("_truth").alias("_truth"), F.sum("_pred").alias("_pred")
-    )
-    hits = F.when(F.col("_answer").isNotNull(), F.col("_truth") * F.col("_pred")).otherwise(0)
-    per_task = per_answer.groupBy(key).agg(
-        F.sum(hits).alias("_hits"),
-        F.sum("_truth").alias("_truth"),
-        F.sum("_pred").alias("_pred"),
-    )
-    scored = per_task.filter(F.col("_truth") > 0)
-    if by:
-        # joined to the per-task numbers, so the aggregates stay on integers
-        scored = scored.join(truth.select(key, *by), key)
-    pairs = F.col("_truth") * F.greatest(F.col("_pred"), F.lit(1))
-    return _ratio(
-        scored.groupBy(*by).agg(
-            F.coalesce(F.sum(pairs), F.lit(0)).alias("n"), F.sum("_hits").alias("correct")
-        )
-    )
+    truths = truth.select(key, truth_col, *by)
+    pairs = pair_by_key(truths, pred.select(key, pred_col), key, truth_col, pred_col)
+    return score_pairs(pairs, by)
 
 
 def _ratio(counts: DataFrame) -> DataFrame:

@@ -166,14 +166,12 @@ def q_read_sft_jsonl(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, lang, md5(text) AS md5_text FROM documents")
 def q_read_table_split(spark, sf_dir):
-    folder = _folder(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    splits = {"even": f"{folder}/even", "odd": f"{folder}/odd"}
-    docs.filter(F.col("doc_id") % 2 == 0).write.parquet(splits["even"])
-    docs.filter(F.col("doc_id") % 2 != 0).write.parquet(splits["odd"])
-    return read_table_split(spark, splits)
+    # no split is named, so the first is read
+    splits = {name: f"{sf_dir}/{name}.parquet" for name in ("documents", "benchmark")}
+    rows = read_table_split(spark, splits)
+    return rows.select("doc_id", "lang", F.md5("text").alias("md5_text"))
 
 
 @query(

@@ -62,7 +62,7 @@ def sql_text(value: str) -> str:
 def infill_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, cut, k = F.col("text"), F.col("_cut"), F.col("_k")
     return (
-        documents(spark, sf_dir)
+        table(spark, sf_dir, "documents")
         .select("doc_id", "lang", "text")
         .withColumn("_cut", F.expr("cast(char_length(text) div 3 as int)"))
         .withColumn("_k", F.least(F.lit(40), F.char_length(text) - cut))
@@ -109,15 +109,12 @@ v_pred AS (
 
 
 def sampled_predictions(tasks: DataFrame) -> DataFrame:
-    """Two samples a task, none for every fifth, some of no known task."""
-    base = predictions(tasks).filter(F.col("doc_id") % 5 != 0)
-    twice = base.withColumn("sample_idx", F.explode(F.array(F.lit(0), F.lit(1))))
-    answer = F.when(
-        (F.col("sample_idx") == 1) & (F.col("doc_id") % 2 == 0), F.lit(None).cast("string")
-    ).otherwise(F.col("completion"))
-    key = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), "task_id")).otherwise(
-        F.col("task_id")
-    )
+    """Two samples a task, some null, those of every seventh under an unknown id."""
+    twice = predictions(tasks).withColumn("sample_idx", F.explode(F.array(F.lit(0), F.lit(1))))
+    lost = (F.col("sample_idx") == 1) & (F.col("doc_id") % 2 == 0)
+    answer = F.when(lost, F.lit(None).cast("string")).otherwise(F.col("completion"))
+    unknown = F.concat(F.lit("x"), "task_id")
+    key = F.when(F.col("doc_id") % 7 == 0, unknown).otherwise(F.col("task_id"))
     return twice.select(key.alias("task_id"), "sample_idx", answer.alias("completion"))
 
 
@@ -125,7 +122,7 @@ SAMPLED_SQL = """
 v_samples AS (
   SELECT CASE WHEN doc_id % 7 = 0 THEN 'x' || task_id ELSE task_id END AS task_id, sample_idx,
          CASE WHEN sample_idx = 1 AND doc_id % 2 = 0 THEN NULL ELSE completion END AS completion
-  FROM v_pred, (VALUES (0), (1)) AS s(sample_idx) WHERE doc_id % 5 <> 0)"""
+  FROM v_pred, (VALUES (0), (1)) AS s(sample_idx))"""
 
 
 # --- training pairs: a user turn and the assistant turn that follows -----------

@@ -76,11 +76,43 @@ def test_groups(spark):
     assert got == {"py": (2, 1), None: (1, 1)}
 
 
-def test_score_shuffles_only_counts(spark):
-    t, p = tables(spark, [("a", "x")], [("a", "x")])
-    plan = scoring.exact_match(t, p)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "SortAggregate" not in plan
-    assert plan.count("partial_sum") >= 2
+def test_small_truth_moves_no_completion(spark, tmp_path):
+    spark.range(9).selectExpr("string(id) task_id", "'x' ground_truth").write.parquet(f"{tmp_path}/t")
+    spark.range(99).selectExpr("string(id) task_id", "'x' completion").write.parquet(f"{tmp_path}/p")
+    truth, pred = (spark.read.parquet(f"{tmp_path}/{n}") for n in "tp")
+    plan = scoring.exact_match(truth, pred)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # the one shuffle is of the distinct task ids
+    assert len(shuffles) == 1
+
+
+def test_hot_task_is_split(spark, tmp_path):
+    # every second completion belongs to one task, and the truth is too big to broadcast
+    hot = "if(id % 2 = 0, '7', string(id))"
+    spark.range(0, 20000, 1, 4).selectExpr("string(id) task_id", "sha2(string(id), 512) ground_truth").write.parquet(f"{tmp_path}/t")
+    spark.range(0, 40000, 1, 8).selectExpr(f"{hot} task_id", "sha2(string(id), 512) completion").write.parquet(f"{tmp_path}/p")
+    truth, pred = (spark.read.parquet(f"{tmp_path}/{n}") for n in "tp")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        scored = scoring.exact_match(truth, pred)
+        row = scored.collect()[0]
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in plan
+    # odd tasks match their own completion, task 7 has 20,000 more, and the
+    # 10,000 even tasks have none
+    assert (row.n, row.correct) == (30000 + 10000, 10000)
 
 
 def test_by_position_ignores_ids(spark):
