@@ -15,6 +15,7 @@ from fillwright.functions.text import (
     strip_py,
 )
 from fillwright.operators.contracts import REASON, reason_when
+from fillwright.session import write_through
 
 
 def expand_samples(df: DataFrame, n: int) -> DataFrame:
@@ -30,6 +31,7 @@ def complete(
     inputs: Sequence[str] = ("prompt",),
     batch_rows: int = 64,
     partitions: int | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Add ``completion`` and ``error`` from the caller's batch function.
 
@@ -39,8 +41,9 @@ def complete(
     with the row that caused it. ``partitions`` spreads rows over tasks first;
     use it where the input is a few files that do not split.
 
-    Write the result before reading it more than once: a plan that uses it twice
-    runs the function twice.
+    A plan that uses the result twice runs the function twice, and a model may
+    then answer differently. ``keep=True`` runs it now and writes the outcome to
+    the shared folder, so that the accepted and the failed rows are of one run.
     """
 
     @F.arrow_udf("struct<completion: string, error: string>")
@@ -79,7 +82,8 @@ def complete(
     job = run.asNondeterministic()
     source = df.repartition(partitions) if partitions else df
     done = source.withColumn("_out", job(*[F.col(c) for c in inputs]))
-    return done.select(*df.columns, "_out.completion", "_out.error")
+    done = done.select(*df.columns, "_out.completion", "_out.error")
+    return write_through(done) if keep else done
 
 
 def drop_failed_rows(df: DataFrame) -> DataFrame:

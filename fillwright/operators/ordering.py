@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from fillwright.session import write_through
 
-# Hash buckets: 16 ** 4 = 65,536 at most, so the table of bucket offsets is
-# bounded whatever the number of rows, and a trillion rows still leave about
-# fifteen million to a bucket. Rows spread evenly because keys are unique.
-BUCKET_DIGITS = 4
+# Hash buckets: 16 ** 5, about a million at most, so the table of bucket offsets
+# is bounded whatever the number of rows (some 40 MB), and a trillion rows still
+# leave only a million to a bucket. Rows spread evenly because keys are unique.
+BUCKET_DIGITS = 5
 
 # Largest offset table that is broadcast, about 150 MB with long file names;
 # beyond it Spark chooses the join.
@@ -53,7 +53,7 @@ def exact_rank(
     """1-based position of every row in the seeded permutation.
 
     Where ``keys`` identify a row, this costs one shuffle of the rows, by hash
-    bucket, and a broadcast of at most 65,536 offsets. With ``unique=False`` keys
+    bucket, and a broadcast of at most a million offsets. With ``unique=False`` keys
     may repeat in any number of rows: the rows are then sorted by range, which
     cuts a repeated key into many partitions, and written once.
     """
@@ -109,18 +109,26 @@ def _number_blocks(
 def with_file_ordinal(scan: DataFrame, ord_col: str = "ord") -> DataFrame:
     """0-based line number over the files of a direct file scan, in path order.
 
-    Row positions depend on how the scan was split, so the tagged rows are
-    written once to the shared folder and numbered from there. Each file, and
-    each split of it, is numbered on its own.
+    Parquet rows carry their place in the file, so only the rows of each file
+    are counted. In other formats the place depends on how the scan was split:
+    the tagged rows are written once to the shared folder and numbered from
+    there, each split of a file on its own.
     """
-    tagged = write_through(
-        scan.select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-        ).withColumn("_row", F.monotonically_increasing_id())
-    )
-    return _number_blocks(tagged, ["_file", "_start"], ["_file", "_start"], ord_col)
+    path = F.col("_metadata.file_path").alias("_file")
+    known = scan.select("_metadata").schema["_metadata"].dataType.names
+    if "row_index" in known:
+        counts = scan.select(path).groupBy("_file").agg(F.count("*").alias("_count"))
+        offsets = _running_total(counts, ["_file"], "_count").drop("_count")
+        if len(scan.inputFiles()) <= BROADCAST_ROWS:
+            offsets = F.broadcast(offsets)
+        placed = scan.select("*", path, F.col("_metadata.row_index").alias("_row"))
+        ordinal = (F.col("_before") + F.col("_row")).cast("bigint")
+        return placed.join(offsets, "_file").withColumn(ord_col, ordinal).drop(
+            "_file", "_row", "_before"
+        )
+    start = F.col("_metadata.file_block_start").alias("_start")
+    tagged = scan.select("*", path, start).withColumn("_row", F.monotonically_increasing_id())
+    return _number_blocks(write_through(tagged), ["_file", "_start"], ["_file", "_start"], ord_col)
 
 
 def with_key_ordinal(

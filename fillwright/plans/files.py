@@ -186,7 +186,7 @@ def q_write_answers(spark, sf_dir):
         F.col("text").alias("prompt"), meta.alias("metadata")
     )
     tasks = accepted(parse_metadata(docs))
-    done = drop_failed_rows(complete(tasks, _answer_length()))
+    done = drop_failed_rows(complete(tasks, _answer_length(), keep=True))
     path = write_answers(code_answers(done), _folder(spark), "dscoder", "ds-1000.csv")
     answers = spark.read.schema("code string, metadata variant").json(path)
     return answers.select("code", F.to_json("metadata").alias("metadata"))

@@ -94,3 +94,21 @@ def test_parse_metadata(spark):
     for i, text in enumerate(good):
         assert rows[i] == json.loads(json.dumps(ast.literal_eval(text)))
     assert sorted(r.i for r in rejected(out).collect()) == [3, 4, 5, 6]
+
+
+def test_kept_outcome_is_of_one_run(spark):
+    def make_random():
+        import random
+
+        def run(prompts):
+            if random.random() < 0.5:
+                raise ValueError("now and then")
+            return prompts
+
+        return run
+
+    df = spark.range(200).select(F.col("id").cast("string").alias("prompt"))
+    done = cp.complete(df, make_random, batch_rows=1, keep=True)
+    good, failed = cp.drop_failed_rows(done), cp.failed_rows(done)
+    assert {r.prompt for r in good.collect()}.isdisjoint({r.prompt for r in failed.collect()})
+    assert good.count() + failed.count() == 200

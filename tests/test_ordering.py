@@ -128,6 +128,18 @@ def test_file_ordinal_is_the_line_number(spark, tmp_path):
     assert all(r.n == r.ord for r in got)
 
 
+def test_parquet_ordinal_needs_no_write(spark, tmp_path, monkeypatch):
+    def refuse(df):
+        raise AssertionError("wrote rows")
+
+    monkeypatch.setattr(od, "write_through", refuse)
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, 1, 3).write.parquet(path)
+    # a filter after the scan does not change the numbers
+    got = od.with_file_ordinal(spark.read.parquet(path)).filter("id % 7 = 0").collect()
+    assert all(r.id == r.ord for r in got) and len(got) == 143
+
+
 def test_dedupe_last(spark):
     df = spark.createDataFrame(
         [("a", 1, 0), ("b", 2, 1), ("a", 3, 2), ("c", None, 3), ("a", None, 4)],
