@@ -54,13 +54,13 @@ def exact_rank(
 
     Where ``keys`` identify a row, this costs one shuffle of the rows, by hash
     bucket, and a broadcast of at most a million offsets. With ``unique=False`` keys
-    may repeat in any number of rows: the rows are then sorted by range, which
-    cuts a repeated key into many partitions, and written once.
+    may repeat in any number of rows: the rows are then written and sorted by
+    range, which cuts a repeated key into many partitions.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     hashed = df.withColumn("_hash", shuffle_hash(seed, *keys))
     if not unique:
-        numbered = with_key_ordinal(hashed, ["_hash", *keys], "_ord")
+        numbered = with_key_ordinal(hashed, ["_hash", *keys], "_ord", unique=False)
         return numbered.withColumn(rank_col, F.col("_ord") + 1).drop("_hash", "_ord")
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     inside = Window.partitionBy("_bucket").orderBy("_hash", *keys)
@@ -132,25 +132,25 @@ def with_file_ordinal(scan: DataFrame, ord_col: str = "ord") -> DataFrame:
 
 
 def with_key_ordinal(
-    df: DataFrame, keys: Sequence[str] | str, ord_col: str = "ord"
+    df: DataFrame, keys: Sequence[str] | str, ord_col: str = "ord", unique: bool = True
 ) -> DataFrame:
     """0-based dense number in key order.
 
-    A range-partitioned sort, numbered from its partition sizes. Rows with equal
-    keys keep their input order, and since that is part of the sort value, a key
-    that holds a third of the rows is still cut into many partitions.
+    A range-partitioned sort, written and then numbered from its partition
+    sizes. With ``unique=False`` rows of equal keys keep their input order, and
+    since that is part of the sort value, a key that holds a third of the rows
+    is cut into many partitions; the input is written first, so that a repeated
+    task can not change that order.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    by = [*keys, "_input"]
-    ordered = (
-        df.withColumn("_input", F.monotonically_increasing_id())
-        .repartitionByRange(*by)
-        .sortWithinPartitions(*by)
-        .drop("_input")
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_part", F.spark_partition_id())
+    by = [keys] if isinstance(keys, str) else list(keys)
+    if not unique:
+        df = write_through(df.withColumn("_input", F.monotonically_increasing_id()))
+        by = [*by, "_input"]
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    numbered = ordered.withColumn("_row", F.monotonically_increasing_id()).withColumn(
+        "_part", F.spark_partition_id()
     )
-    return _number_blocks(write_through(ordered), ["_part"], ["_part"], ord_col)
+    return _number_blocks(write_through(numbered.drop("_input")), ["_part"], ["_part"], ord_col)
 
 
 def dedupe_last(df: DataFrame, key: str = "task_id", order: str = "ord") -> DataFrame:

@@ -210,6 +210,30 @@ def q_collate(spark, sf_dir):
     return _flat(_batches(spark, sf_dir, TOKENS))
 
 
+@query(
+    with_sql(DOCUMENT_PAIR_SQL, _example_sql("v_docpair", 1216))
+    + f""", b AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || id), id) - 1) // 64 AS batch_id
+      FROM v_example),
+    w AS (SELECT *, CAST(max(len(input_ids)) OVER (PARTITION BY batch_id) AS INT) AS width FROM b),
+    p AS (SELECT *, list_resize(input_ids, width, 258) AS ids FROM w)
+    SELECT batch_id, id, width, md5({_csv("ids")}) AS md5_ids,
+    md5({_csv("list_resize(labels, width, -100)")}) AS md5_labels,
+    CAST(len(list_filter(ids, lambda x: x <> 258)) AS INT) AS n_real FROM p"""
+)
+def q_sft_batches(spark, sf_dir):
+    """The whole training table: shuffled documents to padded batches."""
+    pairs = seeded_shuffle(document_pairs(spark, sf_dir), "id")
+    batches = sft_batches(pairs, PAIR_TEMPLATE, TOKENS, 64, keep=("id",))
+    return batches.select(
+        "batch_id",
+        "id",
+        "width",
+        F.md5(csv_text("input_ids")).alias("md5_ids"),
+        F.md5(csv_text("labels")).alias("md5_labels"),
+        F.size(F.filter("attention_mask", lambda m: m)).alias("n_real"),
+    )
+
+
 @query(_BATCHED + f"SELECT batch_id, id, {LIMIT} AS width, {_padded_sql(str(LIMIT), 257)} FROM v_wide")
 def q_collate_to_max(spark, sf_dir):
     # no pad id: padding is the end id, and the mask hides real end ids as well

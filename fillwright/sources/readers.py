@@ -1,7 +1,8 @@
 """Readers for task files, predictions and training pairs.
 
-CSV and gz files do not split, so one file is one task; write them out as
-parquet once before heavy work on them.
+A line that is no JSON fails the job rather than reading as nulls. CSV and gz
+files do not split, so one file is one task; write them out as parquet once
+before heavy work on them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ PREDICTION_SCHEMA = "task_id string, completion string"
 PAIR_SCHEMA = "problem string, solution string"
 
 
+def _read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
+
+
 def _read_csv(
     spark: SparkSession, path: str, columns: Sequence[str], optional: Sequence[str] = ()
 ) -> DataFrame:
@@ -49,7 +54,7 @@ def read_infill_jsonl(spark: SparkSession, path: str, name: str = "hei") -> Data
     keeps the place of the first."""
     if name.lower() != "hei":
         raise ValueError(f"unknown infill dataset: {name}")
-    scan = spark.read.schema(INFILL_SCHEMA).json(path)
+    scan = _read_jsonl(spark, path, INFILL_SCHEMA)
     return dedupe_last(with_file_ordinal(scan))
 
 
@@ -70,7 +75,7 @@ def inline_fewshots(spark: SparkSession, examples: Sequence[tuple[str, str]]) ->
 
 def read_predictions(spark: SparkSession, path: str, with_ordinal: bool = False) -> DataFrame:
     """JSONL completions; with line numbers for pairing by position."""
-    scan = spark.read.schema(PREDICTION_SCHEMA).json(path)
+    scan = _read_jsonl(spark, path, PREDICTION_SCHEMA)
     return with_file_ordinal(scan) if with_ordinal else scan
 
 
@@ -80,7 +85,7 @@ def read_sft_jsonl(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     if not paths:
         raise ValueError("no data files")
     parts = [
-        spark.read.schema(PAIR_SCHEMA).json(p).withColumn("source_ord", F.lit(i))
+        _read_jsonl(spark, p, PAIR_SCHEMA).withColumn("source_ord", F.lit(i))
         for i, p in enumerate(paths)
     ]
     table = parts[0]
@@ -89,24 +94,30 @@ def read_sft_jsonl(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return table
 
 
-def _read_table(spark: SparkSession, path: str) -> DataFrame:
+def _read_table(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
     plain = path.rstrip("/").removesuffix(".gz")
-    return spark.read.json(path) if plain.endswith((".jsonl", ".json")) else spark.read.parquet(path)
+    if not plain.endswith((".jsonl", ".json")):
+        return spark.read.parquet(path)
+    # without a schema the whole file is read once more to infer one
+    return _read_jsonl(spark, path, schema) if schema else spark.read.json(path, mode="FAILFAST")
 
 
 def read_table_split(
-    spark: SparkSession, splits: dict[str, str], split: str | None = None
+    spark: SparkSession,
+    splits: dict[str, str],
+    split: str | None = None,
+    schema: str | None = None,
 ) -> DataFrame:
     """One split of a table kept as ``{split: path}``; the first when not named."""
     name = next(iter(splits)) if split is None else split
     if name not in splits:
         raise ValueError(f"unknown split: {name}")
-    return _read_table(spark, splits[name])
+    return _read_table(spark, splits[name], schema)
 
 
-def read_problem_map(spark: SparkSession, path: str) -> DataFrame:
+def read_problem_map(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """The values of a task map kept as a table, one row per task."""
-    return _read_table(spark, path)
+    return _read_table(spark, path, schema)
 
 
 def open_benchmark(spark: SparkSession, name: str, path: str | None = None) -> tuple[str, DataFrame]:

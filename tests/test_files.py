@@ -64,6 +64,20 @@ def test_predictions_with_ordinal(spark, tmp_path):
     assert {r.completion: r.ord for r in rows} == {str(i): i for i in range(9)}
 
 
+def test_broken_line_fails(spark, tmp_path):
+    path = tmp_path / "pred.jsonl"
+    path.write_text('{"task_id": "a", "completion": "x"}\n{"task_id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_predictions(spark, str(path)).collect()
+
+
+def test_numbers_stay_text(spark, tmp_path):
+    path = tmp_path / "pred.jsonl"
+    path.write_text('{"task_id": 7, "completion": 1.50}\n{"task_id": "b"}\n')
+    rows = readers.read_predictions(spark, str(path)).collect()
+    assert [tuple(r) for r in rows] == [("7", "1.50"), ("b", None)]
+
+
 def test_sft_files_keep_list_order(spark, tmp_path):
     for name in ("b", "a"):
         (tmp_path / f"{name}.jsonl").write_text(json.dumps({"problem": name, "solution": "s"}) + "\n")

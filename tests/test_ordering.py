@@ -84,7 +84,7 @@ def test_repeated_key_is_cut_into_partitions(spark):
     plan = df.withColumn("_input", F.monotonically_increasing_id()).repartitionByRange(4, "k", "_input")
     sizes = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 20000
-    got = od.with_key_ordinal(df, "k").collect()
+    got = od.with_key_ordinal(df, "k", unique=False).collect()
     assert all(r.ord == r.id for r in got)
 
 
@@ -107,7 +107,7 @@ def test_key_ordinal(spark):
     order = sorted(got, key=lambda r: (r.k, r.id))
     assert [r.ord for r in order] == list(range(900))
     # equal keys keep their input order
-    by_k = od.with_key_ordinal(df, "k").collect()
+    by_k = od.with_key_ordinal(df, "k", unique=False).collect()
     assert [r.id for r in sorted(by_k, key=lambda r: r.ord)] == [r.id for r in order]
 
 

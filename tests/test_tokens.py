@@ -107,6 +107,29 @@ def test_sft_map(texts, limit, kind):
     assert tuple(counted) == (sum(r.exceeding_length for r in rows), len(rows))
 
 
+def test_library_tokenizer(texts):
+    tokenizers = pytest.importorskip("tokenizers")
+    bpe = tokenizers.Tokenizer(tokenizers.models.BPE())
+    bpe.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    bpe.decoder = tokenizers.decoders.ByteLevel()
+    trainer = tokenizers.trainers.BpeTrainer(
+        vocab_size=300, initial_alphabet=tokenizers.pre_tokenizers.ByteLevel.alphabet(),
+        show_progress=False,
+    )
+    bpe.train_from_iterator(["ab ab ab a b", "é 🙂 ab"], trainer)
+    library = tk.function_tokenizer(
+        lambda batch: [e.ids for e in bpe.encode_batch(batch, add_special_tokens=False)],
+        lambda rows: bpe.decode_batch(rows),
+        eos_id=299,
+        special_ids=(299,),
+    )
+    ids = tk.encode("t", library, add_eos=True)
+    rows = texts.select("t", ids.alias("ids")).select("t", "ids", tk.decode("ids", library).alias("b"))
+    for r in rows.collect():
+        assert r.ids == [*bpe.encode(r.t, add_special_tokens=False).ids, 299]
+        assert r.b == r.t
+
+
 def test_user_tokenizer_runs_once_per_column(texts):
     pairs = texts.select(F.col("t").alias("problem"), F.col("t").alias("solution"))
     plan = sft.sft_map(pairs, TEMPLATE, POINTS)._jdf.queryExecution().executedPlan().toString()
