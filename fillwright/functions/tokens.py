@@ -40,14 +40,20 @@ class Tokenizer:
         return pad
 
 
+def _utf8(text: Column, limit: int | None) -> Column:
+    # the first bytes give the first ids, so a sequence that is cut anyway is
+    # not expanded beyond its limit
+    data = F.encode(text, "UTF-8")
+    return data if limit is None else F.substring(data, 1, limit)
+
+
 def _byte_ids(text: Column, limit: int | None) -> Column:
     # Latin-1 maps each byte to one character, so splitting that reading of the
-    # UTF-8 bytes yields the bytes. Slicing comes first: it selects the same ids
-    # and spares expanding bytes a truncated sequence does not keep.
-    data = F.encode(text, "UTF-8")
-    if limit is not None:
-        data = F.substring(data, 1, limit)
-    return F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    # UTF-8 bytes yields the bytes; the empty text would split into one piece
+    chars = F.split(F.decode(_utf8(text, limit), "ISO-8859-1"), "")
+    none = (F.octet_length(text) == 0) | F.lit(limit == 0)
+    empty = F.array().cast("array<int>")
+    return F.when(none, empty).otherwise(F.transform(chars, lambda c: F.ascii(c)))
 
 
 def _byte_text(ids: Column) -> Column:
@@ -56,19 +62,53 @@ def _byte_text(ids: Column) -> Column:
     return F.make_valid_utf8(F.encode(chars, "ISO-8859-1").cast("string"))
 
 
+def _arrow_byte_functions() -> tuple[Callable, Callable]:
+    """The same two functions as one numpy cast per Arrow batch, no row loop."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def widen(data: pa.Array) -> pa.Array:
+        import numpy as np
+
+        data = data.cast(pa.large_binary())
+        _, ends, values = data.buffers()
+        at = np.frombuffer(ends, np.int64, len(data) + 1, data.offset * 8)
+        raw = np.frombuffer(values or b"", np.uint8)[at[0] : at[-1]]
+        starts = pa.array(at - at[0]).cast(pa.int32())
+        return pa.ListArray.from_arrays(starts, pa.array(raw.astype(np.int32)), mask=data.is_null())
+
+    @F.arrow_udf(T.BinaryType())
+    def narrow(ids: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum(sizes, out=at[1:])
+        raw = ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+        buffers = [None, pa.py_buffer(at), pa.py_buffer(raw)]
+        data = pa.Array.from_buffers(pa.binary(), len(ids), buffers)
+        return pc.if_else(ids.is_null(), pa.scalar(None, pa.binary()), data)
+
+    return (
+        lambda text, limit: widen(_utf8(text, limit)),
+        lambda ids: F.make_valid_utf8(narrow(ids).cast("string")),
+    )
+
+
 def byte_tokenizer(
-    bos_id: int | None = 256, eos_id: int | None = 257, pad_id: int | None = 258
+    bos_id: int | None = 256,
+    eos_id: int | None = 257,
+    pad_id: int | None = 258,
+    arrow: bool = False,
 ) -> Tokenizer:
-    """One id per UTF-8 byte, computed in the JVM; specials follow the bytes."""
-    specials = tuple(i for i in (bos_id, eos_id, pad_id) if i is not None)
+    """One id per UTF-8 byte; the special ids follow the bytes.
 
-    def ids(text: Column, limit: int | None) -> Column:
-        empty = F.array().cast("array<int>")
-        if limit == 0:
-            return F.when(text.isNotNull(), empty)
-        return F.when(F.octet_length(text) == 0, empty).otherwise(_byte_ids(text, limit))
-
-    return Tokenizer(ids, F.octet_length, _byte_text, bos_id, eos_id, pad_id, specials)
+    Computed by expressions in the JVM, or with ``arrow=True`` by numpy in
+    Python workers, which is faster on long texts and needs their memory.
+    """
+    specials = tuple(i for i in (bos_id, eos_id, pad_id) if i is not None)
+    ids, text = _arrow_byte_functions() if arrow else (_byte_ids, _byte_text)
+    return Tokenizer(ids, F.octet_length, text, bos_id, eos_id, pad_id, specials)
 
 
 def function_tokenizer(

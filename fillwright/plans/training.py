@@ -67,6 +67,23 @@ def q_encode_bytes(spark, sf_dir):
     )
 
 
+@query(
+    f"""SELECT doc_id AS id, md5({_csv(f"[256] || {_TEXT_IDS}")}) AS md5_ids, md5(text) AS md5_text
+    FROM documents"""
+)
+def q_encode_arrow(spark, sf_dir):
+    tokens = byte_tokenizer(arrow=True)
+    return (
+        documents(spark, sf_dir)
+        .select(F.col("doc_id").alias("id"), encode("text", tokens, add_bos=True).alias("ids"))
+        .select(
+            "id",
+            F.md5(csv_text("ids")).alias("md5_ids"),
+            F.md5(decode("ids", tokens)).alias("md5_text"),
+        )
+    )
+
+
 @query(
     f"""SELECT doc_id AS id, CAST(octet_length(encode(text)) + 2 AS BIGINT) AS n_full,
     md5({_csv(f"[256] || ({_TEXT_IDS})[:{LIMIT}] || [257]")}) AS md5_ids FROM documents"""

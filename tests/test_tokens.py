@@ -10,6 +10,7 @@ from fillwright.operators import sft
 from fillwright.operators.ordering import chunk
 
 BYTES = tk.byte_tokenizer()
+ARROW = tk.byte_tokenizer(arrow=True)
 POINTS = tk.function_tokenizer(
     lambda texts: [[ord(c) for c in t] for t in texts],
     lambda rows: ["".join(chr(i) for i in row) for row in rows],
@@ -30,13 +31,14 @@ def texts(spark):
     return spark.createDataFrame(list(enumerate(values)), "id int, t string").cache()
 
 
-def test_byte_ids_equal_utf8(texts):
+@pytest.mark.parametrize("tokenizer", [BYTES, ARROW])
+def test_byte_ids_equal_utf8(texts, tokenizer):
     rows = texts.select(
         "t",
-        tk.encode("t", BYTES).alias("ids"),
-        tk.encode("t", BYTES, add_bos=True, add_eos=True, truncation=4).alias("cut"),
-        tk.encode("t", BYTES, truncation=0).alias("none"),
-        tk.encoded_length("t", BYTES, add_bos=True).alias("n"),
+        tk.encode("t", tokenizer).alias("ids"),
+        tk.encode("t", tokenizer, add_bos=True, add_eos=True, truncation=4).alias("cut"),
+        tk.encode("t", tokenizer, truncation=0).alias("none"),
+        tk.encoded_length("t", tokenizer, add_bos=True).alias("n"),
     ).collect()
     for r in rows:
         data = list(r.t.encode())
@@ -46,17 +48,23 @@ def test_byte_ids_equal_utf8(texts):
         assert r.n == len(data) + 1
 
 
-def test_null_text_has_null_ids(spark):
-    df = spark.createDataFrame([(None,)], "t string")
-    assert df.select(tk.encode("t", BYTES, add_bos=True)).first()[0] is None
+@pytest.mark.parametrize("tokenizer", [BYTES, ARROW])
+def test_null_text_has_null_ids(spark, tokenizer):
+    rows = [("ab",), (None,), ("",), ("é",), (None,)]
+    df = spark.createDataFrame(rows, "t string").coalesce(1)
+    ids = tk.encode("t", tokenizer)
+    got = df.select(ids.alias("ids"), tk.decode(ids, tokenizer).alias("back")).collect()
+    assert [r.ids for r in got] == [[97, 98], None, [], [195, 169], None]
+    assert [r.back for r in got] == [t for t, in rows]
 
 
-def test_decode_round_trip(texts):
-    ids = tk.encode("t", BYTES, add_bos=True, add_eos=True)
-    for r in texts.select("t", tk.decode(ids, BYTES).alias("back")).collect():
+@pytest.mark.parametrize("tokenizer", [BYTES, ARROW])
+def test_decode_round_trip(texts, tokenizer):
+    ids = tk.encode("t", tokenizer, add_bos=True, add_eos=True)
+    for r in texts.select("t", tk.decode(ids, tokenizer).alias("back")).collect():
         assert r.back == r.t
-    cut = tk.encode(F.lit("a🙂"), BYTES, truncation=3)
-    assert "�" in texts.select(tk.decode(cut, BYTES)).first()[0]
+    cut = tk.encode(F.lit("a🙂"), tokenizer, truncation=3)
+    assert "�" in texts.select(tk.decode(cut, tokenizer)).first()[0]
 
 
 def test_no_specials_defined(texts):
@@ -88,10 +96,13 @@ def expected_example(problem, solution, limit, encode, bos, eos):
 
 
 @pytest.mark.parametrize("limit", [1, 5, 9, 12, 1216])
-@pytest.mark.parametrize("kind", ["bytes", "function"])
+@pytest.mark.parametrize("kind", ["bytes", "arrow", "function"])
 def test_sft_map(texts, limit, kind):
-    tokenizer = BYTES if kind == "bytes" else POINTS
-    encode = (lambda t: list(t.encode())) if kind == "bytes" else (lambda t: [ord(c) for c in t])
+    tokenizer = {"bytes": BYTES, "arrow": ARROW, "function": POINTS}[kind]
+
+    def encode(text):
+        return [ord(c) for c in text] if kind == "function" else list(text.encode())
+
     pairs = texts.select("id", F.col("t").alias("problem"), F.reverse("t").alias("solution"))
     sources = {r.id: r for r in pairs.collect()}
     got = sft.sft_map(pairs, TEMPLATE, tokenizer, limit, keep=("id",))
