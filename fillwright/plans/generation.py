@@ -29,7 +29,7 @@ from fillwright.plans.views import (
     table,
     with_sql,
 )
-from fillwright.session import scratch_dir
+from fillwright.session import scratch_dir, spread
 from fillwright.sources.readers import read_predictions
 from fillwright.sources.writers import write_completions
 
@@ -117,7 +117,7 @@ def q_lookup_completions(spark, sf_dir):
     CASE WHEN model = 'qwen' THEN trim(completion, {WS_SQL}) ELSE completion END AS stripped FROM j"""
 )
 def q_strip_prompt(spark, sf_dir):
-    tasks = infill_tasks(spark, sf_dir)
+    tasks = spread(infill_tasks(spark, sf_dir), "doc_id")
     # the answer column is built next to its prompt, so no join is needed
     both = tasks.withColumn("completion", prediction_of())
     prompt = F.col("eval_prompt")
