@@ -37,8 +37,8 @@ def complete(
 
     ``make_fn`` runs once per task, where a model would be loaded, and returns a
     function from input columns, as lists, to texts. Only the inputs travel to
-    Python. When a batch fails its rows are tried one by one, so an error stays
-    with the row that caused it. ``partitions`` spreads rows over tasks first;
+    Python. When a batch fails all its rows are tried once more, one by one, so an
+    error stays with the row that caused it. ``partitions`` spreads rows over tasks first;
     use it where the input is a few files that do not split.
 
     A plan that uses the result twice runs the function twice, and a model may
@@ -54,6 +54,8 @@ def complete(
             texts = list(fn(*columns))
             if len(texts) != len(columns[0]):
                 raise ValueError("the completion function changed the number of rows")
+            if not all(isinstance(t, str) for t in texts):
+                raise TypeError("the completion function returned something other than text")
             return texts
 
         def one_by_one(columns):

@@ -1,7 +1,8 @@
 """Instruction prompts: few-shot blocks, chat messages, benchmark mappers.
 
-Every mapper adds ``id``, ``instruction`` and ``response_prefix``; rows a mapper
-cannot take carry a ``reject_reason``.
+Every mapper adds ``id``, ``instruction``, ``response_prefix`` and a ``metadata``
+VARIANT, null except for data-science tasks, so problems of several benchmarks
+can be stacked. Rows a mapper cannot take carry a ``reject_reason``.
 """
 
 from __future__ import annotations
@@ -101,6 +102,10 @@ def _prefix_for(prompt: Column) -> Column:
     return F.when(F.startswith(body, F.lit("def ")), F.concat(start, F.lit("\n"), body)).otherwise(start)
 
 
+def _no_metadata() -> Column:
+    return F.lit(None).cast("variant")
+
+
 def map_docstring_assert(
     df: DataFrame, id_col: str = "task_id", prompt_col: str = "prompt"
 ) -> DataFrame:
@@ -126,6 +131,7 @@ def map_docstring_assert(
         .withColumn("id", id_as_string(id_col))
         .withColumn("instruction", F.when(usable, instruction))
         .withColumn("response_prefix", F.when(usable, F.lit(PY_FENCE)))
+        .withColumn("metadata", _no_metadata())
         .withColumn(
             REASON,
             reason_when(
@@ -146,6 +152,7 @@ def map_function_prompt(
         df.withColumn("instruction", _fenced(F.lit(FUNCTION_SENTENCE), body))
         .withColumn("response_prefix", F.concat(F.lit(PY_FENCE + "\n"), body))
         .withColumn("id", id_as_string(id_col))
+        .withColumn("metadata", _no_metadata())
     )
 
 
@@ -162,6 +169,7 @@ def map_two_mode(df: DataFrame, mode: str, id_col: str = "task_id") -> DataFrame
         df.withColumn("instruction", _fenced(F.lit(TWO_MODE_SENTENCE), prompt))
         .withColumn("response_prefix", _prefix_for(prompt))
         .withColumn("id", id_as_string(id_col))
+        .withColumn("metadata", _no_metadata())
     )
 
 

@@ -119,7 +119,8 @@ def with_file_ordinal(scan: DataFrame, ord_col: str = "ord") -> DataFrame:
     if "row_index" in known:
         counts = scan.select(path).groupBy("_file").agg(F.count("*").alias("_count"))
         offsets = _running_total(counts, ["_file"], "_count").drop("_count")
-        if len(scan.inputFiles()) <= BROADCAST_ROWS:
+        # counted in the JVM, the names stay there
+        if len(scan._jdf.inputFiles()) <= BROADCAST_ROWS:
             offsets = F.broadcast(offsets)
         placed = scan.select("*", path, F.col("_metadata.row_index").alias("_row"))
         ordinal = (F.col("_before") + F.col("_row")).cast("bigint")

@@ -3,7 +3,6 @@
 import ast
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from fillwright.operators import completions as cp
@@ -53,6 +52,13 @@ def test_wrong_number_of_texts_is_an_error(spark):
     assert all(r.completion is None and "number of rows" in r.error for r in rows)
 
 
+def test_other_values_than_text_are_errors(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
+    rows = cp.complete(df, lambda: lambda prompts: [1 if p == "a" else p for p in prompts]).collect()
+    assert rows[0].completion is None and rows[0].error.startswith("TypeError")
+    assert (rows[1].completion, rows[1].error) == ("b", None)
+
+
 def test_filter_on_outcome_runs_the_function_once(spark):
     df = spark.createDataFrame([("a",)], "prompt string")
     done = cp.complete(df, lambda: lambda prompts: prompts)

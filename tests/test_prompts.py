@@ -114,7 +114,8 @@ def test_infill_for_model(spark):
     assert bad == {k for k in keys if "Python" in k} | {"nobody/x"}
     rows = [(32016, "<begin>"), (32015, "<hole>"), (32017, "<end>")]
     vocabulary = spark.createDataFrame(rows, "id int, token string")
-    by_id = {r.model_key: r.infill_prompt for r in accepted(infill.infill_for_model(df, vocabulary=vocabulary)).collect()}
+    by_id = accepted(infill.infill_for_model(df, vocabulary=vocabulary)).collect()
+    by_id = {r.model_key: r.infill_prompt for r in by_id}
     assert by_id["deepseek-ai/deepseek-coder-1.3b-base"] == "<begin>P<hole>S<end>"
     assert by_id["Qwen/Qwen2.5-Coder-7B"] == good["Qwen/Qwen2.5-Coder-7B"]
 
@@ -256,6 +257,21 @@ def test_map_ds_fewshot_defaults(spark):
     assert [r.instruction for r in rows] == [lead + (p or "") + "\n```" for p in (None, "def f", " def g() ")]
 
 
+def test_problems_of_all_benchmarks_stack(spark):
+    tasks = spark.createDataFrame(
+        [("a", '"""Do assert x"""', "c", "i")],
+        "task_id string, prompt string, complete_prompt string, instruct_prompt string",
+    )
+    columns = ["id", "instruction", "response_prefix", "metadata"]
+    stacked = None
+    for name in ("humaneval", "mbpp", "bigcodebench", "ds1000"):
+        part = instruct.mapper_for(name)(tasks).select(*columns)
+        stacked = part if stacked is None else stacked.unionByName(part)
+    rows = stacked.withColumn("metadata", F.to_json("metadata")).collect()
+    assert [r.id for r in rows] == ["a"] * 4
+    assert [r.metadata for r in rows] == [None, None, None, "{}"]
+
+
 def test_mapper_dispatch():
     for name in ("humaneval", "mbpp", "bigcodebench", "ds1000"):
         assert callable(instruct.mapper_for(name))

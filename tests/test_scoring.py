@@ -90,8 +90,11 @@ def test_small_truth_moves_no_completion(spark, tmp_path):
 def test_hot_task_is_split(spark, tmp_path):
     # every second completion belongs to one task, and the truth is too big to broadcast
     hot = "if(id % 2 = 0, '7', string(id))"
-    spark.range(0, 20000, 1, 4).selectExpr("string(id) task_id", "sha2(string(id), 512) ground_truth").write.parquet(f"{tmp_path}/t")
-    spark.range(0, 40000, 1, 8).selectExpr(f"{hot} task_id", "sha2(string(id), 512) completion").write.parquet(f"{tmp_path}/p")
+    answer = "sha2(string(id), 512)"
+    truths = spark.range(0, 20000, 1, 4).selectExpr("string(id) task_id", f"{answer} ground_truth")
+    truths.write.parquet(f"{tmp_path}/t")
+    answers = spark.range(0, 40000, 1, 8).selectExpr(f"{hot} task_id", f"{answer} completion")
+    answers.write.parquet(f"{tmp_path}/p")
     truth, pred = (spark.read.parquet(f"{tmp_path}/{n}") for n in "tp")
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
