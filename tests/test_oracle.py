@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from fillwright.plans import catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -24,11 +25,11 @@ def _rows(columns, rows):
     return sorted(columns), sorted(picked, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_equals_sql(spark, db, name):
-    df = entry_points.queries()[name](spark, SF_DIR)
+    df = catalogue.QUERIES[name](spark, SF_DIR)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
-    cursor = db.execute(entry_points.oracle_sql()[name])
+    cursor = db.execute(catalogue.ORACLES[name])
     want = _rows([c[0] for c in cursor.description], cursor.fetchall())
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1]) > 0
