@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import benchmark_hits, is_contaminated
+from .line_dedup import ORACLE as LINES_SQL
+from .line_dedup import drop_boilerplate
 from .packing import pack_documents
+from .secret_scan import scan_secrets, spans_text
+from .sharding import assign_shards, first_map, rebalanced, sized_records, slot_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +32,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("secrets")).alias("spans"),
+        count("entropy"),
+    )
+
+
+@query(LINES_SQL)
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@query()
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    records = sized_records(docs, ["doc_id"]).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "virtual_slot")
+    totals = slot_totals(records)
+    balanced = rebalanced(first_map(spark), totals)
+    placed = assign_shards(records, balanced, totals, ["doc_id", "text_crc32", "size"])
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+        F.col("version").alias("map_version"),
+    )
+
+
 @query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))

@@ -36,3 +36,13 @@ def decontamination(docs, items, window=13):
                     found |= windows[w]
         out.append((doc_id, len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(words)))
     return out
+
+
+def base_secrets(text):
+    kinds = (
+        ("assign", re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    )
+    found = [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for rank, (kind, form, good) in enumerate(kinds) for m in form.finditer(text or "") if good(m)]
+    return [name for _, _, name in sorted(found)]
