@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontam import benchmark_hits, is_contaminated
 from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import drop_boilerplate
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .secret_scan import scan_secrets, spans_text
 from .sharding import assign_shards, first_map, rebalanced, sized_records, slot_totals
@@ -56,6 +57,11 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+@query()
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -46,3 +46,39 @@ def base_secrets(text):
     )
     found = [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for rank, (kind, form, good) in enumerate(kinds) for m in form.finditer(text or "") if good(m)]
     return [name for _, _, name in sorted(found)]
+
+
+def _root(parent, x):
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def joined(ids, pairs):
+    """The least id that each id reaches."""
+    parent = {i: i for i in ids}
+    for a, b in pairs:
+        a, b = _root(parent, a), _root(parent, b)
+        parent[max(a, b)] = min(a, b)
+    return {i: _root(parent, i) for i in ids}
+
+
+def near_duplicates(docs, percent=75, shingle=5):
+    sets = {}
+    for doc_id, text in docs:
+        words = SPACE_WORDS.findall(lower(text or ""))
+        n = min(shingle, len(words))
+        sets[doc_id] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+    holders: dict[tuple, list] = {}
+    for doc_id, held in sets.items():
+        for s in held:
+            holders.setdefault(s, []).append(doc_id)
+    shared: dict[tuple, int] = {}
+    for ids in holders.values():
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    pairs = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+    component = joined(sets, pairs)
+    return [(i, len(held), component[i], component[i] == i) for i, held in sets.items()]
