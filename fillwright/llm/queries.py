@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .packing import pack_documents
 from .secret_scan import scan_secrets, spans_text
 from .sharding import assign_shards, first_map, rebalanced, sized_records, slot_totals
+from .substring_dedup import cut_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(LINES_SQL)
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))

@@ -82,3 +82,19 @@ def near_duplicates(docs, percent=75, shingle=5):
     pairs = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     component = joined(sets, pairs)
     return [(i, len(held), component[i], component[i] == i) for i, held in sets.items()]
+
+
+def repeats(docs, window=50):
+    words = {i: SPACE_WORDS.findall(text or "") for i, text in docs}
+    first: dict[tuple, int] = {}
+    for i, held in sorted(words.items()):
+        for at in range(len(held) - window + 1):
+            first.setdefault(tuple(held[at : at + window]), i)
+    out = []
+    for i, held in words.items():
+        gone = set()
+        for at in range(len(held) - window + 1):
+            if first[tuple(held[at : at + window])] < i:
+                gone.update(range(at, at + window))
+        out.append((i, len(held), len(gone), sha(" ".join(w for k, w in enumerate(held) if k not in gone))))
+    return out
