@@ -1,7 +1,9 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components: of an edge table, and of candidates that are yet to be confirmed."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, one: str, other: str) -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node.
 
-    Takes a number of rounds that grows with the logarithm of the longest path.
+    Large-star and small-star steps alternate, for a number of rounds that grows with the
+    logarithm of the longest path.
     A node with very many edges is one row per edge in a join and one partial
     minimum per task. Each round is stored, which cuts the lineage.
     """
@@ -42,3 +45,51 @@ def components(edges: DataFrame, one: str, other: str) -> DataFrame:
         now = write_through(_small_star(_large_star(now)).distinct())
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def _labelled(postings: DataFrame, known: DataFrame | None) -> DataFrame:
+    if known is None:
+        return postings.withColumn("component", F.col("id"))
+    return postings.join(known, postings["id"] == known["node"], "left").select("value", "id", F.coalesce("component", "id").alias("component"))
+
+
+def linked_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 6) -> DataFrame | None:
+    """(node, component) of the ids that links join, or None if there are no links.
+
+    ``postings`` (value, id) name the candidates: two ids under one value.
+    ``confirm`` takes pairs (a, b), a < b, and returns those that are links.
+
+    Each round ties what is posted under a value to one centre of it, another
+    in each round, and drops the values whose ids are in one component. It goes
+    on while that merges components and more pairs are open than there are
+    postings; then all open pairs are confirmed. So a group of like ids costs
+    its size, not its square, and no candidate pair across components is left.
+    """
+    edges, known, open_before = None, None, None
+    for number in range(rounds + 1):
+        labelled = _labelled(postings, known)
+        parts = labelled.groupBy("value", "component").agg(F.count("*").alias("n"))
+        whole = parts.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("inner")).where("parts > 1")
+        postings = write_through(labelled.join(whole.select("value"), "value", "left_semi"))
+        still = write_through(whole)
+        state = still.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2)).first()
+        if not state[0]:
+            return known
+        last = number == rounds or state[1] <= 2 * state[0] or state[1] == open_before
+        open_before = state[1]
+        if last:
+            a, b = postings.alias("a"), postings.alias("b")
+            pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        else:
+            turn = F.xxhash64(F.lit(number), "id") if number else F.col("id")
+            centres = postings.groupBy("value").agg(F.min_by(F.struct("id", "component"), turn).alias("centre"))
+            tied = postings.join(centres, "value").where(F.col("component") != F.col("centre.component"))
+            pairs = tied.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
+        found = write_through(confirm(pairs.distinct()))
+        edges = found if edges is None else edges.union(found)
+        if not last and not found.isEmpty() or last:
+            known = write_through(components(edges, "a", "b"))
+        postings = postings.select("value", "id")
+        if last:
+            return known
+    return known

@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillwright.session import write_through
 
-from .components import components
+from .components import linked_components
 from .words import WHITE_SPACE, Sequences, Words, chunks, mix, signed
 
 SHINGLE = 5
@@ -139,50 +139,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(_similar(F.col("set_a"), F.col("set_b"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b").distinct()
 
 
-def _labelled(postings: DataFrame, known: DataFrame | None) -> DataFrame:
-    if known is None:
-        return postings.withColumn("component", F.col("id"))
-    return postings.join(known, postings["id"] == known["node"], "left").select("value", "id", F.coalesce("component", "id").alias("component"))
-
-
-def linked_components(postings: DataFrame, sets: DataFrame, percent: int, rounds: int = 6) -> DataFrame | None:
-    """(node, component) of the classes that are linked, or None if none are.
-
-    Each round ties what is posted under a value to one centre of it, another
-    in each round, and drops the values whose classes are in one component. It
-    goes on while that merges components and more pairs are open than there
-    are postings; then all open pairs are confirmed.
-    """
-    edges, known, open_before = None, None, None
-    for number in range(rounds + 1):
-        labelled = _labelled(postings, known)
-        parts = labelled.groupBy("value", "component").agg(F.count("*").alias("n"))
-        whole = parts.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("inner")).where("parts > 1")
-        postings = write_through(labelled.join(whole.select("value"), "value", "left_semi"))
-        still = write_through(whole)
-        state = still.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2)).first()
-        if not state[0]:
-            return known
-        last = number == rounds or state[1] <= 2 * state[0] or state[1] == open_before
-        open_before = state[1]
-        if last:
-            a, b = postings.alias("a"), postings.alias("b")
-            pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        else:
-            turn = F.xxhash64(F.lit(number), "id") if number else F.col("id")
-            centres = postings.groupBy("value").agg(F.min_by(F.struct("id", "component"), turn).alias("centre"))
-            tied = postings.join(centres, "value").where(F.col("component") != F.col("centre.component"))
-            pairs = tied.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
-        found = write_through(confirmed(pairs.distinct(), sets, percent))
-        edges = found if edges is None else edges.union(found)
-        if not last and not found.isEmpty() or last:
-            known = write_through(components(edges, "a", "b"))
-        postings = postings.select("value", "id")
-        if last:
-            return known
-    return known
-
-
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -200,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     postings = write_through(prefix_postings(chosen.dropDuplicates(["id", "set_a", "set_b"]).select("id", "signature"), least_matches(COORDINATES, percent)))
     wanted = write_through(postings.select("id").distinct())
     sets = write_through(shingle_sets(docs.join(wanted, docs[id_column] == wanted["id"], "left_semi"), id_column, text, shingle))
-    known = linked_components(postings, sets, percent)
+    known = linked_components(postings, lambda pairs: confirmed(pairs, sets, percent))
     narrow = signed_docs.select("id", "n_shingles", "set_a", "set_b")
     placed = narrow.join(classes, ["set_a", "set_b"], "left")
     component = F.col("class_id")

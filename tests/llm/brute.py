@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
+import numpy as np
+
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BENCH_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -98,3 +101,20 @@ def repeats(docs, window=50):
                 gone.update(range(at, at + window))
         out.append((i, len(held), len(gone), sha(" ".join(w for k, w in enumerate(held) if k not in gone))))
     return out
+
+
+def near_vectors(rows, cosine=0.98):
+    good = [(i, label, np.array(v, float)) for i, v, label in rows if i is not None and label is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links = {i: 0 for i, _, _ in rows}
+    pairs = []
+    for group in {(label, len(v)) for _, label, v in good}:
+        held = [(i, v) for i, label, v in good if (label, len(v)) == group]
+        unit = np.stack([v / np.linalg.norm(v) for _, v in held])
+        near = unit @ unit.T >= cosine
+        for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            a, b = held[a][0], held[b][0]
+            links[a] += 1
+            links[b] += 1
+            pairs.append((a, b))
+    component = joined([i for i, _, _ in rows], pairs)
+    return [(i, links[i], component[i], component[i] == i) for i, _, _ in rows]
