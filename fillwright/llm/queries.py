@@ -12,6 +12,7 @@ from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import drop_boilerplate
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .quality import fit_quality, held_out, score_quality
 from .secret_scan import scan_secrets, spans_text
 from .sharding import assign_shards, first_map, rebalanced, sized_records, slot_totals
 from .substring_dedup import cut_repeats
@@ -60,6 +61,13 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = fit_quality(docs, _table(spark, sf_dir, "labels"), eligible=~held_out())
+    return score_quality(docs, ranker).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query(LINES_SQL)
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
