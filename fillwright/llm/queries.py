@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import benchmark_hits, is_contaminated
+from .html_extract import extract_text
 from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import drop_boilerplate
 from .minhash import near_duplicates
@@ -55,6 +56,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query()
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
