@@ -53,6 +53,21 @@ def _labelled(postings: DataFrame, known: DataFrame | None) -> DataFrame:
     return postings.join(known, postings["id"] == known["node"], "left").select("value", "id", F.coalesce("component", "id").alias("component"))
 
 
+def open_postings(postings: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(value, id, component) under the values whose ids are not all in one component."""
+    labelled = _labelled(postings, known)
+    spread = labelled.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    return labelled.join(spread.select("value"), "value", "left_semi")
+
+
+def centre_pairs(labelled: DataFrame, turn: int = 0) -> DataFrame:
+    """(a, b), a < b: each id with one centre of each of its values, another centre in each turn."""
+    order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
+    centres = labelled.groupBy("value").agg(F.min_by(F.struct("id", "component"), order).alias("centre"))
+    tied = labelled.join(centres, "value").where(F.col("component") != F.col("centre.component"))
+    return tied.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
+
+
 def linked_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 6) -> DataFrame | None:
     """(node, component) of the ids that links join, or None if there are no links.
 
@@ -67,29 +82,25 @@ def linked_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFr
     """
     edges, known, open_before = None, None, None
     for number in range(rounds + 1):
-        labelled = _labelled(postings, known)
+        labelled = write_through(open_postings(postings, known))
         parts = labelled.groupBy("value", "component").agg(F.count("*").alias("n"))
-        whole = parts.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("inner")).where("parts > 1")
-        postings = write_through(labelled.join(whole.select("value"), "value", "left_semi"))
-        still = write_through(whole)
-        state = still.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2)).first()
-        if not state[0]:
+        whole = parts.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"))
+        total, pairs_open = whole.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2)).first()
+        if not total:
             return known
-        last = number == rounds or state[1] <= 2 * state[0] or state[1] == open_before
-        open_before = state[1]
+        last = number == rounds or pairs_open <= 2 * total or pairs_open == open_before
+        open_before = pairs_open
         if last:
-            a, b = postings.alias("a"), postings.alias("b")
-            pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+            a, b = labelled.alias("a"), labelled.alias("b")
+            met = (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
+            pairs = a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
         else:
-            turn = F.xxhash64(F.lit(number), "id") if number else F.col("id")
-            centres = postings.groupBy("value").agg(F.min_by(F.struct("id", "component"), turn).alias("centre"))
-            tied = postings.join(centres, "value").where(F.col("component") != F.col("centre.component"))
-            pairs = tied.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
-        found = write_through(confirm(pairs.distinct()))
+            pairs = centre_pairs(labelled, number)
+        found = write_through(confirm(pairs))
         edges = found if edges is None else edges.union(found)
-        if not last and not found.isEmpty() or last:
+        if last or not found.isEmpty():
             known = write_through(components(edges, "a", "b"))
-        postings = postings.select("value", "id")
         if last:
             return known
+        postings = labelled.select("value", "id")
     return known

@@ -12,10 +12,13 @@ similar enough share at least ``least_matches`` coordinates but for a chance of
   very many documents share is skipped unless nearly all of a class's values
   are of that kind.
 
-Pairs that meet are confirmed on the full sets. A group of thousands of near
-copies would give millions of pairs that say nothing new, so postings are first
-tied to one centre per value; a pair is dropped only once both are known to be
-in one component. All pairs across components are confirmed in the end.
+Pairs are confirmed on the full sets. A group of thousands of near copies would
+give millions of pairs that say nothing new, so what is posted under a value is
+first tied to one centre of it, and values whose classes all turn out to be in
+one component are done. Classes under the other values are joined once more, by
+the rarest shingles of their full sets, which is exact: for each pair the
+position of a shared shingle bounds what else the sets can share, so classes
+that were edited too much to have a partner meet none.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from fillwright.session import write_through
 
-from .components import linked_components
+from .components import centre_pairs, components, open_postings
 from .words import WHITE_SPACE, Sequences, Words, chunks, mix, signed
 
 SHINGLE = 5
@@ -139,6 +142,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(_similar(F.col("set_a"), F.col("set_b"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b").distinct()
 
 
+def rare_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: classes of two components that can be similar enough.
+
+    ``open_classes`` (id, component). Shingles are ordered by how many of these
+    classes have them. Sets that must share ``need`` shingles share one among
+    the first ``size - need + 1`` of either, so a pair meets only there.
+    """
+    held = sets.join(open_classes, "id").select("id", "component", "size", "shingles")
+    single = held.select("id", F.explode("shingles").alias("shingle"))
+    counts = single.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = single.join(counts, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared"))  # within one set
+    # Shingles of one class alone come first in the order and meet nothing.
+    alone = F.col("size") - F.size("shared")
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
+    prefix = F.slice("shared", 1, F.greatest(first.cast("int"), F.lit(0)))
+    narrow = held.select("id", "component", "size").join(shared, "id")
+    posted = narrow.select("id", "component", "size", alone.alias("alone"), F.posexplode(prefix).alias("place", "p"))
+    posted = write_through(posted.select(F.col("p.shingle").alias("shingle"), "id", "component", "size", (F.col("alone") + F.col("place")).alias("place")))
+    a, b = posted.alias("a"), posted.alias("b")
+    need = F.ceil((F.col("a.size") + F.col("b.size")) * percent / (100 + percent))
+    met = (
+        (F.col("a.shingle") == F.col("b.shingle"))
+        & (F.col("a.id") < F.col("b.id"))
+        & (F.col("a.component") != F.col("b.component"))
+        & (F.col("a.place") <= F.col("a.size") - need)
+        & (F.col("b.place") <= F.col("b.size") - need)
+    )
+    return a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def linked_classes(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that have a link."""
+    tied = write_through(confirmed(centre_pairs(postings.withColumn("component", F.col("id"))), sets, percent))
+    known = write_through(components(tied, "a", "b"))
+    open_classes = write_through(open_postings(postings, known).select("id", "component").distinct())
+    found = write_through(confirmed(rare_pairs(open_classes, sets, percent), sets, percent))
+    return write_through(components(tied.union(found), "a", "b"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -156,14 +198,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     postings = write_through(prefix_postings(chosen.dropDuplicates(["id", "set_a", "set_b"]).select("id", "signature"), least_matches(COORDINATES, percent)))
     wanted = write_through(postings.select("id").distinct())
     sets = write_through(shingle_sets(docs.join(wanted, docs[id_column] == wanted["id"], "left_semi"), id_column, text, shingle))
-    known = linked_components(postings, lambda pairs: confirmed(pairs, sets, percent))
+    known = linked_classes(postings, sets, percent)
     narrow = signed_docs.select("id", "n_shingles", "set_a", "set_b")
     placed = narrow.join(classes, ["set_a", "set_b"], "left")
-    component = F.col("class_id")
-    if known is not None:
-        placed = placed.join(known, placed["class_id"] == known["node"], "left")
-        component = F.coalesce("component", "class_id")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), component).otherwise(F.col("id"))
+    placed = placed.join(known, placed["class_id"] == known["node"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "class_id")).otherwise(F.col("id"))
     return placed.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
 
 
