@@ -65,6 +65,10 @@ class _Open:
     root: int
 
 
+def _part(here: _Open | None) -> tuple[bool, bool, int]:
+    return (here.hard, here.layout, here.root) if here else (False, False, 0)
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {name.lower(): html.unescape(value.strip("\"'")) for name, value in _ATTRIBUTE.findall(raw)} if "=" in raw or raw.strip() else {}
 
@@ -122,7 +126,7 @@ def scan(page: str) -> tuple[list[Block], list[str]]:
         if not raw:
             return
         top = stack[-1] if stack else None
-        if pieces and where is not top and (where is None or top is None or (where.hard, where.layout, where.root) != (top.hard, top.layout, top.root)):
+        if pieces and where is not top and _part(where) != _part(top):
             flush()  # an inline part that is no article text
         if where is None and not raw.isspace():
             where = top
