@@ -146,7 +146,10 @@ def fit_pairs(values: np.ndarray, good: np.ndarray, pairs: int = PAIRS, steps: i
     # The quantile with the best balanced accuracy; of equals, the middle one.
     cuts = np.quantile(latent, np.linspace(0.002, 0.998, 499))
     right = np.array([((latent >= c) & good).sum() / good.sum() + ((latent < c) & ~good).sum() / (~good).sum() for c in cuts])
-    threshold = float(np.median(cuts[right >= right.max() - 1e-12]))
+    cut = np.median(cuts[right >= right.max() - 1e-12])
+    # Halfway between the scores on either side of it.
+    below, above = latent[latent < cut], latent[latent >= cut]
+    threshold = float(((below.max() if len(below) else cut) + (above.min() if len(above) else cut)) / 2)
     # The slope of a logistic curve through the threshold.
     scale, centred = 1.0, latent - threshold
     for _ in range(30):
