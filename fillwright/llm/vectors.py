@@ -161,6 +161,10 @@ def link_counts(members: DataFrame, cosine: float, block: int = BLOCK) -> DataFr
                 n[rows[two]] += linked.T @ weight[rows[one]]
         return pd.DataFrame({"hash_a": frame["hash_a"], "hash_b": frame["hash_b"], "n": n})
 
+    # A fixed number of partitions: two blocks are few bytes but much work, so
+    # they must not be put together by size.
+    slots = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.repartition(slots, "component", "low", "high")
     counted = spread.groupBy("component", "low", "high").applyInPandas(compare, "hash_a long, hash_b long, n long")
     return counted.groupBy("hash_a", "hash_b").agg(F.sum("n").alias("n"))
 
