@@ -32,20 +32,26 @@ def complete(
     batch_rows: int = 64,
     partitions: int | None = None,
     keep: bool = False,
+    on_error: str = "fail",
 ) -> DataFrame:
     """Add ``completion`` and ``error`` from the caller's batch function.
 
     ``make_fn`` runs once per task, where a model would be loaded, and returns a
     function from input columns, as lists, to texts. Only the inputs travel to
-    Python. When a batch fails all its rows are tried once more, one by one, so an
-    error stays with the row that caused it. ``partitions`` spreads rows over tasks first;
-    use it where the input is a few files that do not split.
+    Python. An error of the function fails the job. With ``on_error="keep"`` all
+    rows of a failing batch are tried once more, one by one, and an error stays
+    with the row that caused it; this is for tasks that may go without an answer.
+    ``partitions`` spreads rows over tasks first; use it where the input is a few
+    files that do not split.
 
     A plan that uses the result twice runs the function twice, and a model may
     then answer differently. ``keep=True`` runs it now and writes the outcome to
     the shared folder, so that the accepted and the failed rows are of one run.
     """
 
+    if on_error not in ("fail", "keep"):
+        raise ValueError(f"on_error is fail or keep, not {on_error}")
+
     @F.arrow_udf("struct<completion: string, error: string>")
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         fn = make_fn()
@@ -75,6 +81,8 @@ def complete(
                 try:
                     out.extend((text, None) for text in call(part))
                 except Exception:
+                    if on_error == "fail":
+                        raise
                     out.extend(one_by_one(part))
             texts = pa.array([text for text, _ in out], pa.string())
             errors = pa.array([error for _, error in out], pa.string())
@@ -145,9 +153,11 @@ def parse_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
 
         return pa.array([convert(t) for t in texts.to_pylist()], pa.string())
 
+    # keys that are one text in JSON, as 1 and '1', also make a literal unusable
+    parsed = F.try_parse_json("_json")
     return (
         df.withColumn("_json", to_json(column))
-        .withColumn(REASON, reason_when((F.col("_json").isNull(), "metadata is no literal")))
-        .withColumn(column, F.try_parse_json("_json"))
+        .withColumn(column, parsed)
+        .withColumn(REASON, reason_when((F.col(column).isNull(), "metadata is no literal")))
         .drop("_json")
     )

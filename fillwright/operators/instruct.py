@@ -37,21 +37,13 @@ DATA_SCIENCE_SENTENCE = (
     "output only the  codes to be continued after the BEGIN SOLUTION or SOLUTION START."
 )
 
-# A few-shot block is part of every prompt, so it must fit a model context;
-# this many characters is far above any context in the model table.
-MAX_FEWSHOT_CHARS = 1 << 20
-
-
 def ordered_concat(df: DataFrame, value: Column, order: str = "ord") -> Column:
     """All values in order as one text: a scalar subquery, run once per query."""
     named = df.select(value.alias("_value"), F.col(order).alias("_order"))
     text = F.coalesce(
         F.expr("listagg(_value, '') within group (order by _order)"), F.lit("")
     )
-    joined = named.agg(text.alias("_text"))
-    fits = F.char_length("_text") <= MAX_FEWSHOT_CHARS
-    message = F.lit("the few-shot block does not fit a prompt")
-    return joined.select(F.when(fits, F.col("_text")).otherwise(F.raise_error(message))).scalar()
+    return named.agg(text.alias("_text")).scalar()
 
 
 def _block(shots: FewShots | None, in_rows: Callable, in_python: Callable) -> Column:

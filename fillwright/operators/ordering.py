@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fillwright.operators.contracts import checked
 from fillwright.session import write_through
 
 # Hash buckets: 16 ** 5, about a million at most, so the table of bucket offsets
@@ -53,18 +54,22 @@ def exact_rank(
     """1-based position of every row in the seeded permutation.
 
     Where ``keys`` identify a row, this costs one shuffle of the rows, by hash
-    bucket, and a broadcast of at most a million offsets. With ``unique=False`` keys
-    may repeat in any number of rows: the rows are then written and sorted by
-    range, which cuts a repeated key into many partitions.
+    bucket, and a broadcast of at most a million offsets; a key that repeats
+    fails the job. With ``unique=False`` keys may repeat in any number of rows:
+    the rows are then written and sorted by range of the hash and the input
+    position, which cuts a repeated key into many partitions and keeps the
+    texts of the keys out of the sort.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     hashed = df.withColumn("_hash", shuffle_hash(seed, *keys))
     if not unique:
-        numbered = with_key_ordinal(hashed, ["_hash", *keys], "_ord", unique=False)
+        numbered = with_key_ordinal(hashed, "_hash", "_ord", unique=False)
         return numbered.withColumn(rank_col, F.col("_ord") + 1).drop("_hash", "_ord")
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     inside = Window.partitionBy("_bucket").orderBy("_hash", *keys)
-    numbered = hashed.withColumn("_inside", F.row_number().over(inside))
+    repeated = F.lag("_hash").over(inside).eqNullSafe(F.col("_hash"))
+    place = checked(F.row_number().over(inside), ~repeated, "a key repeats: rank with unique=False")
+    numbered = hashed.withColumn("_inside", place)
     offsets = bucket_table(df, keys, seed).select("_bucket", "_before")
     return (
         numbered.join(F.broadcast(offsets), "_bucket")
@@ -106,6 +111,14 @@ def _number_blocks(
     )
 
 
+def _is_direct_scan(df: DataFrame) -> bool:
+    """Nothing but columns chosen from one file scan: no row is missing."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() in ("LogicalRelation", "Relation")
+
+
 def with_file_ordinal(scan: DataFrame, ord_col: str = "ord") -> DataFrame:
     """0-based line number over the files of a direct file scan, in path order.
 
@@ -114,6 +127,8 @@ def with_file_ordinal(scan: DataFrame, ord_col: str = "ord") -> DataFrame:
     the tagged rows are written once to the shared folder and numbered from
     there, each split of a file on its own.
     """
+    if not _is_direct_scan(scan):
+        raise ValueError("line numbers need a direct file scan: filter after numbering")
     path = F.col("_metadata.file_path").alias("_file")
     known = scan.select("_metadata").schema["_metadata"].dataType.names
     if "row_index" in known:
@@ -157,13 +172,14 @@ def with_key_ordinal(
 def dedupe_last(df: DataFrame, key: str = "task_id", order: str = "ord") -> DataFrame:
     """Last value of every key, at the position where the key came first.
 
-    One aggregate with map-side combining: a key repeated in a third of the rows
-    reaches the shuffle once per task.
+    ``order`` identifies a row. Its first and last value per key are one hash
+    aggregate of two numbers, combined before the shuffle; the rows are then
+    picked by the last value, a join on a unique number, so no row is sorted to
+    be aggregated and a key repeated in a third of the rows makes no hot task.
     """
-    rest = [c for c in df.columns if c not in (key, order)]
-    last = F.max_by(F.struct(*rest), order).alias("_last")
-    grouped = df.groupBy(key).agg(last, F.min(order).alias(order))
-    return grouped.select(key, *[F.col("_last")[c].alias(c) for c in rest], order)
+    ends = df.groupBy(key).agg(F.max(order).alias("_last"), F.min(order).alias("_first"))
+    picked = df.join(ends.select("_last", "_first"), F.col(order) == F.col("_last"))
+    return picked.select(*[c for c in df.columns if c != order], F.col("_first").alias(order))
 
 
 def chunk(df: DataFrame, rows: int, order: str = "ord") -> DataFrame:

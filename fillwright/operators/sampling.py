@@ -125,6 +125,8 @@ def nested_subsets(
 
     All ratios share one permutation, so a smaller subset lies inside a larger.
     """
+    if len({percent_of(r) for r in ratios}) < len(ratios):
+        raise ValueError("two ratios have the same whole percent, which names a subset")
     names = {f"r{i}": float(r) for i, r in enumerate(ratios)}
     sizes = {name: F.floor(F.col("_n") * F.lit(r)) for name, r in names.items()}
     tags = [F.when(F.col("_in")[name], F.lit(percent_of(r))) for name, r in names.items()]

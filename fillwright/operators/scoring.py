@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fillwright.functions.text import normalise_answer
-from fillwright.operators.contracts import REASON
+from fillwright.operators.contracts import REASON, checked
 
 
 def _matches(truth: str, pred: str):
@@ -49,10 +49,17 @@ def pair_by_position(
     truth_col: str = "ground_truth",
     pred_col: str = "completion",
 ) -> DataFrame:
-    """Row i of the truth with row i of the completions; ids are not looked at."""
-    left = truth.select(order, truth_col)
-    right = pred.select(order, pred_col)
-    return left.join(right, order).withColumn("correct", _matches(truth_col, pred_col))
+    """Row i of the truth with row i of the completions; ids are not looked at.
+
+    The two must have the same positions: a row without a partner fails the job
+    that reads ``correct``, so a short file never gives a score.
+    """
+    left = truth.select(order, truth_col, F.lit(True).alias("_has_truth"))
+    right = pred.select(order, pred_col, F.lit(True).alias("_has_pred"))
+    both = F.col("_has_truth").isNotNull() & F.col("_has_pred").isNotNull()
+    correct = checked(_matches(truth_col, pred_col), both, "truth and completions differ in length")
+    paired = left.join(right, order, "full").withColumn("correct", correct)
+    return paired.drop("_has_truth", "_has_pred")
 
 
 def score_pairs(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

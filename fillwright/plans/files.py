@@ -22,9 +22,8 @@ from fillwright.operators.completions import (
 )
 from fillwright.operators.contracts import (
     accepted,
-    check_padding_bounds,
-    check_parallel_lengths,
     check_same_count,
+    checked,
 )
 from fillwright.operators.infill import QWEN, infill_by_short_name, split_infill
 from fillwright.operators.instruct import mapper_for
@@ -186,7 +185,7 @@ def q_write_answers(spark, sf_dir):
         F.col("text").alias("prompt"), meta.alias("metadata")
     )
     tasks = accepted(parse_metadata(docs))
-    done = drop_failed_rows(complete(tasks, _answer_length(), keep=True))
+    done = drop_failed_rows(complete(tasks, _answer_length(), keep=True, on_error="keep"))
     path = write_answers(code_answers(done), _folder(spark), "dscoder", "ds-1000.csv")
     answers = spark.read.schema("code string, metadata variant").json(path)
     return answers.select("code", F.to_json("metadata").alias("metadata"))
@@ -224,7 +223,7 @@ def q_write_solutions(spark, sf_dir):
         ).alias("prompt"),
     )
     done = complete(expand_samples(prompts, 2), _fenced_pass())
-    solutions = code_solutions(drop_failed_rows(done))
+    solutions = code_solutions(done)
     path = write_solutions(solutions, f"{_folder(spark)}/solutions.jsonl", "humaneval")
     rows = spark.read.schema("task_id string, code string").json(path)
     return rows.groupBy("task_id", "code").agg(F.count("*").alias("n"))
@@ -247,7 +246,9 @@ def q_generate_infill(spark, sf_dir):
     kind, tasks = open_benchmark(spark, _task_csv(spark, sf_dir))
     split = accepted(split_infill(tasks))
     prompts = split.select("task_id", infill_by_short_name("qwen").alias("prompt"))
-    done = drop_failed_rows(complete(expand_samples(prompts, 1), _padded_length()))
+    # one multi-line file is one task until the prompts are dealt out
+    slots = spark.sparkContext.defaultParallelism
+    done = complete(expand_samples(prompts, 1), _padded_length(), partitions=slots)
     stripped = done.withColumn("completion", strip_completion("completion", F.lit("qwen")))
     return read_predictions(spark, write_completions(stripped, _folder(spark), "qwen", "tasks.csv"))
 
@@ -295,6 +296,6 @@ def q_checked_examples(spark, sf_dir):
     examples = sft_map(
         document_pairs(spark, sf_dir), "Q: {instruction}\nA: {response}", TOKENS, keep=("id",)
     )
-    check_parallel_lengths(examples, "input_ids", "labels")
-    check_padding_bounds(examples, "input_ids", 1216)
-    return examples.select("id", F.size("input_ids").alias("n_ids"))
+    ids = F.size("input_ids")
+    sound = (ids == F.size("labels")) & (ids <= 1216)
+    return examples.select("id", checked(ids, sound, "an example breaks its bounds").alias("n_ids"))

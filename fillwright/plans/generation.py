@@ -29,7 +29,7 @@ from fillwright.plans.views import (
     table,
     with_sql,
 )
-from fillwright.session import scratch_dir, spread
+from fillwright.session import scratch_dir
 from fillwright.sources.readers import read_predictions
 from fillwright.sources.writers import write_completions
 
@@ -77,7 +77,7 @@ def q_expand_samples(spark, sf_dir):
 )
 def q_complete_stub(spark, sf_dir):
     samples = expand_samples(_tasks(spark, sf_dir), 2)
-    done = complete(samples, _stub(), inputs=("prompt", "sample_idx"))
+    done = complete(samples, _stub(), inputs=("prompt", "sample_idx"), on_error="keep")
     return code_solutions(drop_failed_rows(done)).select("task_id", "sample_idx", "code")
 
 
@@ -88,7 +88,7 @@ def q_complete_stub(spark, sf_dir):
 )
 def q_failed_rows(spark, sf_dir):
     samples = expand_samples(_tasks(spark, sf_dir), 2)
-    done = complete(samples, _stub(), inputs=("prompt", "sample_idx"))
+    done = complete(samples, _stub(), inputs=("prompt", "sample_idx"), on_error="keep")
     return failed_rows(done).select("task_id", "sample_idx", "reject_reason")
 
 
@@ -117,7 +117,7 @@ def q_lookup_completions(spark, sf_dir):
     CASE WHEN model = 'qwen' THEN trim(completion, {WS_SQL}) ELSE completion END AS stripped FROM j"""
 )
 def q_strip_prompt(spark, sf_dir):
-    tasks = spread(infill_tasks(spark, sf_dir), "doc_id")
+    tasks = infill_tasks(spark, sf_dir)
     # the answer column is built next to its prompt, so no join is needed
     both = tasks.withColumn("completion", prediction_of())
     prompt = F.col("eval_prompt")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from fillwright.functions.text import MARKER, WHITESPACE
 from fillwright.operators.models import MODELS
-from fillwright.session import spread
 
 WS_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 
@@ -30,8 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, over all task slots: for work that is heavy per text."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def csv_text(ids: str | Column) -> Column:
@@ -137,7 +135,8 @@ def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     replied = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("solution")
     )
-    ident = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
+    # a turn is a 32-bit number, so the pair is one number without collisions
+    ident = (F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("id")
     return asked.join(replied, ["conv_id", "turn"]).select(ident, "problem", "solution")
 
 
@@ -147,7 +146,7 @@ v_turn AS (
          lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
          lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations),
 v_sft AS (
-  SELECT conv_id * 1000 + turn AS id, text AS problem, next_text AS solution
+  SELECT conv_id * 4294967296 + turn AS id, text AS problem, next_text AS solution
   FROM v_turn WHERE role = 'user' AND next_role = 'assistant')"""
 
 

@@ -31,23 +31,6 @@ def build_session(app: str = "fillwright", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-# An input below this many bytes for each task slot is moved to fill the slots.
-SPREAD_BYTES = 16 << 20
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every task slot a share of an input that scans in fewer tasks.
-
-    A row group, a gz file or a multi-line CSV file is one task however much
-    work its rows are. Such an input is hashed by ``keys`` over the slots if it
-    is small, at most 16 MB a slot; a larger one has splits enough and is left
-    alone, so the shuffle never grows with the data.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(slots, *keys) if size < slots * SPREAD_BYTES else df
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

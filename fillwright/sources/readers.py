@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fillwright.operators.contracts import checked
 from fillwright.operators.ordering import dedupe_last, with_file_ordinal
 
 INFILL_SCHEMA = "task_id string, prompt string, suffix string"
@@ -26,8 +27,12 @@ def _read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def _read_csv(
     spark: SparkSession, path: str, columns: Sequence[str], optional: Sequence[str] = ()
 ) -> DataFrame:
-    # columns are found by header name, every value stays text
-    scan = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    # columns are found by header name, every value stays text; whole lines are
+    # parsed, so that a line with too few or too many cells fails the job
+    reader = spark.read.option("columnPruning", False)
+    scan = reader.csv(
+        path, header=True, multiLine=True, escape='"', inferSchema=False, mode="FAILFAST"
+    )
     missing = [c for c in columns if c not in scan.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
@@ -59,10 +64,19 @@ def read_infill_jsonl(spark: SparkSession, path: str, name: str = "hei") -> Data
 
 
 def read_fewshots(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of examples, with their place in it as ``ord``."""
-    scan = spark.read.text(path, wholetext=True)
-    examples = F.from_json("value", "array<struct<problem: string, solution: string>>")
-    return scan.select(F.posexplode(examples).alias("ord", "e")).select(
+    """A JSON array of examples, with their place in it as ``ord``.
+
+    A file that is no such array, or an example without one of its two texts,
+    fails the job: a prompt must not lose its examples unseen.
+    """
+    # an aggregate, so that an empty file is a row to be checked as well
+    scan = spark.read.text(path, wholetext=True).agg(F.first("value").alias("value"))
+    examples = F.from_json(
+        "value", "array<struct<problem: string, solution: string>>", {"mode": "FAILFAST"}
+    )
+    whole = F.forall(examples, lambda e: e["problem"].isNotNull() & e["solution"].isNotNull())
+    known = checked(examples, F.coalesce(whole, F.lit(False)), f"{path} is no list of examples")
+    return scan.select(F.posexplode(known).alias("ord", "e")).select(
         "e.problem", "e.solution", "ord"
     )
 
@@ -154,4 +168,3 @@ def open_text2code(
         return read_problem_map(spark, source)
     splits = {split or "first": source} if isinstance(source, str) else source
     return read_table_split(spark, splits, split)
-

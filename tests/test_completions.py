@@ -3,6 +3,7 @@
 import ast
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fillwright.operators import completions as cp
@@ -31,7 +32,7 @@ def test_complete_isolates_failing_rows(spark):
 
         return run
 
-    done = cp.complete(df, make_upper, batch_rows=3)
+    done = cp.complete(df, make_upper, batch_rows=3, on_error="keep")
     assert done.columns == ["i", "prompt", "completion", "error"]
     good = {r.i: r.completion for r in cp.drop_failed_rows(done).collect()}
     assert {i: v.split("!")[0] for i, v in good.items()} == {0: "a", 1: "b", 3: "c", 5: "d", 6: "e"}
@@ -48,13 +49,14 @@ def test_complete_spreads_rows(spark):
 
 def test_wrong_number_of_texts_is_an_error(spark):
     df = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
-    rows = cp.complete(df, lambda: lambda prompts: ["only"] * 3).collect()
+    rows = cp.complete(df, lambda: lambda prompts: ["only"] * 3, on_error="keep").collect()
     assert all(r.completion is None and "number of rows" in r.error for r in rows)
 
 
 def test_other_values_than_text_are_errors(spark):
     df = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
-    rows = cp.complete(df, lambda: lambda prompts: [1 if p == "a" else p for p in prompts]).collect()
+    fn = lambda: lambda prompts: [1 if p == "a" else p for p in prompts]
+    rows = cp.complete(df, fn, on_error="keep").collect()
     assert rows[0].completion is None and rows[0].error.startswith("TypeError")
     assert (rows[1].completion, rows[1].error) == ("b", None)
 
@@ -114,7 +116,29 @@ def test_kept_outcome_is_of_one_run(spark):
         return run
 
     df = spark.range(200).select(F.col("id").cast("string").alias("prompt"))
-    done = cp.complete(df, make_random, batch_rows=1, keep=True)
+    done = cp.complete(df, make_random, batch_rows=1, keep=True, on_error="keep")
     good, failed = cp.drop_failed_rows(done), cp.failed_rows(done)
     assert {r.prompt for r in good.collect()}.isdisjoint({r.prompt for r in failed.collect()})
     assert good.count() + failed.count() == 200
+
+
+def test_a_failing_function_fails_the_job(spark):
+    df = spark.createDataFrame([("a",)], "prompt string")
+
+    def broken():
+        def run(prompts):
+            raise RuntimeError("no memory")
+
+        return run
+
+    with pytest.raises(Exception, match="no memory"):
+        cp.complete(df, broken).collect()
+    assert cp.complete(df, lambda: lambda prompts: prompts).first().completion == "a"
+    with pytest.raises(ValueError, match="on_error"):
+        cp.complete(df, broken, on_error="skip")
+
+
+def test_metadata_with_keys_that_collide_is_rejected(spark):
+    df = spark.createDataFrame([("{1: 'a', '1': 'b'}",), ("{1: 'a'}",), ("{",)], "metadata string")
+    reasons = [r[REASON] for r in cp.parse_metadata(df).collect()]
+    assert [r is None for r in reasons] == [False, True, False]

@@ -160,8 +160,30 @@ def test_scratch_follows_the_session(spark):
     assert sorted(r.id for r in back.collect()) == [0, 1, 2]
 
 
-def test_spread_only_moves_small_inputs(spark, monkeypatch):
-    df = spark.range(10).coalesce(1)
-    assert session.spread(df, "id").rdd.getNumPartitions() == 4
-    monkeypatch.setattr(session, "SPREAD_BYTES", 0)
-    assert session.spread(df, "id").rdd.getNumPartitions() == 1
+
+
+def _failing(df):
+    with pytest.raises(Exception) as caught:
+        df.collect()
+    return str(caught.value)
+
+
+def test_csv_lines_with_other_cells_fail(spark, tmp_path):
+    for name, line in (("short", "2"), ("long", "2,b,c")):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(f"task_id,eval_prompt\n1,a\n{line}\n")
+        _failing(readers.read_infill_csv(spark, str(path)))
+    good = tmp_path / "good.csv"
+    good.write_text('task_id,eval_prompt,more\n1,"a\nb",x\n')
+    assert [tuple(r) for r in readers.read_infill_csv(spark, str(good)).collect()] == [("1", "a\nb")]
+
+
+def test_broken_fewshots_fail(spark, tmp_path):
+    for i, text in enumerate(('[{"problem": "p", "sol', '[{"problem": "p"}]', "{}", "")):
+        path = tmp_path / f"{i}.json"
+        path.write_text(text)
+        _failing(readers.read_fewshots(spark, str(path)))
+    path = tmp_path / "good.json"
+    path.write_text('[{"problem": "p", "solution": "s"}, {"problem": "q", "solution": ""}]')
+    rows = [tuple(r) for r in readers.read_fewshots(spark, str(path)).collect()]
+    assert rows == [("p", "s", 0), ("q", "", 1)]

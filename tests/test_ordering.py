@@ -170,3 +170,33 @@ def test_mixing(spark):
     assert {(r.source, r.stage) for r in staged} == {("y", 0), ("x", 1)}
     with pytest.raises(ValueError):
         sm.mix_sequential({})
+
+
+def test_repeated_keys_fail_or_are_ranked(spark):
+    df = spark.range(90).select((F.col("id") / 3).cast("int").alias("k"), "id").withColumn("k", F.when(F.col("id") < 30, -1).otherwise(F.col("k")))
+    with pytest.raises(Exception, match="a key repeats"):
+        od.exact_rank(df, "k").collect()
+    ranked = od.exact_rank(df, "k", unique=False)
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 91))
+    ordered = [r.k for r in ranked.orderBy("rank").collect()]
+    assert ordered.count(-1) == 30 and ordered.index(-1) + 29 == 89 - ordered[::-1].index(-1)
+
+
+def test_line_numbers_of_a_filtered_scan_are_refused(spark, tmp_path):
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r.ord for r in od.with_file_ordinal(scan.select("id")).collect()) == list(range(10))
+    with pytest.raises(ValueError, match="direct file scan"):
+        od.with_file_ordinal(scan.where("id >= 3"))
+
+
+def test_dedupe_last_sorts_no_row_to_aggregate(spark):
+    df = spark.createDataFrame([("a", "1", 0), ("b", "2", 1), ("a", "3", 2)], "task_id string, v string, ord long")
+    got = od.dedupe_last(df)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "3", 0), ("b", "2", 1)]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_percents_are_refused(spark):
+    with pytest.raises(ValueError, match="whole percent"):
+        sm.nested_subsets(spark.range(5), "id", ratios=(0.285, 0.29))

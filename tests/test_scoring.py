@@ -141,3 +141,12 @@ def test_checks(spark):
         check_padding_bounds(good, "a", 1, pad_to_max=True)
     with pytest.raises(Exception, match="too big"):
         three.select(checked(F.col("id"), F.col("id") < 2, "too big")).collect()
+
+
+def test_positions_without_partner_fail(spark):
+    truth = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "ord long, ground_truth string")
+    pred = truth.withColumnRenamed("ground_truth", "completion")
+    assert scoring.score_pairs(scoring.pair_by_position(truth, pred)).first().em == 1.0
+    for left, right in ((truth, pred.where("ord < 2")), (truth.where("ord > 0"), pred)):
+        with pytest.raises(Exception, match="differ in length"):
+            scoring.score_pairs(scoring.pair_by_position(left, right)).collect()
