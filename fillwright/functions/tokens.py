@@ -21,6 +21,7 @@ class Tokenizer:
 
     ``ids(text, limit)`` gives at most ``limit`` ids of a text (all of them for
     None) and ``length(text)`` their full number; ``text(ids)`` is the inverse.
+    ``cheap_length`` says that a length costs no tokenizing.
     """
 
     ids: Callable[[Column, int | None], Column]
@@ -30,6 +31,7 @@ class Tokenizer:
     eos_id: int | None = None
     pad_id: int | None = None
     special_ids: tuple[int, ...] = field(default=())
+    cheap_length: bool = True
 
     @property
     def pad_token_or_eos(self) -> int:
@@ -138,7 +140,7 @@ def function_tokenizer(
         return whole if limit is None else F.slice(whole, 1, limit)
 
     return Tokenizer(
-        ids, lambda text: F.size(to_ids(text)), to_text, bos_id, eos_id, pad_id, special_ids
+        ids, lambda text: F.size(to_ids(text)), to_text, bos_id, eos_id, pad_id, special_ids, False
     )
 
 

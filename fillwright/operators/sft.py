@@ -21,12 +21,14 @@ from fillwright.operators.ordering import chunk
 MAX_TRAINING_SEQ_LENGTH = 1216  # fixed value: default sequence limit
 
 
-def sft_prompt_ids(prompt: Column | str, tokenizer: Tokenizer) -> Column:
-    return encode(prompt, tokenizer, add_bos=True)
+def sft_prompt_ids(prompt: Column | str, tokenizer: Tokenizer, limit: int | None = None) -> Column:
+    return encode(prompt, tokenizer, add_bos=True, truncation=limit)
 
 
-def sft_completion_ids(completion: Column | str, tokenizer: Tokenizer) -> Column:
-    return encode(completion, tokenizer, add_eos=True)
+def sft_completion_ids(
+    completion: Column | str, tokenizer: Tokenizer, limit: int | None = None
+) -> Column:
+    return encode(completion, tokenizer, add_eos=True, truncation=limit)
 
 
 def sft_concat(prompt_ids: Column | str, completion_ids: Column | str) -> Column:
@@ -68,8 +70,8 @@ def sft_map(
     """
     # nothing past the limit survives the cut, so no text is expanded past it;
     # an end id that moves forward by this still lies beyond the limit
-    prompt_ids = encode("_prompt", tokenizer, add_bos=True, truncation=max_length)
-    completion_ids = encode("solution", tokenizer, add_eos=True, truncation=max_length)
+    prompt_ids = sft_prompt_ids("_prompt", tokenizer, max_length)
+    completion_ids = sft_completion_ids("solution", tokenizer, max_length)
     return (
         pairs.select(*keep, "solution", _prompt(template).alias("_prompt"))
         .select(
@@ -144,12 +146,14 @@ def sft_batches(
 ) -> DataFrame:
     """Ordered pairs to padded batches of ``rows``: chunk, tokenize, collate.
 
-    The batch width follows from text lengths, so the shuffle that gathers a
-    batch carries text; ids and labels, eight times its size, are built after.
+    Where the tokenizer tells lengths without tokenizing, the batch width follows
+    from the texts, so the shuffle that gathers a batch carries text; ids and
+    labels, eight times its size, are built after. Else each text is tokenized
+    once, before the shuffle, and the cut ids travel.
     """
     batches = chunk(pairs, rows, order)
     known = ("batch_id",)
-    if not pad_to_max_length:
+    if not pad_to_max_length and tokenizer.cheap_length:
         length = F.least(_pair_length(_prompt(template), tokenizer), F.lit(max_length))
         batches = batch_max_length(batches, length)
         known = ("batch_id", "width")
@@ -167,12 +171,18 @@ def encode_with_padding(
     ids_col: str = "input_ids",
 ) -> DataFrame:
     """Encode a text and pad it to the longest of its batch; padding on the left
-    is what batched generation needs. The batch is gathered as text."""
+    is what batched generation needs. The batch is gathered as text, or as ids
+    where only tokenizing tells their number."""
     if side not in ("left", "right"):
         raise ValueError(f"unknown padding side: {side}")
     pad = pad_left if side == "left" else pad_right
-    wide = batch_max_length(df, encoded_length(text, tokenizer, add_bos, add_eos))
     ids = encode(text, tokenizer, add_bos, add_eos)
+    if not tokenizer.cheap_length:
+        wide = batch_max_length(df.withColumn(ids_col, ids), F.size(ids_col))
+        return wide.withColumn(
+            ids_col, pad(ids_col, F.col("width"), tokenizer.pad_token_or_eos)
+        )
+    wide = batch_max_length(df, encoded_length(text, tokenizer, add_bos, add_eos))
     return wide.withColumn(ids_col, ids).withColumn(
         ids_col, pad(ids_col, F.col("width"), tokenizer.pad_token_or_eos)
     )

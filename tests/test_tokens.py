@@ -232,3 +232,17 @@ def test_encode_with_padding(texts):
             assert r.input_ids == (pad + ids if side == "left" else ids + pad)
     with pytest.raises(ValueError):
         sft.encode_with_padding(batches, "t", BYTES, "middle")
+
+
+def test_batches_tokenize_once(texts):
+    pairs = texts.select("id", F.col("id").alias("ord"), F.col("t").alias("problem"), F.col("t").alias("solution"))
+    batches = sft.sft_batches(pairs, TEMPLATE, POINTS, 7, 20, keep=("id",))
+    padded = sft.encode_with_padding(pairs.withColumn("batch_id", F.col("id") % 2), "problem", POINTS)
+    for df, calls in ((batches, 2), (padded, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        evals = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+        assert len(evals) == 1 and evals[0].count("to_ids(") == calls
+    widths = {(r.batch_id, r.width): None for r in batches.collect()}
+    assert len(widths) == len({b for b, _ in widths})
+    assert all(len(r.input_ids) == r.width == len(r.labels) for r in batches.collect())
+    assert all(len(r.input_ids) == r.width for r in padded.collect())
