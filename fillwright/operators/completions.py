@@ -14,7 +14,10 @@ from fillwright.functions.text import (
     extract_code_block,
     strip_py,
 )
+from fillwright.functions.tokens import Tokenizer, decode, strip_prompt_ids
 from fillwright.operators.contracts import REASON, reason_when
+from fillwright.operators.models import MAX_NEW_TOKENS, reject_over_context, token_budget
+from fillwright.operators.sft import encode_with_padding
 from fillwright.session import write_through
 
 
@@ -96,6 +99,54 @@ def complete(
     return write_through(done) if keep else done
 
 
+def complete_tokens(
+    df: DataFrame,
+    prompt: str,
+    tokenizer: Tokenizer,
+    make_fn: Callable[[], Callable[[list[list[int]], list[int]], list[list[int]]]],
+    context: str = "max_context_size",
+    max_new_tokens: int = MAX_NEW_TOKENS,
+) -> DataFrame:
+    """Add ``completion`` from a function over token ids; takes ``batch_id``.
+
+    Prompts are encoded with a begin id and padded on the left to the longest
+    of their batch. A batch that fills the context is rejected, all others may
+    generate as many tokens as context and limits leave. The function gets the
+    rows of one batch, or a part of them that came together, and the new tokens
+    each may have, and returns input and new ids; the input is cut off and the
+    rest decoded without special ids. An error of the function fails the job.
+    """
+    padded = encode_with_padding(df, prompt, tokenizer, "left", add_bos=True, ids_col="_ids")
+    judged = reject_over_context(padded, "width", context)
+    budget = token_budget("width", context, max_new_tokens).cast("int")
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        fn = make_fn()
+        for ids, budgets, batch_ids in batches:
+            rows, limits, groups = ids.to_pylist(), budgets.to_pylist(), batch_ids.to_pylist()
+            out: list[list[int] | None] = [None] * len(rows)
+            at = 0
+            while at < len(rows):
+                end = at + 1
+                while end < len(rows) and groups[end] == groups[at]:
+                    end += 1
+                if rows[at] is not None:
+                    made = fn(rows[at:end], limits[at:end])
+                    if len(made) != end - at:
+                        raise ValueError("the completion function changed the number of rows")
+                    out[at:end] = made
+                at = end
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    # rejected batches reach the function as nulls, which it is not called for
+    taken = F.when(F.col(REASON).isNull(), F.col("_ids"))
+    output = run.asNondeterministic()(taken, budget, F.col("batch_id"))
+    done = judged.withColumn("_out", output)
+    text = decode(strip_prompt_ids("_out", "width"), tokenizer)
+    return done.withColumn("completion", text).drop("_ids", "_out", "width")
+
+
 def drop_failed_rows(df: DataFrame) -> DataFrame:
     """The rows whose completion worked; the others are in :func:`failed_rows`."""
     return df.filter(F.col("error").isNull()).drop("error")

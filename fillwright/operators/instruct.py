@@ -83,6 +83,25 @@ def chat_messages(prompt: Column | str, shots: Column | None = None) -> Column:
     return F.array(F.struct(F.lit("user").alias("role"), content.alias("content")))
 
 
+def render_chat(
+    messages: Column | str,
+    around: dict[str, tuple[str, str]],
+    generation: str = "",
+) -> Column:
+    """Chat messages as one text: each content between the two texts of its
+    role, then the text that asks for an answer. A role without texts fails."""
+    entries = [F.lit(x) for role, texts in around.items() for x in (role, F.array(*map(F.lit, texts)))]
+    texts_of = F.create_map(*entries)
+
+    def one(message: Column) -> Column:
+        texts = texts_of[message["role"]]
+        return F.when(
+            texts.isNotNull(), F.concat(texts[0], message["content"], texts[1])
+        ).otherwise(F.raise_error(F.concat(F.lit("no texts for the role "), message["role"])))
+
+    return F.concat(F.array_join(F.transform(_col(messages), one), ""), F.lit(generation))
+
+
 def _fenced(sentence: Column, body: Column) -> Column:
     return F.concat(sentence, F.lit(f"\n{PY_FENCE}\n"), body, F.lit(f"\n{FENCE}"))
 

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("scores", "prompts", "corpora", "training", "generation", "files")
+_MODULES = ("scores", "prompts", "corpora", "training", "generation", "files", "runs")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
