@@ -101,6 +101,7 @@ def _number_blocks(
     counts = tagged.groupBy(*blocks).agg(
         F.count("*").alias("_count"), F.min("_row").alias("_first")
     )
+    counts = write_through(counts)  # read twice: to see how many, and to add up
     offsets = _running_total(counts, order, "_count").drop("_count")
     if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)

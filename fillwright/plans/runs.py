@@ -12,9 +12,7 @@ from fillwright.operators.completions import (
     code_answers,
     complete,
     complete_tokens,
-
 )
-from fillwright.operators.contracts import accepted
 from fillwright.operators.instruct import (
     attach_fewshots,
     chat_messages,
