@@ -190,6 +190,19 @@ def chunk(df: DataFrame, rows: int, order: str = "ord") -> DataFrame:
     return df.withColumn("batch_id", F.expr(f"`{order}` div {int(rows)}"))
 
 
+def first_batches(
+    df: DataFrame, keys: Sequence[str] | str, rows: int, n_batches: int, order: str = "ord"
+) -> DataFrame:
+    """The first ``n_batches`` chunks of ``rows`` in key order, numbered; all when not positive.
+
+    Each task keeps no more than the rows asked for, and only those are sorted
+    together, stored and numbered.
+    """
+    by = [keys] if isinstance(keys, str) else list(keys)
+    head = df.orderBy(*by).limit(rows * n_batches) if n_batches > 0 else df
+    return chunk(with_key_ordinal(head, by, order), rows, order)
+
+
 def limit_batches(df: DataFrame, n_batches: int) -> DataFrame:
     """The first ``n_batches`` chunks, or all of them when not positive."""
     return df.filter(F.col("batch_id") < n_batches) if n_batches > 0 else df

@@ -28,7 +28,7 @@ from fillwright.operators.contracts import (
 from fillwright.operators.infill import QWEN, infill_by_short_name, split_infill
 from fillwright.operators.instruct import mapper_for
 from fillwright.operators.ordering import with_file_ordinal
-from fillwright.operators.scoring import exact_match, pair_by_position, score_pairs
+from fillwright.operators.scoring import answer_digest, exact_match, pair_by_position, score_pairs
 from fillwright.operators.sft import sft_map
 from fillwright.plans.catalogue import query
 from fillwright.plans.corpora import RANKED_SQL
@@ -145,9 +145,10 @@ def q_score_files_by_position(spark, sf_dir):
     answers = predictions(tasks).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     written = write_completions(answers, folder, "qwen", "tasks.csv")
     truth = spark.read.schema("task_id string, ground_truth string").json(f"{folder}/truth.jsonl")
-    pred = read_predictions(spark, written, with_ordinal=True)
-    check_same_count(truth, pred)
-    return score_pairs(pair_by_position(with_file_ordinal(truth), pred))
+    check_same_count(truth, read_predictions(spark, written))
+    truths = with_file_ordinal(truth.select(answer_digest("ground_truth")))
+    preds = with_file_ordinal(read_predictions(spark, written).select(answer_digest("completion")))
+    return score_pairs(pair_by_position(truths, preds))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fillwright.functions.text import normalise_answer
 from fillwright.operators.ordering import with_key_ordinal
 from fillwright.operators.scoring import (
+    answer_digest,
     exact_match,
     pair_by_key,
     pair_by_position,
@@ -80,8 +81,9 @@ def q_unpaired_predictions(spark, sf_dir):
 )
 def q_pair_position(spark, sf_dir):
     tasks = infill_tasks(spark, sf_dir)
-    truth = with_key_ordinal(tasks.select("doc_id", "ground_truth"), "doc_id")
-    pred = with_key_ordinal(predictions(tasks).select("doc_id", "completion"), "doc_id")
+    truths = tasks.select("doc_id", answer_digest("ground_truth"))
+    preds = predictions(tasks).select("doc_id", answer_digest("completion"))
+    truth, pred = with_key_ordinal(truths, "doc_id"), with_key_ordinal(preds, "doc_id")
     return score_pairs(pair_by_position(truth, pred))
 
 

@@ -200,3 +200,10 @@ def test_dedupe_last_sorts_no_row_to_aggregate(spark):
 def test_equal_percents_are_refused(spark):
     with pytest.raises(ValueError, match="whole percent"):
         sm.nested_subsets(spark.range(5), "id", ratios=(0.285, 0.29))
+
+
+def test_first_batches(spark):
+    df = spark.range(100).select((99 - F.col("id")).alias("k")).repartition(4)
+    got = sorted((r.k, r.ord, r.batch_id) for r in od.first_batches(df, "k", 7, 3).collect())
+    assert got == [(i, i, i // 7) for i in range(21)]
+    assert od.first_batches(df, "k", 7, 0).count() == 100

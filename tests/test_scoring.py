@@ -150,3 +150,13 @@ def test_positions_without_partner_fail(spark):
     for left, right in ((truth, pred.where("ord < 2")), (truth.where("ord > 0"), pred)):
         with pytest.raises(Exception, match="differ in length"):
             scoring.score_pairs(scoring.pair_by_position(left, right)).collect()
+
+
+def test_digests_compare_as_answers(spark):
+    df = spark.createDataFrame([(0, " a\n"), (1, None), (2, "b")], "ord long, ground_truth string")
+    other = spark.createDataFrame([(0, "a"), (1, None), (2, "c")], "ord long, completion string")
+    plain = scoring.score_pairs(scoring.pair_by_position(df, other)).first()
+    short = scoring.pair_by_position(
+        df.select("ord", scoring.answer_digest("ground_truth")), other.select("ord", scoring.answer_digest("completion"))
+    )
+    assert tuple(scoring.score_pairs(short).first()) == tuple(plain) == (3, 1, 1 / 3)
