@@ -36,7 +36,7 @@ FIELDS = (StructField("score", DoubleType(), False), StructField("predicted", In
 
 # Character classes: every sign of ASCII that is no letter or digit is its own.
 _SIGNS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.int32)
 _CLASS[0x61:0x7B] = 1
 _CLASS[0x41:0x5B] = 2
 _CLASS[0x30:0x3A] = 3
@@ -56,9 +56,9 @@ def features(column: pa.Array) -> np.ndarray:
     data, offsets, rows = words.data, words.offsets, words.rows
     n_bytes = np.diff(offsets)
     total = np.maximum(n_bytes, 1)
-    row = np.repeat(np.arange(rows), n_bytes)
+    row = np.repeat(np.arange(rows, dtype=np.int32), n_bytes)
     kind = _CLASS[data]
-    joint = row * (_KINDS * _KINDS) + kind * _KINDS
+    joint = row * np.int32(_KINDS * _KINDS) + kind * np.int32(_KINDS)
     same = row[1:] == row[:-1]
     pairs = np.bincount((joint[:-1] + kind[1:])[same], minlength=rows * _KINDS * _KINDS).reshape(rows, -1)
     at = np.flatnonzero(kind == 7)
@@ -143,13 +143,16 @@ def fit_pairs(values: np.ndarray, good: np.ndarray, pairs: int = PAIRS, steps: i
         second = 0.999 * second + 0.001 * slope * slope
         weights = weights - 0.03 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     latent = scaled @ weights
-    # The quantile with the best balanced accuracy; of equals, the middle one.
-    cuts = np.quantile(latent, np.linspace(0.002, 0.998, 499))
-    right = np.array([((latent >= c) & good).sum() / good.sum() + ((latent < c) & ~good).sum() / (~good).sum() for c in cuts])
-    cut = np.median(cuts[right >= right.max() - 1e-12])
-    # Halfway between the scores on either side of it.
-    below, above = latent[latent < cut], latent[latent >= cut]
-    threshold = float(((below.max() if len(below) else cut) + (above.min() if len(above) else cut)) / 2)
+    # Of all quantiles of the scores, the one with the best balanced accuracy (of
+    # equals, the middle one), and there halfway to the next lower score.
+    order = np.argsort(latent, kind="stable")
+    ranked, label = latent[order], good[order]
+    below = np.concatenate([[0], np.cumsum(label)])[:-1] / label.sum()
+    right = np.concatenate([[0], np.cumsum(~label)])[:-1] / (~label).sum() - below
+    right[1:][ranked[1:] == ranked[:-1]] = -1  # a cut parts no equal scores
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    cut = int(best[len(best) // 2])
+    threshold = float((ranked[cut] + ranked[max(cut - 1, 0)]) / 2)
     # The slope of a logistic curve through the threshold.
     scale, centred = 1.0, latent - threshold
     for _ in range(30):
