@@ -35,7 +35,7 @@ SIBLINGS = {
 OUTSIDE = frozenset("nav aside footer form button select dialog menu head object canvas audio video fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
 OUTSIDE_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus
+    """ad ads adsbygoogle adslot adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist disqus
     respond replies nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices
     alert newsletter subscribe subscription signup login share sharing social related recommended recommendations
     popup modal overlay pagination pager skip""".split()
@@ -43,7 +43,7 @@ OUTSIDE_WORDS = frozenset(
 # These give way to an article inside them: page layouts are named after them, too.
 LAYOUT_WORDS = frozenset("sidebar header masthead banner widget toolbar topbar".split())
 ARTICLE_OUTSIDE = frozenset("ad ads advert advertisement sponsored promo comment comments reply related teaser".split())
-CONTENT_WORDS = frozenset("articlebody content article post entry story".split())
+CONTENT_WORDS = frozenset("articlebody content article post entry story main".split())
 
 
 @dataclass

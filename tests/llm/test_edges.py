@@ -387,3 +387,13 @@ def test_decontamination_edges(spark, empty, block):
     assert {r.doc_id for r in decontam.decontaminate(frame.drop("n_hit"), bench, block_windows=block).collect()} == clean
     assert decontam.benchmark_hits(empty, bench).count() == 0
     assert decontam.benchmark_hits(frame, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_parts_of_other_layouts():
+    text = lambda page: " ".join(t for _, t in html_extract.page_slots(page))
+    assert text('<div id="main-content"><p>a</p><div class="sidebar">s</div></div><div class="footer">f</div>') == "a"
+    assert text('<div class="wrap sidebar-left"><article><p>a</p></article></div>') == "a"
+    assert text('<div class="comments"><article class="comment">c</article></div><article>a</article>') == "a"
+    assert text('<article>a <span class="ad">x</span> b<div role="alert">n</div><ol class="commentlist"><li>c</ol></article>') == "a b"
+    assert text("<ARTICLE>One&#39;s <B>t</B>ea &lt;br&gt;</ARTICLE>") == "One's tea <br>"
+    assert text("<article><p hidden>h</p><p style='display: none'>d</p><p>a</p><button>Go</button></article>") == "a"
