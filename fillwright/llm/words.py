@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text handled at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 # Bytes hashed at once; a single longer word is hashed alone.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _SECOND = 0xC2B2AE3D27D4EB4D  # odd, as every base must be
