@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 FENCE = "```"
+# Fixed value: what stands for the completion in an infill task.
 MARKER = "{{completion}}"
 
 

@@ -110,7 +110,8 @@ def byte_tokenizer(
     """
     specials = tuple(i for i in (bos_id, eos_id, pad_id) if i is not None)
     ids, text = _arrow_byte_functions() if arrow else (_byte_ids, _byte_text)
-    return Tokenizer(ids, F.octet_length, text, bos_id, eos_id, pad_id, specials)
+    # an id past the bytes has no text, also where special ids are not dropped
+    return Tokenizer(ids, F.octet_length, lambda i: text(F.filter(i, lambda x: x < 256)), bos_id, eos_id, pad_id, specials)
 
 
 def function_tokenizer(

@@ -37,6 +37,7 @@ DATA_SCIENCE_SENTENCE = (
     "output only the  codes to be continued after the BEGIN SOLUTION or SOLUTION START."
 )
 
+
 def ordered_concat(df: DataFrame, value: Column, order: str = "ord") -> Column:
     """All values in order as one text: a scalar subquery, run once per query."""
     named = df.select(value.alias("_value"), F.col(order).alias("_order"))

@@ -277,3 +277,28 @@ def test_mapper_dispatch():
         assert callable(instruct.mapper_for(name))
     with pytest.raises(ValueError):
         instruct.mapper_for("other")
+
+
+# Fixed values, written out here so that a wrong literal in the library shows.
+
+
+def test_fixed_values():
+    assert models.MODELS == [
+        ("bigcode/starcoder", "starcoder", "starcoder", 8192),
+        ("WizardLM/WizardCoder-15B-V1.0", "starcoder", "starcoder", 8192),
+        ("WizardLM/WizardCoder-Python-7B-V1.0", "codellama", None, 16384),
+        ("WizardLM/WizardCoder-Python-13B-V1.0", "codellama", None, 16384),
+        ("WizardLM/WizardCoder-Python-34B-V1.0", "codellama", None, 16384),
+        ("codellama/CodeLlama-7b-Python-hf", "codellama", None, 16384),
+        ("codellama/CodeLlama-13b-Python-hf", "codellama", None, 16384),
+        ("codellama/CodeLlama-34b-Python-hf", "codellama", None, 16384),
+        ("deepseek-ai/deepseek-coder-1.3b-base", "deepseek", "dscoder", 16384),
+        ("deepseek-ai/deepseek-coder-6.7b-base", "deepseek", "dscoder", 16384),
+        ("deepseek-ai/deepseek-coder-33b-base", "deepseek", "dscoder", 16384),
+        ("Qwen/Qwen2.5-Coder-7B", "deepseek", "qwen", 16384),
+    ]
+    assert instruct.DATA_SCIENCE_SENTENCE == (
+        "You will be given Prompt: (It may include Problem: and A: in the prompt) and you "
+        "must output only the  codes to be continued after the BEGIN SOLUTION or SOLUTION "
+        "START."
+    )

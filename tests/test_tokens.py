@@ -246,3 +246,10 @@ def test_batches_tokenize_once(texts):
     assert len(widths) == len({b for b, _ in widths})
     assert all(len(r.input_ids) == r.width == len(r.labels) for r in batches.collect())
     assert all(len(r.input_ids) == r.width for r in padded.collect())
+
+
+@pytest.mark.parametrize("arrow", [False, True])
+def test_special_ids_have_no_bytes(spark, arrow):
+    df = spark.createDataFrame([([256, 97, 98, 257],)], "ids array<int>")
+    tokens = tk.byte_tokenizer(arrow=arrow)
+    assert df.select(tk.decode("ids", tokens, skip_special=False)).first()[0] == "ab"
