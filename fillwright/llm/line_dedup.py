@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from fillwright.session import write_through
 
-MAX_RATIO = 0.05
+# Above what copies of one page usually reach, so that a copied page keeps its lines.
+MAX_RATIO = 0.08
 # A line on fewer pages is no boilerplate, however small the host.
 MIN_PAGES = 8
 
