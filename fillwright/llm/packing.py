@@ -15,6 +15,7 @@ worker as sorted hashes with their ids, and only new words reach the tokenizer.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,10 +31,8 @@ from .words import WHITE_SPACE, Words, byte_set, chunks, ragged, signed
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-# Words a worker remembers, about 60 MB; beyond it starts anew.
+# Words a worker remembers, about 40 MB; beyond it starts anew.
 KNOWN_WORDS = 2_000_000
-# Pieces of one length that are ranked in one window.
-RANKED_TOGETHER = 200_000
 
 _APOSTROPHE = byte_set((0x27, 0x27))
 _ALNUM = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
@@ -64,6 +63,7 @@ class WordEncoder:
         self.limit = known_words
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.whole(_MARK)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
@@ -78,7 +78,7 @@ class WordEncoder:
         cut = np.flatnonzero(ids == self.mark[0])
         begin = np.concatenate([[0], cut + 1])
         count = np.concatenate([cut, [len(ids)]]) - begin
-        part = (hashes, begin, count, ids)
+        part = (hashes, begin.astype(np.int32), count.astype(np.int32), ids.astype(self.kind))
         self.parts.append(part)
         while len(self.parts) > 1 and 2 * len(self.parts[-1][0]) >= len(self.parts[-2][0]):
             self.parts.append(_merged(self.parts.pop(), self.parts.pop()))
@@ -92,12 +92,19 @@ class WordEncoder:
         kinds, places = np.unique(words.hashes(), return_inverse=True)
         begin, count = np.zeros(len(kinds), np.int64), np.full(len(kinds), -1)
         pools, base = [], 0
+
+        def take(of: np.ndarray, first: np.ndarray, many: np.ndarray, ids: np.ndarray) -> None:
+            """Copy the ids of the kinds ``of``, and note where they lie."""
+            nonlocal base
+            many = many.astype(np.int64)
+            begin[of], count[of] = base + np.cumsum(many) - many, many
+            pools.append(ids[ragged(first.astype(np.int64), many)])
+            base += len(pools[-1])
+
         for hashes, first, many, ids in self.parts:
             spot = np.minimum(np.searchsorted(hashes, kinds), len(hashes) - 1)
-            known = (hashes[spot] == kinds) & (count < 0)
-            begin[known], count[known] = first[spot[known]] + base, many[spot[known]]
-            pools.append(ids)
-            base += len(ids)
+            known = np.flatnonzero((hashes[spot] == kinds) & (count < 0))
+            take(known, first[spot[known]], many[spot[known]], ids)
         new = np.flatnonzero(count < 0)
         if len(new):
             sample = np.empty(len(kinds), np.int64)
@@ -107,11 +114,10 @@ class WordEncoder:
             for i in odd:
                 strings[i] = ""
             _, first, many, ids = self._learn(kinds[new], strings) if not odd else self._once(strings)
-            begin[new], count[new] = first + base, many
-            pools.append(ids)
+            take(new, first, many, ids)
         row_ids = count[places]
         pool = np.concatenate(pools) if pools else np.zeros(0, np.uint32)
-        ids = pool[ragged(begin[places], row_ids)]
+        ids = pool[ragged(begin[places], row_ids)].astype(np.uint32)
         per_row = np.zeros(words.rows, np.int64)
         np.add.at(per_row, words.row(), row_ids)
         alone = self._whole_rows(data, words)
@@ -144,7 +150,7 @@ class WordEncoder:
 def _merged(a: tuple, b: tuple) -> tuple:
     hashes = np.concatenate([a[0], b[0]])
     order = np.argsort(hashes, kind="stable")
-    begin = np.concatenate([a[1], b[1] + len(a[3])])[order]
+    begin = np.concatenate([a[1], b[1] + np.int32(len(a[3]))])[order]
     count = np.concatenate([a[2], b[2]])[order]
     return hashes[order], begin, count, np.concatenate([a[3], b[3]])
 
@@ -284,7 +290,7 @@ def _places(patterns: list, capacity: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, key: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY, ranked_together: int = RANKED_TOGETHER) -> DataFrame:
+def pack(pieces: DataFrame, key: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with ``length``, 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
     ``pieces`` must give the same rows each time it is read: pass a stored
@@ -295,7 +301,8 @@ def pack(pieces: DataFrame, key: tuple[str, ...] = ("doc_id", "piece"), capacity
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     places = spark.sparkContext.broadcast(_places(bin_patterns(counts, capacity), capacity))
-    buckets = 1 + max(counts.values(), default=0) // ranked_together
+    # Ranks in two levels, of about as many buckets as there are pieces in each.
+    buckets = 1 + math.isqrt(max(counts.values(), default=0))
     bucketed = pieces.drop("sequence_id", "offset").withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
