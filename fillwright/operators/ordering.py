@@ -38,7 +38,13 @@ def _running_total(table: DataFrame, order: Sequence[str], count: str) -> DataFr
 
 
 def bucket_table(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """Rows per hash bucket and the rows ahead of it; reads the keys only."""
+    """Rows per hash bucket and the rows ahead of it; reads the keys only.
+
+    The rows are read again when they are numbered, so a plan that may give
+    others then, as a completion job may, has to be stored first.
+    """
+    if not df._jdf.queryExecution().analyzed().deterministic():
+        raise ValueError("ranks need the same rows twice: store the result of this plan first")
     bucket = F.substring(shuffle_hash(seed, *keys), 1, BUCKET_DIGITS)
     counts = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_count"))
     return _running_total(counts, ["_bucket"], "_count")

@@ -207,3 +207,10 @@ def test_first_batches(spark):
     got = sorted((r.k, r.ord, r.batch_id) for r in od.first_batches(df, "k", 7, 3).collect())
     assert got == [(i, i, i // 7) for i in range(21)]
     assert od.first_batches(df, "k", 7, 0).count() == 100
+
+
+def test_ranks_refuse_rows_that_may_change(spark):
+    df = spark.range(5).withColumn("k", F.rand())
+    with pytest.raises(ValueError, match="store"):
+        od.exact_rank(df, "k")
+    assert od.exact_rank(df, "k", unique=False).count() == 5
