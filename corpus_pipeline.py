@@ -27,8 +27,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate of their source."""
-    cleaned = drop_boilerplate(docs).drop("n_lines", "n_dropped")
+    """Documents without the lines that are boilerplate of their source.
+
+    Copies are one page: they are still there, and the one that near-dedup keeps needs its lines.
+    """
+    cleaned = drop_boilerplate(docs, copies_once=True).drop("n_lines", "n_dropped")
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -6,6 +6,9 @@ from all of the host's pages. A page counts a line once. Lines are counted by a
 128-bit hash, before the shuffle, so a host or a line with a third of all rows
 is one partial count per task. A host has at most (mean lines per page) /
 ``MAX_RATIO`` boilerplate lines, so its list is short.
+
+With ``copies_once`` the rows of a host with one text are one page, so a group
+of copies, however large, does not make its own lines boilerplate.
 """
 
 from __future__ import annotations
@@ -31,18 +34,28 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(
+    docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """(host, key, pages, host_pages) of the lines over the ratio. Blank lines are none."""
     rows = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     lines = F.filter(F.array_distinct(F.transform(lines_of(F.col("text")), F.trim)), lambda line: line != "")
-    counts = rows.select("host", F.explode(lines).alias("line")).groupBy("host", line_key(F.col("line")).alias("key")).agg(F.count("*").alias("pages"))
+    pages, held = rows.select("host"), rows.select("host", F.explode(lines).alias("line")).select("host", line_key(F.col("line")).alias("key"))
+    if copies_once:
+        # Hashes alone are made distinct: no text moves, and a hot line is dealt by its pages.
+        page = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+        pages = rows.select("host", page.alias("page")).distinct()
+        held = rows.select("host", page.alias("page"), F.explode(lines).alias("line")).select("host", line_key(F.col("line")).alias("key"), "page").distinct()
+    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    counts = held.groupBy("host", "key").agg(F.count("*").alias("pages"))
     frequent = counts.where(F.col("pages") >= min_pages)
     joined = frequent.join(totals, frequent["host"].eqNullSafe(totals["host"])).select(frequent["host"], "key", "pages", "host_pages")
     return joined.where(F.col("pages") > F.lit(max_ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(
+    docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """``docs`` without boilerplate lines, plus ``n_lines`` and ``n_dropped`` (long).
 
     Lines are parted by a newline and compared without blanks around them; what
@@ -51,7 +64,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     form one host. Repeated rows count as pages of their own. Input columns
     named like a result column give way; the others pass unchanged.
     """
-    found = boilerplate_lines(docs, host, text, max_ratio, min_pages)
+    found = boilerplate_lines(docs, host, text, max_ratio, min_pages, copies_once)
     # One short list per host, stored so that its size is known: the planner
     # broadcasts a small table and else joins by host, splitting a hot one.
     lists = write_through(found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_keys")))

@@ -63,3 +63,13 @@ def test_pipeline_with_edges(spark, tmp_path):
             held = spark.read.parquet(f"{SF_DIR}/{other}.parquet")
             (held if name == "some" else held.limit(0)).write.parquet(f"{folder}/{other}.parquet")
         assert (corpus_pipeline.run(spark, folder).count() > 0) == (name == "some")
+
+
+def test_copies_keep_their_lines(spark):
+    copied = "a title\nfirst own line\nsecond own line"
+    rows = [(i, copied, "en", "h", len(copied)) for i in range(20)]
+    rows += [(100 + i, f"menu\nown line {i}", "en", "h", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF_DIR).collect()}
+    assert all(got[i] == copied for i in range(20))
+    assert all(got[100 + i] == f"own line {i}" for i in range(40))
