@@ -7,7 +7,11 @@ is frequent, has several tokens, a tag among them, and the same order of tokens
 on every page is valid. Valid classes nest by their paths and are the host's
 template; what the template does not explain are the slots. The text of a page
 is what its slots hold inside the article, without the parts that are named as
-menus, adverts and the like.
+menus, adverts and the like. Fixed headings and labels inside the article are
+its text and stay.
+
+Rows of a host with one html are one page in all counts: each weighs its share
+of ``UNIT``, so no html is moved to find one row of each group.
 
 Occurrence vectors are compared by a 64-bit fingerprint that adds up in any
 order, so a host with a third of all pages is a partial sum per task, and a
@@ -36,6 +40,10 @@ from .words import chunks, signed
 SHARE = 0.5
 MIN_PAGES = 10
 MIN_TOKENS = 3
+# The weight of a page, dealt to its copies. Rounding back is exact up to 2**31 rows and pages of a host.
+UNIT = 1 << 32
+# Block tags whose fixed text belongs to the article around them.
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption figcaption summary".split())
 
 SLOT = StructType([StructField("slot", StringType(), False), StructField("text", StringType(), False)])
 FIELDS = (StructField("text", StringType(), False), StructField("slots", ArrayType(SLOT, False), False))
@@ -66,14 +74,27 @@ def _fingerprint(page: int, count: int) -> int:
     return xxhash.xxh64_intdigest(b"%d:%d" % (page, count))
 
 
+def weighted(pages: DataFrame) -> DataFrame:
+    """``pages`` (host, page, html) with ``weight``: ``UNIT`` over the rows of the host with this html."""
+    keyed = pages.withColumns({"_a": F.xxhash64("html"), "_b": F.xxhash64("html", F.lit(1))})
+    copies = write_through(keyed.groupBy("host", "_a", "_b").agg(F.count("*").alias("_n")).where("_n > 1"))
+    joined = keyed.join(copies, ["host", "_a", "_b"], "left")
+    return joined.select("host", "page", "html", F.expr(f"{UNIT}L DIV coalesce(_n, 1L)").alias("weight"))
+
+
+def _units(weight: str) -> Column:
+    """The pages that weights add up to."""
+    return F.expr(f"(sum({weight}) + {UNIT // 2}L) DIV {UNIT}L")
+
+
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, path, pages, vector) of ``pages`` (host, page, html): support and fingerprint."""
+    """(host, token, path, pages, vector) of ``weighted`` pages: support and fingerprint."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "html"):
                 found: dict[tuple, list[int]] = {}
-                for host, page, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+                for host, page, source, weight in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html", "weight")), strict=True):
                     here: dict[tuple, int] = {}
                     for token in _tokens(source or ""):
                         here[token] = here.get(token, 0) + 1
@@ -83,7 +104,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                         if mark is None:
                             mark = marks[n] = _fingerprint(page, n)
                         held = found.setdefault((host, token, path), [0, 0])
-                        held[0] += 1
+                        held[0] += weight
                         held[1] ^= mark
                 hosts, tokens, paths = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
@@ -98,12 +119,13 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 )
 
     counted = pages.mapInArrow(count, "host string, token long, path string, pages long, vector long")
-    return counted.groupBy("host", "token", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
+    return counted.groupBy("host", "token", "path").agg(_units("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
 
 
 def equivalence_classes(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(host, vector, pages, tokens, paths): frequent classes of tokens with one occurrence vector."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    pages = weighted(pages)
+    totals = pages.groupBy("host").agg(_units("weight").alias("host_pages"))
     frequent = token_vectors(pages).where(F.col("pages") >= min_pages).join(totals, "host").where(F.col("pages") >= F.lit(share) * F.col("host_pages"))
     classes = frequent.groupBy("host", "vector").agg(
         F.first("pages").alias("pages"),
@@ -165,13 +187,17 @@ class Template:
         return path
 
 
+def _is_label(block: Block) -> bool:
+    return block.path.rpartition(">")[2].partition(".")[0] in LABELS
+
+
 def page_slots(page: str, template: Template | None = None) -> list[tuple[str, str]]:
     """(slot, text) of the article text of a page, in order."""
     blocks = [b for b in scan(page)[0] if not b.outside]
-    if template:
-        blocks = [b for b in blocks if _text_token(b) not in template.tokens]
-    root = max((b.root for b in blocks), default=0)
-    kept = [b for b in blocks if b.root == root]
+    free = [b for b in blocks if _text_token(b) not in template.tokens] if template else blocks
+    root = max((b.root for b in free or blocks), default=0)
+    fixed = {id(b) for b in blocks} - {id(b) for b in free}
+    kept = [b for b in blocks if b.root == root and (id(b) not in fixed or root and _is_label(b))]
     return [(template.slot(b.path) if template else b.path, b.text) for b in kept]
 
 
@@ -183,7 +209,7 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url: str = "url",
     by one space and is empty if there is none. Null and empty pages have no
     text. Pages without a host form one host; a host with few pages has no
     template, and its pages are read by their own tags. Copies of a page and
-    repeated rows count as pages. Input columns named like a result column give
+    repeated rows are one page of the host. Input columns named like a result column give
     way; all others are passed on.
     """
     source = pages.select(host_of(url).alias("host"), F.xxhash64(id_column, html).alias("page"), F.col(html).alias("html"))

@@ -166,6 +166,17 @@ def test_template_texts_go_and_slots_stay(spark):
     assert html_extract.extract_text(pages.union(pages)).count() == 2 * len(rows)
 
 
+def test_copies_and_repeated_headings_keep_the_article(spark):
+    copy = "<body><article><h1>Title</h1><p>One</p><ul><li>x</li></ul><div>Two</div></article></body>"
+    page = "<body><div>Welcome</div><article><h1>Title {0}</h1><h2>Ingredients</h2><div>Body {0}</div></article></body>"
+    rows = [(i, f"http://copies.example/{i}", copy) for i in range(12)]
+    rows += [(100 + i, f"http://mixed.example/{i}", copy) for i in range(12)] + [(200 + i, f"http://mixed.example/m{i}", page.format(i)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+    assert all(got[i] == got[100 + i] == "Title One x Two" for i in range(12))
+    assert all(got[200 + i] == f"Title {i} Ingredients Body {i}" for i in range(12))
+
+
 # 3
 
 
