@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode_ids, encode_texts
 from .decontam import benchmark_hits, is_contaminated
 from .html_extract import extract_text
+from .importance import ORACLE as RESAMPLING_SQL
+from .importance import resample
+from .lexical import ORACLE as SEARCH_SQL
+from .lexical import search_items
 from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import drop_boilerplate
 from .minhash import near_duplicates
@@ -127,3 +132,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
+
+
+@query(SEARCH_SQL)
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search_items(docs, _table(spark, sf_dir, "benchmark"))
+
+
+@query(RESAMPLING_SQL)
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample(docs, _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode_ids(encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -118,3 +120,47 @@ def near_vectors(rows, cosine=0.98):
             pairs.append((a, b))
     component = joined([i for i, _, _ in rows], pairs)
     return [(i, links[i], component[i], component[i] == i) for i, _, _ in rows]
+
+
+TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(docs, items, top=10):
+    """(item, rank, document, score); documents and items are (id, text) rows."""
+    texts = [(i, Counter(TERMS.findall(lower(t or "")))) for i, t in docs]
+    filled = sum(bool(c) for _, c in texts)
+    total = sum(sum(c.values()) for _, c in texts)
+    df = Counter(term for _, c in texts for term in c)
+    weight = {t: math.floor(1000 * math.log((2 * filled + 2) / (2 * n + 1))) for t, n in df.items()}
+    out = []
+    for item, text in items:
+        wanted = Counter(TERMS.findall(lower(text or "")))
+        scores = []
+        for doc, held in texts:
+            m = 25 + 75 * sum(held.values()) * filled // total if total else 0
+            score = sum(n * weight[t] * (10**9 * held[t] // (1000 * held[t] + 8 * m)) for t, n in wanted.items() if t in held)
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0, doc))
+        out += [(item, rank, doc, -s) for rank, (s, _, _, doc) in enumerate(sorted(scores)[:top], 1)]
+    return out
+
+
+def resampling(docs, target, percent=5, min_words=20, buckets=10_000):
+    def features(text):
+        words = BENCH_WORDS.findall(lower(text or ""))
+        runs = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+        return len(words), [zlib.crc32(r.encode()) % buckets for r in runs]
+
+    held = [(i, *features(t)) for i, t in docs]
+    s = Counter(b for _, _, bs in held for b in bs)
+    t = Counter(b for _, text in target for b in features(text)[1])
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets)))) for b in range(buckets)]
+    rows = []
+    for i, n_words, bs in held:
+        weight = sum(gain[b] for b in bs)
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, n_words, len(bs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    eligible = sorted((r for r in rows if r[1] >= min_words), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    drawn = eligible[: len(eligible) * percent // 100]
+    left = [r for r in rows if r[1] < min_words] + eligible[len(drawn) :]
+    return [(i, n, w, x, rank) for rank, (i, _, n, w, x) in enumerate(drawn, 1)] + [(i, n, w, x, None) for i, _, n, w, x in left]
