@@ -29,10 +29,12 @@ from .frames import kept_columns, with_fields
 from .words import chunks, ragged
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-# Words a worker remembers, about 100 MB; beyond it starts anew.
-KNOWN_WORDS = 500_000
+# Words a worker remembers, about 200 MB; beyond it starts anew.
+KNOWN_WORDS = 1_000_000
+# Bytes of text handled at once.
+CHUNK_BYTES = 1 << 22
 # Words and ids handled at once; longer texts are taken in slices of so many.
-SLICE = 1 << 18
+SLICE = 1 << 19
 # Longer words are contracted at all places of their least pair in one round.
 LONG_WORD = 64
 DATABASE = {"threads": 1, "memory_limit": "512MB", "temp_directory": ""}
@@ -93,10 +95,8 @@ SELECT word, list(token ORDER BY place) AS ids FROM parts WHERE done GROUP BY wo
 """
 
 _DECODE = """
-SELECT part, string_agg(v.text, '' ORDER BY place) AS text
-FROM (SELECT part, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM sequences) s
-LEFT JOIN vocabulary v USING (id)
-GROUP BY part ORDER BY part
+SELECT part, string_agg(text, '' ORDER BY place) AS text
+FROM tokens JOIN vocabulary USING (id) GROUP BY part
 """
 
 
@@ -123,6 +123,14 @@ def _joined(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), lengths
 
 
+class _Numbers(dict):
+    """Words by number, in the order they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Encoder:
     """Words to ids and ids to bytes, for one rank file and one pattern."""
 
@@ -154,7 +162,7 @@ class Encoder:
         self.db.unregister("given")
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
@@ -172,34 +180,38 @@ class Encoder:
         return _joined(found.column("ids"))
 
     def _learn(self, words: list[str]) -> None:
-        ids: dict[str, np.ndarray] = {}
+        """Keep the ids of words that have just been numbered, in that order."""
+        ids: list[np.ndarray | None] = []
         short, long = [], []
-        for word in words:
+        for place, word in enumerate(words):
             data = word.encode()
-            if (rank := self.ranks.get(data)) is not None:
-                ids[word] = np.array([rank], np.int32)
-            else:
-                (short if len(data) <= LONG_WORD else long).append((word, data))
+            rank = self.ranks.get(data)
+            ids.append(None if rank is None else np.array([rank], np.int32))
+            if rank is None:
+                (short if len(data) <= LONG_WORD else long).append((place, data))
         for group, query in ((short, _LEFTMOST), (long, _EVERY_LEAST)):
             if group:
                 values, counts = self.contract([data for _, data in group], query)
-                parts = np.split(values, np.cumsum(counts)[:-1])
-                ids.update(zip((word for word, _ in group), parts, strict=True))
-        for number, word in enumerate(ids, len(self.known)):
-            self.known[word] = number
-        counts = np.array([len(part) for part in ids.values()], np.int64)
+                ends = np.cumsum(counts)
+                for (place, _), low, high in zip(group, ends - counts, ends, strict=True):
+                    ids[place] = values[low:high]
+        counts = np.array([len(part) for part in ids], np.int64)
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
-        self.pool = np.concatenate([self.pool, *ids.values()])
+        self.pool = np.concatenate([self.pool, *ids])
 
     def _slice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
         if len(self.known) > self.limit:
             self._clear()
-        new = [word for word in dict.fromkeys(words) if word not in self.known]
-        if new:
-            self._learn(new)
+        before = len(self.count)
         number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > before:
+            try:
+                self._learn(list(islice(self.known, before, None)))
+            except BaseException:
+                self._clear()  # the next task may have this worker
+                raise
         counts = self.count[number]
         return self.pool[ragged(self.first[number], counts)], counts
 
@@ -235,24 +247,16 @@ class Encoder:
         return np.concatenate(values), totals
 
     def decode(self, values: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The bytes of each row's ids; rows beyond ``SLICE`` ids are cut into parts."""
-        parts_of = np.maximum(1, -(-counts // SLICE))
-        row = np.repeat(np.arange(len(counts)), parts_of)
-        nth = ragged(np.zeros(len(counts), np.int64), parts_of)
-        size = np.clip(counts[row] - nth * SLICE, 0, SLICE)
-        ends = np.cumsum(size)
+        """The bytes of each row's ids, at most ``SLICE`` ids at a time."""
+        row = np.repeat(np.arange(len(counts)), counts)
         out = [b""] * len(counts)
-        at = 0
-        while at < len(row):
-            upto = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + SLICE, "right")))
-            low, high = int(ends[at] - size[at]), int(ends[upto - 1])
-            offsets = np.concatenate([[0], np.cumsum(size[at:upto])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[low:high]))
-            self.db.register("sequences", pa.table({"part": np.arange(at, upto), "ids": ids}))
-            for part, text in self.db.sql(_DECODE).fetchall():
-                out[row[part]] += (text or "").encode("latin-1")
-            self.db.unregister("sequences")
-            at = upto
+        for low in range(0, len(values), SLICE):
+            part = row[low : low + SLICE]
+            tokens = {"part": part, "place": np.arange(len(part)), "id": values[low : low + SLICE]}
+            self.db.register("tokens", pa.table(tokens))
+            for number, text in self.db.sql(_DECODE).fetchall():
+                out[number] += text.encode("latin-1")
+            self.db.unregister("tokens")
         return out
 
 
@@ -266,6 +270,27 @@ def _texts(column: pa.Array) -> list[str]:
     return [t.decode("utf-8", "replace") for t in column.cast(pa.large_binary()).fill_null(b"").to_pylist()]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], path: str, pattern: str | None) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(path, pattern)
+    for whole in batches:
+        for batch in chunks(whole, text, CHUNK_BYTES):
+            values, counts = encoder.encode(_texts(batch.column(text)))
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            field = pa.list_(pa.field("element", pa.int32(), False))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=field)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ids: str, kept: list[str], path: str, pattern: str | None) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(path, pattern)
+    for batch in batches:
+        lists = batch.column(ids)
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = lists.flatten().cast(pa.int32()).fill_null(-1).to_numpy(zero_copy_only=False)
+        decoded = pa.array(encoder.decode(values, counts), pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), decoded], names=[*kept, "decoded"])
+
+
 def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``docs`` with ``ids``, the tokens of each whole text.
 
@@ -274,20 +299,8 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, p
     and empty tables need no rule. An input column named ``ids`` gives way.
     """
     path = path or vocabulary_path()
-    schema = with_fields(docs, IDS)
     kept = kept_columns(docs, IDS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
-        for whole in batches:
-            for batch in chunks(whole, text):
-                values, counts = encoder.encode(_texts(batch.column(text)))
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                field = pa.list_(pa.field("element", pa.int32(), False))
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=field)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=schema.fieldNames())
-
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: _encoded(batches, text, kept, path, pattern), with_fields(docs, IDS))
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -297,16 +310,19 @@ def decode_ids(df: DataFrame, ids: str = "ids", path: str | None = None, pattern
     token. An input column named ``decoded`` gives way.
     """
     path = path or vocabulary_path()
-    schema = with_fields(df, DECODED)
     kept = kept_columns(df, DECODED)
+    return df.mapInArrow(lambda batches: _decoded(batches, ids, kept, path, pattern), with_fields(df, DECODED))
+
+
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``docs`` without the text but with ``ids`` and ``decoded``, by the two steps
+    above in one task: the ids are decoded where they were made. Input columns
+    named like these give way."""
+    path = path or vocabulary_path()
+    rest = docs.drop(text)
+    kept = kept_columns(rest, IDS, DECODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
-        for batch in batches:
-            lists = batch.column(ids)
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = lists.flatten().cast(pa.int32()).fill_null(-1).to_numpy(zero_copy_only=False)
-            decoded = pa.array(encoder.decode(values, counts), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), decoded], names=schema.fieldNames())
-
-    return df.mapInArrow(run, schema)
+        return _decoded(_encoded(batches, text, kept, path, pattern), "ids", [*kept, "ids"], path, pattern)
+
+    return docs.mapInArrow(run, with_fields(rest, IDS, DECODED))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import decode_ids, encode_texts
+from .byte_bpe import round_trip
 from .decontam import benchmark_hits, is_contaminated
 from .html_extract import extract_text
 from .importance import ORACLE as RESAMPLING_SQL
@@ -149,7 +149,7 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode_ids(encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    coded = round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

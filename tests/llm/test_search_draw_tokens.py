@@ -226,6 +226,9 @@ def test_coding_edges(spark, docs, empty, library):
     for r in rows:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert byte_bpe.decode_ids(byte_bpe.encode_texts(empty)).count() == 0
+    once = byte_bpe.round_trip(clash)
+    assert once.columns == ["doc_id", "source", "extra", "ids", "decoded"]
+    assert sorted(map(str, once.collect())) == sorted(map(str, both.drop("text").collect()))
     odd = spark.createDataFrame([(None,), ([],), ([64, None, 65, 999_999],)], "ids array<int>")
     known = library.decode_single_token_bytes
     assert [bytes(r.decoded) for r in byte_bpe.decode_ids(odd).collect()] == [b"", b"", known(64) + known(65)]
