@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwright.functions.text import (
@@ -15,8 +17,9 @@ from fillwright.functions.text import (
     strip_py,
 )
 from fillwright.functions.tokens import Tokenizer, decode, strip_prompt_ids
-from fillwright.operators.contracts import REASON, reason_when
+from fillwright.operators.contracts import REASON, checked, reason_when
 from fillwright.operators.models import MAX_NEW_TOKENS, reject_over_context, token_budget
+from fillwright.operators.ordering import shuffle_hash
 from fillwright.operators.sft import encode_with_padding
 from fillwright.session import write_through
 
@@ -99,6 +102,68 @@ def complete(
     return write_through(done) if keep else done
 
 
+_MANIFEST = "path string, n long"
+
+
+def stored_answers(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All committed answers below ``folder``; None where there are none yet.
+
+    A folder of answers counts once the manifest names it, so what a dying run
+    left behind is not read.
+    """
+    try:
+        rows = spark.read.schema(_MANIFEST).json(f"{folder}/manifest", mode="FAILFAST").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    paths = [f"{folder}/{row.path}" for row in rows]  # one a finished part
+    return spark.read.parquet(*paths) if paths else None
+
+
+def complete_resumable(
+    df: DataFrame,
+    make_fn: Callable[[], Callable[..., list[str]]],
+    folder: str,
+    keys: Sequence[str] = ("task_id", "sample_idx"),
+    parts: int = 16,
+    **options,
+) -> DataFrame:
+    """``complete`` that keeps what is finished when the job dies, and goes on from there.
+
+    Rows are dealt to ``parts`` by a hash of their ``keys``, which identify a row
+    and may not be null. Each part is a job of its own over the whole cluster; its
+    answers are written below ``folder`` and then named in a manifest, in this
+    order, so a part is either whole or open. A run asks for the rows without a
+    stored answer only, also for tasks that were added since, and does nothing if
+    there are none. Rows whose ``error`` was kept have an answer, the error.
+
+    ``df`` is read once for each open part: give a table, not an expensive plan.
+    Returns the stored answers of all runs.
+    """
+    spark = df.sparkSession
+    present = F.lit(True)
+    for key in keys:
+        present = present & F.col(key).isNotNull()
+    place = F.conv(F.substring(shuffle_hash(0, *keys), 1, 7), 16, 10).cast("int") % parts
+    todo = df.withColumn("_part", checked(place, present, "a key of a task is null"))
+    stored = stored_answers(spark, folder)
+    if stored is not None:
+        todo = todo.join(stored.select(*keys), list(keys), "left_anti")
+    # at most one row a part
+    counts = {r["_part"]: r["n"] for r in todo.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    for part in sorted(counts):
+        name = f"answers-{part}-{uuid.uuid4().hex}"
+        open_rows = todo.where(F.col("_part") == part).select(*[f"`{c}`" for c in df.columns])
+        complete(open_rows, make_fn, **options).write.parquet(f"{folder}/{name}")
+        entry = spark.createDataFrame([(name, counts[part])], _MANIFEST).coalesce(1)
+        entry.write.mode("append").json(f"{folder}/manifest")
+    answers = stored_answers(spark, folder)
+    if answers is None:
+        return complete(df.limit(0), make_fn, **{**options, "keep": False})
+    return answers
+
+
 def complete_tokens(
     df: DataFrame,
     prompt: str,

@@ -130,9 +130,10 @@ def with_file_ordinal(scan: DataFrame, ord_col: str = "ord") -> DataFrame:
     """0-based line number over the files of a direct file scan, in path order.
 
     Parquet rows carry their place in the file, so only the rows of each file
-    are counted. In other formats the place depends on how the scan was split:
-    the tagged rows are written once to the shared folder and numbered from
-    there, each split of a file on its own.
+    are counted. In other formats the scan is read twice: rows are counted for
+    each block a file is split into, and a row's number is its place in the block
+    and the rows ahead. Both passes split files alike, as one query has one set
+    of settings; a row beyond the count of its block fails the job.
     """
     if not _is_direct_scan(scan):
         raise ValueError("line numbers need a direct file scan: filter after numbering")
@@ -150,8 +151,22 @@ def with_file_ordinal(scan: DataFrame, ord_col: str = "ord") -> DataFrame:
             "_file", "_row", "_before"
         )
     start = F.col("_metadata.file_block_start").alias("_start")
-    tagged = scan.select("*", path, start).withColumn("_row", F.monotonically_increasing_id())
-    return _number_blocks(write_through(tagged), ["_file", "_start"], ["_file", "_start"], ord_col)
+    tagged = scan.select("*", path, start, F.monotonically_increasing_id().alias("_row"))
+    # a column that is read keeps the count from seeing other rows than the scan gives
+    read = F.max(F.col(f"`{scan.columns[0]}`").isNull()).alias("_read")
+    counts = tagged.groupBy("_file", "_start").agg(
+        F.count("*").alias("_count"), F.min("_row").alias("_first"), read
+    )
+    offsets = _running_total(counts.where("_read IS NOT NULL"), ["_file", "_start"], "_count")
+    if scan.rdd.getNumPartitions() + len(scan._jdf.inputFiles()) <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    inside = F.col("_row") - F.col("_first")
+    agreed = (inside >= 0) & (inside < F.col("_count"))
+    place = checked(inside, F.coalesce(agreed, F.lit(False)), "a file was split in another way when it was counted")
+    joined = tagged.join(offsets, ["_file", "_start"], "left")
+    return joined.withColumn(ord_col, (F.col("_before") + place).cast("bigint")).drop(
+        "_file", "_start", "_row", "_count", "_first", "_before", "_read"
+    )
 
 
 def with_key_ordinal(

@@ -51,6 +51,7 @@ from fillwright.session import scratch_dir
 from fillwright.sources.readers import (
     open_benchmark,
     read_ground_truth,
+    read_infill_csv,
     read_infill_jsonl,
     read_predictions,
     read_sft_jsonl,
@@ -151,6 +152,60 @@ def q_score_files_by_position(spark, sf_dir):
     return score_pairs(pair_by_position(truths, preds))
 
 
+_IN_ORDER_SQL = with_sql(INFILL_SQL, PREDICTION_SQL) + """, v_lines AS (
+  SELECT row_number() OVER (ORDER BY doc_id, s.i) - 1 AS ord, task_id, ground_truth,
+         CASE WHEN (doc_id + s.i) % 5 = 0 THEN NULL ELSE completion END AS completion
+  FROM v_pred JOIN v_infill USING (doc_id, task_id), (VALUES (0), (1), (2)) AS s(i))
+"""
+
+
+def _samples_in_order(spark, sf_dir):
+    """Three samples a task, some null; ``doc_id`` is the place of the task."""
+    rows = expand_samples(predictions(infill_tasks(spark, sf_dir)), 3)
+    lost = (F.col("doc_id") + F.col("sample_idx")) % 5 == 0
+    return rows.withColumn("completion", F.when(~lost, F.col("completion")))
+
+
+@query(_IN_ORDER_SQL + "SELECT ord, task_id, md5(completion) AS md5_answer FROM v_lines")
+def q_write_in_order(spark, sf_dir):
+    """Completions in the order of their tasks, samples side by side, by line."""
+    rows = _samples_in_order(spark, sf_dir)
+    written = write_completions(rows, _folder(spark), "qwen", "tasks.csv", order=("doc_id", "sample_idx"))
+    lines = read_predictions(spark, written, with_ordinal=True)
+    return lines.select("ord", "task_id", F.md5("completion").alias("md5_answer"))
+
+
+@query(
+    _IN_ORDER_SQL
+    + f"""SELECT count(*) AS n, CAST(sum(CASE WHEN trim(ground_truth, {WS_SQL}) = trim(completion, {WS_SQL})
+    THEN 1 ELSE 0 END) AS BIGINT) AS correct, sum(CASE WHEN trim(ground_truth, {WS_SQL}) =
+    trim(completion, {WS_SQL}) THEN 1 ELSE 0 END)::DOUBLE / count(*) AS em FROM v_lines"""
+)
+def q_score_lines(spark, sf_dir):
+    """A CSV of truths, a line for each sample, against completions by line number."""
+    folder = _folder(spark)
+    truths = expand_samples(infill_tasks(spark, sf_dir), 3)
+    lines = truths.repartitionByRange("doc_id", "sample_idx").sortWithinPartitions("doc_id", "sample_idx")
+    lines.select("task_id", "ground_truth").write.csv(f"{folder}/truth.csv", header=True, escape='"', quoteAll=True)
+    answers = _samples_in_order(spark, sf_dir)
+    written = write_completions(answers, folder, "qwen", "tasks.csv", order=("doc_id", "sample_idx"))
+    truth = read_ground_truth(spark, f"{folder}/truth.csv", with_ordinal=True)
+    # what is moved to be paired is 16 bytes an answer
+    truth = truth.select("ord", answer_digest("ground_truth"))
+    made = read_predictions(spark, written, with_ordinal=True).select("ord", answer_digest("completion"))
+    return score_pairs(pair_by_position(truth, made))
+
+
+@query(with_sql(INFILL_SQL) + "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, task_id, md5(eval_prompt) AS md5_prompt FROM v_infill")
+def q_csv_ordinals(spark, sf_dir):
+    """The place of every task in its CSV file, whose cells hold line breaks."""
+    tasks = infill_tasks(spark, sf_dir)
+    path = f"{_folder(spark)}/tasks.csv"
+    ordered = tasks.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.select("task_id", "ground_truth", "eval_prompt").write.csv(path, header=True, escape='"', quoteAll=True)
+    return read_infill_csv(spark, path, with_ordinal=True).select("ord", "task_id", F.md5("eval_prompt").alias("md5_prompt"))
+
+
 @query(
     with_sql(PAIR_SQL, DOCUMENT_PAIR_SQL)
     + """SELECT 0 AS source_ord, md5(problem) AS md5_problem, md5(solution) AS md5_solution FROM v_sft

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from fillwright.functions.tokens import byte_tokenizer, decode, encode, strip_prompt_ids
 from fillwright.operators.completions import (
     code_solutions,
     complete,
+    complete_resumable,
     drop_failed_rows,
     expand_samples,
     failed_rows,
@@ -92,6 +94,40 @@ def q_failed_rows(spark, sf_dir):
     return failed_rows(done).select("task_id", "sample_idx", "reject_reason")
 
 
+def _dying(run: str, last: int):
+    """Answers tell the run that made them; a part beyond ``last`` ends the run."""
+
+    def make():
+        def answer(prompts, parts):
+            if max(parts) > last:
+                raise RuntimeError(f"{run} run: part {max(parts)}")
+            return [f"{run} {len(p)}" for p in prompts]
+
+        return answer
+
+    return make
+
+
+@query(
+    _SAMPLES
+    + """, p AS (SELECT *, CAST('0x' || left(md5('0:' || task_id || ':' || sample_idx), 7) AS INT) % 4 AS part FROM t)
+    SELECT task_id, sample_idx, CASE WHEN part < 2 THEN 'first ' ELSE 'second ' END || length(prompt) AS completion FROM p"""
+)
+def q_complete_resumed(spark, sf_dir):
+    """A completion job that dies half way, and the run that does the rest of it."""
+    folder = f"{scratch_dir(spark)}/answers-{uuid.uuid4().hex}"
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("0"), "task_id", "sample_idx")), 1, 7), 16, 10)
+    tasks = expand_samples(_tasks(spark, sf_dir), 2).withColumn("part", number.cast("int") % 4)
+    given = {"folder": folder, "parts": 4, "inputs": ("prompt", "part")}
+    try:
+        complete_resumable(tasks, _dying("first", 1), **given)
+    except PythonException as e:
+        if "first run: part" not in str(e):
+            raise
+    done = complete_resumable(tasks, _dying("second", 3), **given)
+    return done.select("task_id", "sample_idx", "completion")
+
+
 @query(
     _SAMPLES
     + """SELECT task_id, sample_idx, CASE WHEN sample_idx = 0 THEN lang || ':0' END AS completion

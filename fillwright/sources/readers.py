@@ -1,8 +1,8 @@
 """Readers for task files, predictions and training pairs.
 
-A line that is no JSON fails the job rather than reading as nulls. CSV and gz
-files do not split, so one file is one task; write them out as parquet once
-before heavy work on them.
+A line that is no JSON fails the job rather than reading as nulls. CSV files are
+split also where cells hold line breaks; gz files do not split, so one file is
+one task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fillwright.operators.contracts import checked
 from fillwright.operators.ordering import dedupe_last, with_file_ordinal
+from fillwright.sources.csv_ranges import DIALECT, csv_records, parsed
 
 INFILL_SCHEMA = "task_id string, prompt string, suffix string"
 PREDICTION_SCHEMA = "task_id string, completion string"
@@ -25,33 +26,37 @@ def _read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _read_csv(
-    spark: SparkSession, path: str, columns: Sequence[str], optional: Sequence[str] = ()
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    optional: Sequence[str] = (),
+    with_ordinal: bool = False,
 ) -> DataFrame:
-    # columns are found by header name, every value stays text; whole lines are
-    # parsed, so that a line with too few or too many cells fails the job
-    reader = spark.read.option("columnPruning", False)
-    scan = reader.csv(
-        path, header=True, multiLine=True, escape='"', inferSchema=False, mode="FAILFAST"
-    )
-    missing = [c for c in columns if c not in scan.columns]
+    # columns are found by header name, every value stays text; whole records are
+    # parsed, so that one with too few or too many cells fails the job
+    names = spark.read.csv(path, header=True, inferSchema=False, **DIALECT).columns
+    missing = [c for c in columns if c not in names]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
-    return scan.select(*[c for c in optional if c in scan.columns], *columns)
+    rows = csv_records(spark, path, names).select("ord", parsed("record", names).alias("_row"))
+    chosen = [F.col("_row")[c].alias(c) for c in (*optional, *columns) if c in names]
+    return rows.select(*chosen, *(["ord"] if with_ordinal else []))
 
 
-def read_infill_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``task_id`` and ``eval_prompt`` of an infill task file."""
-    return _read_csv(spark, path, ["task_id", "eval_prompt"])
+def read_infill_csv(spark: SparkSession, path: str, with_ordinal: bool = False) -> DataFrame:
+    """``task_id`` and ``eval_prompt`` of an infill task file; ``ord`` is the place
+    of a task in the file, on request, here and in the two readers below."""
+    return _read_csv(spark, path, ["task_id", "eval_prompt"], with_ordinal=with_ordinal)
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+def read_ground_truth(spark: SparkSession, path: str, with_ordinal: bool = False) -> DataFrame:
     """``ground_truth`` of a task file, with ``task_id`` where it has one."""
-    return _read_csv(spark, path, ["ground_truth"], optional=["task_id"])
+    return _read_csv(spark, path, ["ground_truth"], ["task_id"], with_ordinal)
 
 
-def read_ds_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_ds_csv(spark: SparkSession, path: str, with_ordinal: bool = False) -> DataFrame:
     """``prompt`` and ``metadata`` of a data-science task file."""
-    return _read_csv(spark, path, ["prompt", "metadata"])
+    return _read_csv(spark, path, ["prompt", "metadata"], with_ordinal=with_ordinal)
 
 
 def read_infill_jsonl(spark: SparkSession, path: str, name: str = "hei") -> DataFrame:
@@ -89,7 +94,8 @@ def inline_fewshots(spark: SparkSession, examples: Sequence[tuple[str, str]]) ->
 
 def read_predictions(spark: SparkSession, path: str, with_ordinal: bool = False) -> DataFrame:
     """JSONL completions; with line numbers for pairing by position."""
-    scan = _read_jsonl(spark, path, PREDICTION_SCHEMA)
+    # a folder written in order has the range of its files as one more column
+    scan = _read_jsonl(spark, path, PREDICTION_SCHEMA).select("task_id", "completion")
     return with_file_ordinal(scan) if with_ordinal else scan
 
 

@@ -1,13 +1,18 @@
 """JSON-lines outputs. Each name is a folder that Spark fills in parallel; null
-fields keep their key."""
+fields keep their key.
+
+Lines come in no order unless one is asked for: then every range of positions is
+one file, sorted inside, under a name that sorts as the positions do.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fillwright.operators.contracts import checked
 from fillwright.operators.sampling import (
     RATIOS,
     SEED,
@@ -17,32 +22,85 @@ from fillwright.operators.sampling import (
 )
 
 
-def _write(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").json(path, ignoreNullFields=False)
+# Positions of a file written in order.
+RANGE_POSITIONS = 100_000
+_DIGITS = 18
+
+
+def _write(df: DataFrame, path: str, columns: Sequence[str] = ("*",), order: Sequence[str] = ()) -> str:
+    if order:
+        return _write_in_order(df, path, columns, order)
+    df.select(*columns).write.mode("overwrite").json(path, ignoreNullFields=False)
+    return path
+
+
+def _write_in_order(
+    df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str], positions: int | None = None
+) -> str:
+    """One file per range of ``order[0]``, a 0-based position, sorted by all of ``order``.
+
+    The ranges are fixed by the position, so the rows, which may come from a
+    model, are computed once and no sample of them is needed. The rows of a
+    range meet in one task: as many as it has positions, times their samples.
+    """
+    size = positions or RANGE_POSITIONS
+    position = F.col(order[0]).cast("bigint")
+    placed = checked(position, position >= 0, f"{order[0]} is no position of a row")
+    first = F.expr(f"_position div {size} * {size}")
+    name = F.concat_ws("-", *[F.lpad(v.cast("string"), _DIGITS, "0") for v in (first, first + (size - 1))])
+    by = [F.col(c) for c in order]
+    ranged = df.withColumn("_position", placed).withColumn("range", name).repartition("range")
+    lines = ranged.sortWithinPartitions("range", *by).select("range", *columns)
+    lines.write.mode("overwrite").partitionBy("range").json(path, ignoreNullFields=False)
+    check_ranges(df.sparkSession, path)
     return path
 
 
+def check_ranges(spark: SparkSession, path: str) -> int:
+    """The files of a folder written in order hold one range each and no two overlap.
+
+    Looks at names only; returns the number of files, and raises where reading
+    them by name would not give the lines in order.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(path)
+    if "range" not in files.columns:
+        return 0
+    ends = F.split(F.col("range").cast("string"), "-")
+    ranges = files.select("path", ends[0].cast("bigint").alias("first"), ends[1].cast("bigint").alias("last"))
+    last_before = F.lag("last").over(Window.orderBy("path"))
+    bad = F.col("first").isNull() | (F.col("first") <= last_before)
+    found = ranges.select(bad.alias("bad")).agg(F.count("*").alias("n"), F.max("bad").alias("bad")).first()
+    if found.bad:
+        raise ValueError(f"files of {path} overlap in their ranges")
+    return found.n
+
+
 def output_name(model: str, dataset: str, instruct: bool = False) -> str:
     stem = f"{model}_{dataset.replace('.csv', '')}"
     return f"{stem}_instruct.jsonl" if instruct else f"{stem}.jsonl"
 
 
-def write_completions(df: DataFrame, folder: str, model: str, dataset: str) -> str:
-    """``task_id`` and ``completion``."""
-    return _write(df.select("task_id", "completion"), f"{folder}/{output_name(model, dataset)}")
+def write_completions(
+    df: DataFrame, folder: str, model: str, dataset: str, order: Sequence[str] = ()
+) -> str:
+    """``task_id`` and ``completion``; with ``order``, as (``ord``, ``sample_idx``),
+    the lines stand in that order, which scoring by position needs."""
+    return _write(df, f"{folder}/{output_name(model, dataset)}", ("task_id", "completion"), order)
 
 
-def write_answers(df: DataFrame, folder: str, model: str, dataset: str) -> str:
+def write_answers(
+    df: DataFrame, folder: str, model: str, dataset: str, order: Sequence[str] = ()
+) -> str:
     """``code`` and ``metadata`` of data-science answers."""
     name = output_name(model, dataset, instruct=True)
-    return _write(df.select("code", "metadata"), f"{folder}/{name}")
+    return _write(df, f"{folder}/{name}", ("code", "metadata"), order)
 
 
-def write_solutions(df: DataFrame, path: str, dataset: str) -> str:
+def write_solutions(df: DataFrame, path: str, dataset: str, order: Sequence[str] = ()) -> str:
     """``code`` and ``metadata`` for data-science tasks, else the id and ``code``."""
     if dataset == "ds1000":
-        return _write(df.select("code", "metadata"), path)
-    return _write(df.select(F.col("id").alias("task_id"), "code"), path)
+        return _write(df, path, ("code", "metadata"), order)
+    return _write(df, path, (F.col("id").alias("task_id"), "code"), order)
 
 
 def write_subset(

@@ -142,3 +142,49 @@ def test_metadata_with_keys_that_collide_is_rejected(spark):
     df = spark.createDataFrame([("{1: 'a', '1': 'b'}",), ("{1: 'a'}",), ("{",)], "metadata string")
     reasons = [r[REASON] for r in cp.parse_metadata(df).collect()]
     assert [r is None for r in reasons] == [False, True, False]
+
+
+def test_resumed_run_asks_for_open_parts_only(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    tasks = spark.range(120).select(F.col("id").cast("string").alias("task_id"), F.lit(0).alias("sample_idx"), F.concat(F.lit("p"), "id").alias("prompt"))
+    folder = str(tmp_path / "run")
+
+    def maker(dies_at):
+        def make():
+            def answer(prompts):
+                if dies_at in prompts:
+                    raise RuntimeError("dies")
+                calls.add(len(prompts))
+                return [p.upper() for p in prompts]
+
+            return answer
+
+        return make
+
+    with pytest.raises(Exception, match="dies"):
+        cp.complete_resumable(tasks, maker("p77"), folder, parts=6)
+    first = cp.stored_answers(spark, folder)
+    kept = first.count() if first is not None else 0
+    assert 0 < kept < 120
+    before = calls.value
+    done = cp.complete_resumable(tasks, maker(None), folder, parts=6)
+    assert {r.task_id: r.completion for r in done.collect()} == {str(i): f"P{i}" for i in range(120)} and done.count() == 120
+    assert calls.value - before == 120 - kept
+    # nothing is open; then two more tasks are
+    assert cp.complete_resumable(tasks, maker("p1"), folder, parts=6).count() == 120
+    more = spark.range(122).select(F.col("id").cast("string").alias("task_id"), F.lit(0).alias("sample_idx"), F.concat(F.lit("p"), "id").alias("prompt"))
+    assert cp.complete_resumable(more, maker("p1"), folder, parts=6).count() == 122
+    assert calls.value - before == 122 - kept
+
+
+def test_answers_outside_the_manifest_do_not_count(spark, tmp_path):
+    tasks = spark.createDataFrame([("a", 0, "x")], "task_id string, sample_idx int, prompt string")
+    make = lambda: lambda prompts: [p + "!" for p in prompts]
+    folder = str(tmp_path / "run")
+    cp.complete(tasks, make).write.parquet(f"{folder}/answers-0-left")
+    assert cp.stored_answers(spark, folder) is None
+    assert [r.completion for r in cp.complete_resumable(tasks, make, folder).collect()] == ["x!"]
+    none = cp.complete_resumable(tasks.limit(0), make, str(tmp_path / "none"))
+    assert none.count() == 0 and none.columns == ["task_id", "sample_idx", "prompt", "completion", "error"]
+    with pytest.raises(Exception, match="key of a task is null"):
+        cp.complete_resumable(tasks.withColumn("task_id", F.lit(None).cast("string")), make, str(tmp_path / "null"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fillwright import session
-from fillwright.sources import readers, writers
+from fillwright.sources import csv_ranges, readers, writers
 
 PROMPT = 'def f(x):\n    """Doc, "quoted"."""\n    {{completion}}\n\treturn x'
 
@@ -187,3 +187,102 @@ def test_broken_fewshots_fail(spark, tmp_path):
     path.write_text('[{"problem": "p", "solution": "s"}, {"problem": "q", "solution": ""}]')
     rows = [tuple(r) for r in readers.read_fewshots(spark, str(path)).collect()]
     assert rows == [("p", "s", 0), ("q", "", 1)]
+
+
+def _with_conf(spark, settings, run):
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        return run()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+CELLS = ["", "plain", "a,b", 'q "x" y', "two\nlines", "crlf\r\nhere", "\n\n", "é日本", "  sp ", '"', "tail\r", None, "x" * 300]
+CELLS.append("\n".join(f"line {i}" for i in range(80)))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", ["128m", "1500"])
+def test_split_csv_is_the_whole_csv(spark, tmp_path, end, size):
+    import random
+
+    r = random.Random(4)
+    rows = [[f"t{i}", r.choice(CELLS), r.choice(CELLS)] for i in range(240)]
+
+    def cell(v):
+        bare = v is not None and v != "" and not any(c in v for c in ',"\n\r') and r.random() < 0.7
+        return "" if v is None else v if bare else '"' + v.replace('"', '""') + '"'
+
+    folder = tmp_path / "in two.csv"
+    folder.mkdir()
+    for name, part in (("a b", rows[:150]), ("c", rows[150:])):
+        with open(folder / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            f.write(f"task_id,eval_prompt,more{end}")
+            f.write("".join(",".join(map(cell, row)) + end + (end if r.random() < 0.1 else "") for row in part))
+
+    def read():
+        lines = csv_ranges._lines(spark, str(folder))
+        assert (lines.rdd.getNumPartitions() > 10) == (size == "1500")
+        return readers.read_infill_csv(spark, str(folder), with_ordinal=True).orderBy("ord").collect()
+
+    got = _with_conf(spark, {"spark.sql.files.maxPartitionBytes": size}, read)
+    # the parser reads an empty cell as null, with quotes or without
+    assert [(x.task_id, x.eval_prompt) for x in got] == [(row[0], row[1] or None) for row in rows]
+    assert [x.ord for x in got] == list(range(240))
+    if end == "\n":
+        # with other line ends Spark's own reader changes the breaks inside cells as well
+        whole = spark.read.csv(str(folder), header=True, multiLine=True, escape='"').select("task_id", "eval_prompt")
+        assert sorted(map(tuple, whole.collect()), key=str) == sorted(((x.task_id, x.eval_prompt) for x in got), key=str)
+
+
+def test_csv_that_can_not_be_split(spark, tmp_path):
+    (tmp_path / "open.csv").write_text('task_id,eval_prompt\n1,"a\nb\n')
+    assert "never closed" in _failing(readers.read_infill_csv(spark, str(tmp_path / "open.csv")))
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("task_id,eval_prompt\n1,a\n")
+    (folder / "b.csv").write_text("eval_prompt,task_id\nb,2\n")
+    assert "another has" in _failing(readers.read_infill_csv(spark, str(folder)))
+    (tmp_path / "head.csv").write_text("﻿task_id,eval_prompt\r\n")
+    assert readers.read_infill_csv(spark, str(tmp_path / "head.csv")).count() == 0
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as f:
+        f.write('task_id,eval_prompt\n1,"a\nb"\n')
+    assert [tuple(r) for r in readers.read_infill_csv(spark, str(tmp_path / "z.csv.gz")).collect()] == [("1", "a\nb")]
+
+
+@pytest.mark.parametrize("shuffles", ["4", "211"])
+def test_lines_in_order(spark, tmp_path, monkeypatch, shuffles):
+    monkeypatch.setattr(writers, "RANGE_POSITIONS", 37)
+    tasks = spark.range(0, 500, 1, 7).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("task_id"))
+    rows = tasks.withColumn("sample_idx", F.explode(F.array(F.lit(1), F.lit(0)))).orderBy(F.rand(3))
+    done = rows.withColumn("completion", F.concat_ws("\n", "task_id", "sample_idx"))
+    path = _with_conf(spark, {"spark.sql.shuffle.partitions": shuffles}, lambda: writers.write_completions(done, str(tmp_path), "m", "d", order=("ord", "sample_idx")))
+    got = readers.read_predictions(spark, path, with_ordinal=True).orderBy("ord").collect()
+    assert [(r.ord, r.task_id, r.completion) for r in got] == [(2 * i + s, str(i), f"{i}\n{s}") for i in range(500) for s in (0, 1)]
+    assert writers.check_ranges(spark, path) == 14
+    assert readers.read_predictions(spark, path).columns == ["task_id", "completion"]
+    # a second file of a range, as two commits of one task would leave
+    extra = next((tmp_path / "m_d.jsonl").glob("range=*/*.json"))
+    (extra.parent / f"x-{extra.name}").write_bytes(extra.read_bytes())
+    with pytest.raises(ValueError, match="overlap"):
+        writers.check_ranges(spark, path)
+    for bad in (F.lit(-1), F.lit(None).cast("long")):
+        with pytest.raises(Exception, match="no position"):
+            writers.write_completions(done.withColumn("ord", bad), f"{tmp_path}/bad", "m", "d", order=("ord",))
+    assert writers.check_ranges(spark, writers.write_completions(done.limit(0), f"{tmp_path}/none", "m", "d", order=("ord",))) == 0
+
+
+def test_rows_are_made_once_for_an_ordered_file(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def answer(i):
+        made.add(1)
+        return str(i)
+
+    rows = spark.range(300).select(F.col("id").alias("ord"), F.col("id").alias("task_id"), answer.asNondeterministic()("id").alias("completion"))
+    writers.write_completions(rows, str(tmp_path), "m", "d", order=("ord",))
+    assert made.value == 300

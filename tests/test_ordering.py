@@ -111,13 +111,15 @@ def test_key_ordinal(spark):
     assert [r.id for r in sorted(by_k, key=lambda r: r.ord)] == [r.id for r in order]
 
 
-def test_file_ordinal_is_the_line_number(spark, tmp_path):
-    # two files, the first cut into several splits
+@pytest.mark.parametrize("size", ["20000", "3000"])
+def test_file_ordinal_is_the_line_number(spark, tmp_path, monkeypatch, size):
+    # two files, the first cut into several splits; no row is written for it
+    monkeypatch.setattr(od, "write_through", None)
     lines = [json.dumps({"n": i, "pad": "x" * 50}) for i in range(4000)]
-    (tmp_path / "a.jsonl").write_text("\n".join(lines[:2500]) + "\n")
+    (tmp_path / "a.jsonl").write_text("\n\n".join(lines[:2500]) + "\n")
     (tmp_path / "b.jsonl").write_text("\n".join(lines[2500:]) + "\n")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     try:
         scan = spark.read.schema("n int, pad string").json(str(tmp_path))
         assert scan.rdd.getNumPartitions() > 4
