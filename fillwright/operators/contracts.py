@@ -50,16 +50,25 @@ def check_same_count(a: DataFrame, b: DataFrame) -> int:
     return left
 
 
+def parallel(a: str, b: str) -> Column:
+    """Arrays ``a`` and ``b`` are there and have the same length."""
+    return F.size(a).eqNullSafe(F.size(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()
+
+
+def within_bound(ids: str, max_length: int, pad_to_max: bool = False) -> Column:
+    """A padded row is no wider than ``max_length``, or exactly that wide if asked."""
+    width = F.size(ids)
+    return width == max_length if pad_to_max else width <= max_length
+
+
 def check_parallel_lengths(df: DataFrame, a: str, b: str) -> None:
     """Arrays ``a`` and ``b`` have the same length in every row."""
-    same = F.size(a).eqNullSafe(F.size(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()
-    _raise_if_any(df, ~same, f"{a} and {b} differ in length")
+    _raise_if_any(df, ~parallel(a, b), f"{a} and {b} differ in length")
 
 
 def check_padding_bounds(
     df: DataFrame, ids: str, max_length: int, pad_to_max: bool = False
 ) -> None:
     """No padded row is wider than ``max_length``; all are that wide if asked."""
-    width = F.size(ids)
-    bad = width != max_length if pad_to_max else width > max_length
+    bad = ~within_bound(ids, max_length, pad_to_max)
     _raise_if_any(df, bad, f"{ids} breaks the padding bound {max_length}")

@@ -22,7 +22,7 @@ from fillwright.functions.text import (
     slice_text,
     strip_py,
 )
-from fillwright.operators.contracts import REASON, reason_when
+from fillwright.operators.contracts import REASON, checked, reason_when
 
 FewShots = DataFrame | Sequence[tuple[str, str]]
 
@@ -39,8 +39,12 @@ DATA_SCIENCE_SENTENCE = (
 
 
 def ordered_concat(df: DataFrame, value: Column, order: str = "ord") -> Column:
-    """All values in order as one text: a scalar subquery, run once per query."""
-    named = df.select(value.alias("_value"), F.col(order).alias("_order"))
+    """All values in order as one text: a scalar subquery, run once per query.
+
+    A null value fails the query: a prompt must not lose a part unseen.
+    """
+    whole = checked(value, value.isNotNull(), "an example lacks one of its texts")
+    named = df.select(whole.alias("_value"), F.col(order).alias("_order"))
     text = F.coalesce(
         F.expr("listagg(_value, '') within group (order by _order)"), F.lit("")
     )
@@ -90,7 +94,8 @@ def render_chat(
     generation: str = "",
 ) -> Column:
     """Chat messages as one text: each content between the two texts of its
-    role, then the text that asks for an answer. A role without texts fails."""
+    role, then the text that asks for an answer. A role without texts fails, and
+    a chat with a message that has no content is null as a whole."""
     entries = [F.lit(x) for role, texts in around.items() for x in (role, F.array(*map(F.lit, texts)))]
     texts_of = F.create_map(*entries)
 
@@ -100,7 +105,10 @@ def render_chat(
             texts.isNotNull(), F.concat(texts[0], message["content"], texts[1])
         ).otherwise(F.raise_error(F.concat(F.lit("no texts for the role "), message["role"])))
 
-    return F.concat(F.array_join(F.transform(_col(messages), one), ""), F.lit(generation))
+    texts = F.transform(_col(messages), one)
+    # joining would leave a null out
+    whole = F.forall(_col(messages), lambda m: m["content"].isNotNull())
+    return F.concat(F.when(whole, F.array_join(texts, "")), F.lit(generation))
 
 
 def _fenced(sentence: Column, body: Column) -> Column:

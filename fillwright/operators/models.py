@@ -67,7 +67,10 @@ def require_known_model(
     """The rows whose key is neither known nor one of the caller's paths."""
     dim = models(df.sparkSession).select(F.col("model_key").alias("_key"))
     unknown = df.join(F.broadcast(dim), df[model_col] == F.col("_key"), "left_anti")
-    return unknown.filter(~F.col(model_col).isin(local_paths)) if local_paths else unknown
+    if not local_paths:
+        return unknown
+    # a null key is in no list
+    return unknown.filter(~F.coalesce(F.col(model_col).isin(local_paths), F.lit(False)))
 
 
 def token_budget(

@@ -73,7 +73,9 @@ def exact_rank(
         return numbered.withColumn(rank_col, F.col("_ord") + 1).drop("_hash", "_ord")
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     inside = Window.partitionBy("_bucket").orderBy("_hash", *keys)
-    repeated = F.lag("_hash").over(inside).eqNullSafe(F.col("_hash"))
+    # the keys, as different keys may read alike when they are joined to be hashed
+    key = F.struct(*[F.col(k) for k in keys])
+    repeated = F.lag(key).over(inside).eqNullSafe(key)
     place = checked(F.row_number().over(inside), ~repeated, "a key repeats: rank with unique=False")
     numbered = hashed.withColumn("_inside", place)
     offsets = bucket_table(df, keys, seed).select("_bucket", "_before")
@@ -175,7 +177,7 @@ def with_key_ordinal(
     """0-based dense number in key order.
 
     A range-partitioned sort, written and then numbered from its partition
-    sizes. With ``unique=False`` rows of equal keys keep their input order, and
+    sizes; a key that repeats fails the job. With ``unique=False`` rows of equal keys keep their input order, and
     since that is part of the sort value, a key that holds a third of the rows
     is cut into many partitions; the input is written first, so that a repeated
     task can not change that order.
@@ -185,9 +187,16 @@ def with_key_ordinal(
         df = write_through(df.withColumn("_input", F.monotonically_increasing_id()))
         by = [*by, "_input"]
     ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    if unique:
+        # rows of one key are in one range, next to each other: nothing is moved for this
+        among = F.row_number().over(Window.partitionBy(*by).orderBy(*by))
+        ordered = ordered.withColumn("_among", among)
     numbered = ordered.withColumn("_row", F.monotonically_increasing_id()).withColumn(
         "_part", F.spark_partition_id()
     )
+    if unique:
+        row = checked(F.col("_row"), F.col("_among") == 1, "a key repeats: number with unique=False")
+        numbered = numbered.withColumn("_row", row).drop("_among")
     return _number_blocks(write_through(numbered.drop("_input")), ["_part"], ["_part"], ord_col)
 
 
@@ -211,16 +220,37 @@ def chunk(df: DataFrame, rows: int, order: str = "ord") -> DataFrame:
     return df.withColumn("batch_id", F.expr(f"`{order}` div {int(rows)}"))
 
 
+def _last_key(df: DataFrame, by: list[str], n: int) -> Column:
+    """The ``n``-th key in order as a scalar struct, null where there are fewer rows.
+
+    The keys alone are cut into ranges and counted; only the range that holds
+    the n-th is sorted.
+    """
+    ranges = df.select(*by).repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    ranges = write_through(ranges)
+    counts = ranges.groupBy("_part").agg(F.count("*").alias("_count"))
+    counts = _running_total(counts, ["_part"], "_count")
+    holds = (F.col("_before") < n) & (F.lit(n) <= F.col("_before") + F.col("_count"))
+    near = ranges.join(F.broadcast(counts.where(holds)), "_part")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    last = near.withColumn("_place", place + F.col("_before")).where(F.col("_place") == n)
+    return last.select(F.struct(*by)).scalar()
+
+
 def first_batches(
     df: DataFrame, keys: Sequence[str] | str, rows: int, n_batches: int, order: str = "ord"
 ) -> DataFrame:
     """The first ``n_batches`` chunks of ``rows`` in key order, numbered; all when not positive.
 
-    Each task keeps no more than the rows asked for, and only those are sorted
-    together, stored and numbered.
+    The last key asked for is found from the keys; the rows up to it are then
+    filtered while they are scanned, and only those are sorted, stored and
+    numbered, in as many tasks as there are ranges of them.
     """
     by = [keys] if isinstance(keys, str) else list(keys)
-    head = df.orderBy(*by).limit(rows * n_batches) if n_batches > 0 else df
+    head = df
+    if n_batches > 0:
+        wanted = F.struct(*by) <= _last_key(df, by, rows * n_batches)
+        head = df.where(F.coalesce(wanted, F.lit(True)))
     return chunk(with_key_ordinal(head, by, order), rows, order)
 
 

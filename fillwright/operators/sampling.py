@@ -134,6 +134,26 @@ def nested_subsets(
     return marked.withColumn("pct", F.explode(F.array_compact(F.array(*tags)))).drop("_in")
 
 
+def subset_rings(
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    ratios: Sequence[float] = RATIOS,
+    seed: int = SEED,
+    unique: bool = True,
+) -> DataFrame:
+    """Every row of the largest subset once, with ``ring``: the whole percent of the
+    smallest subset it is in. A subset is the union of the rings up to its own."""
+    if len({percent_of(r) for r in ratios}) < len(ratios):
+        raise ValueError("two ratios have the same whole percent, which names a subset")
+    ordered = sorted(float(r) for r in ratios)
+    names = {f"r{i}": r for i, r in enumerate(ordered)}
+    sizes = {name: F.floor(F.col("_n") * F.lit(r)) for name, r in names.items()}
+    marked = _with_members(df, _as_list(keys), seed, sizes, unique)
+    tags = [F.when(F.col("_in")[name], F.lit(percent_of(r))) for name, r in names.items()]
+    ringed = marked.withColumn("ring", F.coalesce(*tags)).drop("_in")
+    return ringed.where(F.col("ring").isNotNull())
+
+
 def train_eval_split(
     df: DataFrame,
     keys: Sequence[str] | str,

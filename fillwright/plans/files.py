@@ -6,7 +6,9 @@ Each writes to a folder of its own below the shared one and reads it back.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fillwright.functions.text import render_template
@@ -22,12 +24,17 @@ from fillwright.operators.completions import (
 )
 from fillwright.operators.contracts import (
     accepted,
+    check_padding_bounds,
+    check_parallel_lengths,
     check_same_count,
     checked,
+    parallel,
+    within_bound,
 )
 from fillwright.operators.infill import QWEN, infill_by_short_name, split_infill
 from fillwright.operators.instruct import mapper_for
 from fillwright.operators.ordering import with_file_ordinal
+from fillwright.operators.sampling import RATIOS, percent_of
 from fillwright.operators.scoring import answer_digest, exact_match, pair_by_position, score_pairs
 from fillwright.operators.sft import sft_map
 from fillwright.plans.catalogue import query
@@ -55,11 +62,13 @@ from fillwright.sources.readers import (
     read_infill_jsonl,
     read_predictions,
     read_sft_jsonl,
+    read_subset,
     read_table_split,
 )
 from fillwright.sources.writers import (
     write_answers,
     write_completions,
+    write_rings,
     write_solutions,
     write_subset,
     write_subsets,
@@ -86,19 +95,18 @@ def q_read_infill_csv(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(doc_id AS VARCHAR) AS prompt, CAST(doc_id AS INT) AS n, lang AS library
-    FROM documents"""
+    "SELECT md5(text) AS md5_prompt, CAST(doc_id AS INT) AS n, lang AS library FROM documents"
 )
 def q_read_ds_csv(spark, sf_dir):
     path = f"{_folder(spark)}/ds-1000.csv"
     literal = F.format_string("{'n': %d, 'library': '%s', 'extra': None}", "doc_id", "lang")
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("prompt"), literal.alias("metadata")
+        F.col("text").alias("prompt"), literal.alias("metadata")
     )
-    docs.write.csv(path, header=True, escape='"')
+    docs.write.csv(path, header=True, escape='"', quoteAll=True)
     kind, tasks = open_benchmark(spark, path)
     return accepted(parse_metadata(tasks)).select(
-        "prompt",
+        F.md5("prompt").alias("md5_prompt"),
         F.variant_get("metadata", "$.n", "int").alias("n"),
         F.variant_get("metadata", "$.library", "string").alias("library"),
     )
@@ -115,13 +123,14 @@ def q_read_infill_jsonl(spark, sf_dir):
     path = f"{_folder(spark)}/tasks.jsonl.gz"
     docs = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("task_id"),
-        F.md5("text").alias("prompt"),
+        F.col("text").alias("prompt"),
         F.col("doc_id").cast("string").alias("suffix"),
         "doc_id",
     )
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").drop("doc_id")
     ordered.write.json(path, compression="gzip")
-    return read_infill_jsonl(spark, path).withColumnRenamed("prompt", "md5_prompt")
+    tasks = read_infill_jsonl(spark, path)
+    return tasks.select("task_id", F.md5("prompt").alias("md5_prompt"), "suffix", "ord")
 
 
 @query(
@@ -318,28 +327,54 @@ def _padded_length():
 
 @query(
     with_sql(RANKED_SQL)
-    + """SELECT doc_id, lang FROM documents JOIN v_rank USING (doc_id)
+    + """SELECT doc_id, lang, md5(text) AS md5_text FROM documents JOIN v_rank USING (doc_id)
     WHERE rank <= floor(n * CAST(0.57 AS DOUBLE))"""
 )
 def q_write_subset(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     path = write_subset(docs, f"{_folder(spark)}/corpus", "doc_id", 0.57)
-    return spark.read.schema("doc_id bigint, lang string").json(path)
+    rows = spark.read.schema("doc_id bigint, lang string, text string").json(path)
+    return rows.select("doc_id", "lang", F.md5("text").alias("md5_text"))
 
 
 @query(
     with_sql(RANKED_SQL)
     + " UNION ALL ".join(
-        f"SELECT {pct} AS pct, count(*) AS n, min(doc_id) AS first_id FROM v_rank "
-        f"WHERE rank <= floor(n * CAST({ratio} AS DOUBLE))"
+        f"SELECT {pct} AS pct, count(*) AS n, min(doc_id) AS first_id, min(md5(text)) AS first_text "
+        f"FROM v_rank JOIN documents USING (doc_id) WHERE rank <= floor(n * CAST({ratio} AS DOUBLE))"
         for pct, ratio in ((20, 0.2), (40, 0.4), (60, 0.6), (80, 0.8), (100, 1.0))
     )
 )
 def q_write_subsets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     folder = write_subsets(docs, f"{_folder(spark)}/corpus", "doc_id")
-    rows = spark.read.schema("doc_id bigint, lang string, pct int").json(folder)
-    return rows.groupBy("pct").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    rows = spark.read.schema("doc_id bigint, lang string, text string, pct int").json(folder)
+    return rows.groupBy("pct").agg(
+        F.count("*").alias("n"),
+        F.min("doc_id").alias("first_id"),
+        F.min(F.md5("text")).alias("first_text"),
+    )
+
+
+@query(
+    with_sql(RANKED_SQL)
+    + " UNION ALL ".join(
+        f"SELECT {pct} AS pct, doc_id, md5(text) AS md5_text FROM v_rank JOIN documents USING (doc_id) "
+        f"WHERE rank <= floor(n * CAST({ratio} AS DOUBLE))"
+        for pct, ratio in ((20, 0.2), (40, 0.4), (60, 0.6), (80, 0.8), (100, 1.0))
+    )
+)
+def q_subset_rings(spark, sf_dir):
+    """The five nested subsets, stored once and read back as unions of rings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = write_rings(docs, f"{_folder(spark)}/corpus", "doc_id")
+    subsets = [
+        read_subset(spark, folder, percent_of(ratio), "doc_id bigint, text string").select(
+            F.lit(percent_of(ratio)).alias("pct"), "doc_id", F.md5("text").alias("md5_text")
+        )
+        for ratio in RATIOS
+    ]
+    return reduce(DataFrame.unionAll, subsets)
 
 
 @query(
@@ -352,6 +387,8 @@ def q_checked_examples(spark, sf_dir):
     examples = sft_map(
         document_pairs(spark, sf_dir), "Q: {instruction}\nA: {response}", TOKENS, keep=("id",)
     )
+    check_parallel_lengths(examples, "input_ids", "labels")
+    check_padding_bounds(examples, "input_ids", 1216)
     ids = F.size("input_ids")
-    sound = (ids == F.size("labels")) & (ids <= 1216)
+    sound = parallel("input_ids", "labels") & within_bound("input_ids", 1216)
     return examples.select("id", checked(ids, sound, "an example breaks its bounds").alias("n_ids"))

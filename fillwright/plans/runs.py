@@ -43,7 +43,7 @@ from fillwright.sources.readers import (
     read_fewshots,
     read_sft_jsonl,
 )
-from fillwright.sources.writers import write_solutions
+from fillwright.sources.writers import write_batches, write_solutions
 
 
 def _folder(spark) -> str:
@@ -83,10 +83,10 @@ def q_open_infill(spark, sf_dir):
     """Infill tasks of a benchmark named on a command line."""
     path = f"{_folder(spark)}/tasks.jsonl"
     docs = documents(spark, sf_dir)
-    rows = docs.select(F.col("doc_id").cast("string").alias("task_id"), F.md5("text").alias("prompt"), F.col("lang").alias("suffix"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("task_id"), F.col("text").alias("prompt"), F.col("lang").alias("suffix"))
     rows.write.json(path, compression="gzip")
     kind, tasks = open_benchmark(spark, "hei", path)
-    return tasks.select("task_id", F.col("prompt").alias("md5_prompt"), "suffix")
+    return tasks.select("task_id", F.md5("prompt").alias("md5_prompt"), "suffix")
 
 
 @query(
@@ -153,22 +153,28 @@ def _budget_in_words():
 @query(
     with_sql(PAIR_SQL, DOCUMENT_PAIR_SQL, "v_all AS (SELECT id, problem, solution, 0 AS source_ord FROM v_sft UNION ALL SELECT id, problem, solution, 1 FROM v_docpair)", _example_sql("v_all", 1216))
     + """SELECT CAST(count(*) AS BIGINT) AS total,
+    CAST(sum(exceeding_length::INT) AS BIGINT) AS truncated, true AS reported,
     CAST(sum(len(input_ids)) AS BIGINT) AS n_ids,
     CAST(ceil(count(*) / 32.0) AS BIGINT) AS batches FROM v_example"""
 )
 def q_training_run(spark, sf_dir):
-    """Pairs of two corpora from files, shuffled, to stored padded batches."""
+    """Pairs of two corpora from files, shuffled, to stored padded batches; what was
+    cut is counted, and the bounds are tested, by the pass that writes them."""
     folder = _folder(spark)
     paths = [f"{folder}/chat.jsonl", f"{folder}/docs.jsonl"]
     for df, path in zip((sft_pairs(spark, sf_dir), document_pairs(spark, sf_dir)), paths):
         df.select("problem", "solution").write.json(path)
     pairs = read_sft_jsonl(spark, paths)
     shuffled = seeded_shuffle(pairs, ["source_ord", "problem", "solution"], unique=False)
-    sft_batches(shuffled, PAIR_TEMPLATE, TOKENS, 32).write.parquet(f"{folder}/batches")
+    report = write_batches(sft_batches(shuffled, PAIR_TEMPLATE, TOKENS, 32), f"{folder}/batches")
     stored = spark.read.parquet(f"{folder}/batches")
     real = F.size(F.filter("attention_mask", lambda m: m))
     return stored.agg(
         F.count("*").alias("total"),
+        F.count_if("exceeding_length").alias("truncated"),
+        (
+            (F.count("*") == report["total"]) & (F.count_if("exceeding_length") == report["truncated"])
+        ).alias("reported"),
         F.sum(real).cast("bigint").alias("n_ids"),
         F.countDistinct("batch_id").alias("batches"),
     )

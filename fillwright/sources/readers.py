@@ -114,6 +114,12 @@ def read_sft_jsonl(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return table
 
 
+def read_subset(spark: SparkSession, folder: str, pct: int, schema: str) -> DataFrame:
+    """The subset of a whole percent from a folder of rings; other rings are not opened."""
+    rings = spark.read.schema(f"{schema}, ring int").json(folder, mode="FAILFAST")
+    return rings.where(F.col("ring") <= pct).drop("ring")
+
+
 def _read_table(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
     plain = path.rstrip("/").removesuffix(".gz")
     if not plain.endswith((".jsonl", ".json")):

@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fillwright.operators.contracts import checked
+from fillwright.operators.contracts import checked, parallel, within_bound
 from fillwright.operators.sampling import (
     RATIOS,
     SEED,
     nested_subsets,
     percent_of,
     sample_ratio,
+    subset_rings,
 )
+from fillwright.operators.sft import MAX_TRAINING_SEQ_LENGTH
 
 
 # Positions of a file written in order.
@@ -129,3 +131,52 @@ def write_subsets(
     tagged = nested_subsets(df, keys, ratios, seed, unique)
     tagged.write.mode("overwrite").partitionBy("pct").json(folder, ignoreNullFields=False)
     return folder
+
+
+def write_rings(
+    df: DataFrame,
+    folder: str,
+    keys: Sequence[str] | str,
+    ratios: Sequence[float] = RATIOS,
+    seed: int = SEED,
+    unique: bool = True,
+) -> str:
+    """All nested subsets with each row stored once, a ``ring=...`` folder for what
+    a subset adds to the next smaller one; ``read_subset`` puts them together."""
+    rings = subset_rings(df, keys, ratios, seed, unique)
+    rings.write.mode("overwrite").partitionBy("ring").json(folder, ignoreNullFields=False)
+    return folder
+
+
+def write_batches(
+    batches: DataFrame,
+    path: str,
+    max_length: int = MAX_TRAINING_SEQ_LENGTH,
+    pad_to_max_length: bool = False,
+) -> dict[str, int]:
+    """Padded batches as parquet, with a report from the same pass.
+
+    Gives ``total`` and ``truncated`` rows. Rows whose ids and labels differ in
+    length, or that break the padding bound, are counted as well while they are
+    written, and fail the job afterwards; the folder is then not to be used.
+    """
+    report = Observation()
+
+    def count(bad: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.coalesce(bad, F.lit(True)).cast("bigint")), F.lit(0)).alias(name)
+
+    seen = batches.observe(
+        report,
+        F.count("*").alias("total"),
+        count(F.col("exceeding_length"), "truncated"),
+        count(~parallel("input_ids", "labels"), "uneven"),
+        count(~within_bound("input_ids", max_length, pad_to_max_length), "unbound"),
+    )
+    seen.write.mode("overwrite").parquet(path)
+    found = report.get
+    if found["uneven"] or found["unbound"]:
+        raise ValueError(
+            f"{path}: {found['uneven']} rows with other labels than ids, "
+            f"{found['unbound']} beyond the padding bound {max_length}"
+        )
+    return {name: found[name] for name in ("total", "truncated")}

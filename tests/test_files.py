@@ -286,3 +286,28 @@ def test_rows_are_made_once_for_an_ordered_file(spark, tmp_path):
     rows = spark.range(300).select(F.col("id").alias("ord"), F.col("id").alias("task_id"), answer.asNondeterministic()("id").alias("completion"))
     writers.write_completions(rows, str(tmp_path), "m", "d", order=("ord",))
     assert made.value == 300
+
+
+def test_rings_are_the_subsets(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 3).withColumn("text", F.concat(F.lit("t"), "id"))
+    folder = writers.write_rings(df, f"{tmp_path}/rings", "id")
+    # stored once
+    assert len(lines(spark, folder)) == 1000
+    whole = writers.write_subsets(df, f"{tmp_path}/all", "id")
+    for pct in (20, 40, 60, 80, 100):
+        got = readers.read_subset(spark, folder, pct, "id long, text string")
+        want = spark.read.schema("id long, text string, pct int").json(whole).where(F.col("pct") == pct).drop("pct")
+        assert got.columns == ["id", "text"] and sorted(got.collect()) == sorted(want.collect())
+    plan = readers.read_subset(spark, folder, 20, "id long")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ring" in plan
+
+
+def test_batches_are_checked_by_the_pass_that_writes_them(spark, tmp_path):
+    rows = [([1, 2], [1, 2], False), ([1, 2, 3], [1, 2, 3], True)]
+    schema = "input_ids array<int>, labels array<int>, exceeding_length boolean"
+    df = spark.createDataFrame(rows, schema)
+    assert writers.write_batches(df, f"{tmp_path}/b", max_length=3) == {"total": 2, "truncated": 1}
+    assert writers.write_batches(df.limit(0), f"{tmp_path}/n") == {"total": 0, "truncated": 0}
+    for bad, limit, exact in ((([1], [1, 2], False), 3, False), (([1], None, False), 3, False), (([1] * 4, [1] * 4, False), 3, False), (([1], [1], False), 3, True)):
+        with pytest.raises(ValueError, match="1 rows|1 beyond|2 beyond"):
+            writers.write_batches(spark.createDataFrame([rows[1], bad], schema), f"{tmp_path}/b", limit, exact)

@@ -216,3 +216,40 @@ def test_ranks_refuse_rows_that_may_change(spark):
     with pytest.raises(ValueError, match="store"):
         od.exact_rank(df, "k")
     assert od.exact_rank(df, "k", unique=False).count() == 5
+
+
+def test_keys_that_read_alike_when_joined(spark):
+    df = spark.createDataFrame([("a:b", "c"), ("a", "b:c"), (None, "x"), ("x", None), ("", "x")], "a string, b string")
+    assert sorted(r["rank"] for r in od.exact_rank(df, ["a", "b"]).collect()) == [1, 2, 3, 4, 5]
+    assert sm.sample_ratio(df, ["a", "b"], 0.6).count() == 3
+    twice = df.union(df.limit(1))
+    with pytest.raises(Exception, match="a key repeats"):
+        od.exact_rank(twice, ["a", "b"]).collect()
+
+
+def test_key_ordinal_refuses_repeated_keys(spark):
+    df = spark.range(100).select((F.col("id") / 2).cast("int").alias("k"), "id").repartition(5)
+    with pytest.raises(Exception, match="unique=False"):
+        od.with_key_ordinal(df, "k")
+    got = od.with_key_ordinal(df, ["k", "id"]).collect()
+    assert all(r.ord == r.id for r in got)
+
+
+def test_first_batches_are_found_without_one_task(spark):
+    df = spark.range(0, 1000, 1, 6).select((999 - F.col("id")).alias("k"), F.lit("t").alias("text"))
+    for rows, n in ((7, 3), (100, 10), (100, 11), (1, 1)):
+        got = sorted((r.k, r.ord, r.batch_id) for r in od.first_batches(df, "k", rows, n).collect())
+        assert got == [(i, i, i // rows) for i in range(min(1000, rows * n))]
+    plan = od.first_batches(df, "k", 7, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+    holes = spark.createDataFrame([(None,), (2,), (1,)], "k int")
+    assert sorted((r.k or 0, r.ord) for r in od.first_batches(holes, "k", 1, 2).collect()) == [(0, 0), (1, 1)]
+
+
+def test_rings_hold_each_row_once(rows):
+    ringed = sm.subset_rings(rows, "id", ratios=(0.8, 0.2, 0.5))
+    order = permutation(range(3000), 42)
+    want = {i: 20 if n < 600 else 50 if n < 1500 else 80 for n, i in enumerate(order[:2400])}
+    assert {r.id: r.ring for r in ringed.collect()} == want
+    with pytest.raises(ValueError, match="whole percent"):
+        sm.subset_rings(rows, "id", ratios=(0.285, 0.29))

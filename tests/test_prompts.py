@@ -134,6 +134,8 @@ def test_models(spark):
     }
     assert {r[0] for r in models.require_known_model(df).collect()} == {"/path", "no"}
     assert {r[0] for r in models.require_known_model(df, local_paths=["/path"]).collect()} == {"no"}
+    odd = df.unionAll(df.sparkSession.sql("SELECT CAST(NULL AS STRING)"))
+    assert [r[0] for r in models.require_known_model(odd, local_paths=["/path", "no"]).collect()] == [None]
 
 
 def test_token_budget_and_context(spark):
@@ -302,3 +304,15 @@ def test_fixed_values():
         "must output only the  codes to be continued after the BEGIN SOLUTION or SOLUTION "
         "START."
     )
+
+
+def test_a_missing_text_is_not_left_out_of_a_prompt(spark):
+    shots = spark.createDataFrame([("p1", "s1", 0), ("p2", None, 1)], "problem string, solution string, ord int")
+    for block in (instruct.fewshot_prefix_block, instruct.fewshot_prefix_compact):
+        with pytest.raises(Exception, match="lacks one of its texts"):
+            spark.range(1).select(block(shots)).collect()
+        assert "p1" in spark.range(1).select(block(shots.where("ord = 0"))).first()[0]
+    around = {"user": ("<u>", "\n"), "assistant": ("<a>", "\n")}
+    chats = [([("user", "x"), ("assistant", None)],), ([("user", "x"), ("assistant", "")],), (None,), ([],)]
+    df = spark.createDataFrame(chats, "m array<struct<role: string, content: string>>")
+    assert [r[0] for r in df.select(instruct.render_chat("m", around, "<a>")).collect()] == [None, "<u>x\n<a>\n<a>", None, "<a>"]
