@@ -254,6 +254,74 @@ def first_batches(
     return chunk(with_key_ordinal(head, by, order), rows, order)
 
 
+# Rows that one task lays next to each other in the permutation, at least, and
+# how many such slices there are at most, a few of whose rows are broadcast.
+SLICE_ROWS = 1 << 10
+MOST_SLICES = 1 << 18
+
+
+def shuffled_batches(
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    rows: int,
+    seed: int = 42,
+    length: Column | None = None,
+    order: str = "ord",
+) -> DataFrame:
+    """``chunk`` of the seeded permutation, with one shuffle of the rows.
+
+    The same ``ord`` and ``batch_id`` as ``chunk(seeded_shuffle(...))``, and with
+    ``length`` the ``width`` of the batch, the largest length in it. The input is
+    computed once and stored with its hash. Hash buckets, counted from that
+    column, are put together to slices; a slice is sorted by one task, which
+    gives the ranks in it and the widths of the batches inside. Only a batch that
+    lies in two slices gets its width from a pass over the lengths at the edges.
+    ``keys`` identify a row; a key that repeats fails the job.
+    """
+    if rows < 1:
+        raise ValueError("a chunk holds at least one row")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hashed = df.withColumn("_hash", shuffle_hash(seed, *keys))
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    sized = F.lit(None).cast("int") if length is None else length.cast("int")
+    stored = write_through(hashed.withColumn("_length", sized))
+
+    counts = stored.groupBy("_bucket").agg(F.count("*").alias("_count"))
+    total = F.sum("_count").over(Window.partitionBy())
+    buckets = _running_total(counts, ["_bucket"], "_count").withColumn("_total", total)
+    buckets = buckets.withColumn("_slice", F.expr(f"_before div greatest({SLICE_ROWS}, _total div {MOST_SLICES})"))
+    among = Window.partitionBy("_slice")
+    buckets = buckets.withColumn("_first", F.min("_before").over(among)).withColumn("_size", F.sum("_count").over(among))
+    buckets = write_through(buckets.drop("_total"))  # at most a million rows, read for each use
+
+    inside = Window.partitionBy("_slice").orderBy("_hash", *keys)
+    key = F.struct(*[F.col(k) for k in keys])
+    repeated = F.lag(key).over(inside).eqNullSafe(key)
+    place = checked(F.row_number().over(inside), ~repeated, "a key repeats: rank with unique=False")
+    laid = stored.join(F.broadcast(buckets.select("_bucket", "_slice", "_first")), "_bucket")
+    laid = laid.withColumn("_place", place)
+    laid = laid.withColumn(order, (F.col("_first") + F.col("_place") - 1).cast("bigint"))
+    batches = chunk(laid, rows, order)
+    own = ["_hash", "_bucket", "_length", "_slice", "_first", "_place"]
+    if length is None:
+        return batches.drop(*own)
+
+    # the first and the last batch of a slice, where they go on in another one
+    head, tail = F.expr(f"_first div {rows}"), F.expr(f"(_first + _size) div {rows}")
+    in_head = (F.col("_first") % rows > 0) & (F.col("_before") < (head + 1) * rows)
+    in_tail = F.col("_before") + F.col("_count") > tail * rows
+    near = buckets.where(in_head | in_tail).select("_bucket", "_before", head.alias("_head"), tail.alias("_tail"))
+    within = Window.partitionBy("_bucket").orderBy("_hash", *keys)
+    edge = stored.select("_bucket", "_hash", *keys, "_length").join(F.broadcast(near), "_bucket")
+    edge = edge.withColumn("_at", F.col("_before") + F.row_number().over(within) - 1)
+    edge = edge.withColumn("_edge", F.expr(f"_at div {rows}"))
+    edge = edge.where((F.col("_edge") == F.col("_head")) | (F.col("_edge") == F.col("_tail")))
+    wide = edge.groupBy("_edge").agg(F.max("_length").alias("_wide"))
+    part = F.max("_length").over(Window.partitionBy("_slice", "batch_id"))
+    joined = batches.withColumn("_part", part).join(F.broadcast(wide), F.col("batch_id") == F.col("_edge"), "left")
+    return joined.withColumn("width", F.greatest("_part", "_wide")).drop(*own, "_part", "_edge", "_wide")
+
+
 def limit_batches(df: DataFrame, n_batches: int) -> DataFrame:
     """The first ``n_batches`` chunks, or all of them when not positive."""
     return df.filter(F.col("batch_id") < n_batches) if n_batches > 0 else df

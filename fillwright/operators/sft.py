@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from fillwright.functions.tokens import (
     pad_right,
 )
 from fillwright.operators.contracts import checked
-from fillwright.operators.ordering import chunk
+from fillwright.operators.ordering import chunk, shuffled_batches
 
 MAX_TRAINING_SEQ_LENGTH = 1216  # fixed value: default sequence limit
 
@@ -143,20 +145,30 @@ def sft_batches(
     pad_to_max_length: bool = False,
     order: str = "ord",
     keep: tuple[str, ...] = (),
+    shuffle_by: Sequence[str] | str = (),
+    seed: int = 42,
 ) -> DataFrame:
     """Ordered pairs to padded batches of ``rows``: chunk, tokenize, collate.
 
+    With ``shuffle_by``, columns that identify a row, the order is the seeded
+    permutation and is made here, by the same shuffle that gathers the batches.
+
     Where the tokenizer tells lengths without tokenizing, the batch width follows
     from the texts, so the shuffle that gathers a batch carries text; ids and
     labels, eight times its size, are built after. Else each text is tokenized
     once, before the shuffle, and the cut ids travel.
     """
-    batches = chunk(pairs, rows, order)
     known = ("batch_id",)
+    length = None
     if not pad_to_max_length and tokenizer.cheap_length:
         length = F.least(_pair_length(_prompt(template), tokenizer), F.lit(max_length))
-        batches = batch_max_length(batches, length)
         known = ("batch_id", "width")
+    if shuffle_by:
+        batches = shuffled_batches(pairs, shuffle_by, rows, seed, length, order)
+    else:
+        batches = chunk(pairs, rows, order)
+        if length is not None:
+            batches = batch_max_length(batches, length)
     examples = sft_map(batches, template, tokenizer, max_length, keep=(*keep, *known))
     return collate(examples, tokenizer.pad_token_or_eos, max_length, pad_to_max_length)
 
@@ -172,11 +184,16 @@ def encode_with_padding(
 ) -> DataFrame:
     """Encode a text and pad it to the longest of its batch; padding on the left
     is what batched generation needs. The batch is gathered as text, or as ids
-    where only tokenizing tells their number."""
+    where only tokenizing tells their number. A ``width`` that is known already,
+    as from ``shuffled_batches``, is taken and nothing is gathered."""
     if side not in ("left", "right"):
         raise ValueError(f"unknown padding side: {side}")
     pad = pad_left if side == "left" else pad_right
     ids = encode(text, tokenizer, add_bos, add_eos)
+    if "width" in df.columns:
+        return df.withColumn(ids_col, ids).withColumn(
+            ids_col, pad(ids_col, F.col("width"), tokenizer.pad_token_or_eos)
+        )
     if not tokenizer.cheap_length:
         wide = batch_max_length(df.withColumn(ids_col, ids), F.size(ids_col))
         return wide.withColumn(

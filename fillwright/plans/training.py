@@ -19,7 +19,7 @@ from fillwright.operators.models import (
     reject_over_context,
     token_budget,
 )
-from fillwright.operators.ordering import chunk, seeded_shuffle
+from fillwright.operators.ordering import shuffled_batches
 from fillwright.operators.sft import (
     count_truncated,
     encode_with_padding,
@@ -198,9 +198,9 @@ v_wide AS (SELECT *, CAST(max(len(input_ids)) OVER (PARTITION BY batch_id) AS IN
 
 def _batches(spark, sf_dir, tokenizer, pad_to_max_length=False):
     # ordered while the rows are still text
-    pairs = seeded_shuffle(sft_pairs(spark, sf_dir), "id")
+    pairs = sft_pairs(spark, sf_dir)
     return sft_batches(
-        pairs, PAIR_TEMPLATE, tokenizer, ROWS, LIMIT, pad_to_max_length, keep=("id",)
+        pairs, PAIR_TEMPLATE, tokenizer, ROWS, LIMIT, pad_to_max_length, keep=("id",), shuffle_by="id"
     )
 
 
@@ -239,8 +239,8 @@ def q_collate(spark, sf_dir):
 )
 def q_sft_batches(spark, sf_dir):
     """The whole training table: shuffled documents to padded batches."""
-    pairs = seeded_shuffle(document_pairs(spark, sf_dir), "id")
-    batches = sft_batches(pairs, PAIR_TEMPLATE, TOKENS, 64, keep=("id",))
+    pairs = document_pairs(spark, sf_dir)
+    batches = sft_batches(pairs, PAIR_TEMPLATE, TOKENS, 64, keep=("id",), shuffle_by="id")
     return batches.select(
         "batch_id",
         "id",
@@ -269,7 +269,8 @@ _PROMPT_IDS = f"[256] || {bytes_sql('problem')}"
     AS ids_csv FROM w"""
 )
 def q_pad_left(spark, sf_dir):
-    batches = chunk(seeded_shuffle(sft_pairs(spark, sf_dir), "id"), ROWS)
+    length = encoded_length("problem", TOKENS, add_bos=True)
+    batches = shuffled_batches(sft_pairs(spark, sf_dir), "id", ROWS, length=length)
     padded = encode_with_padding(batches, "problem", TOKENS, add_bos=True)
     return padded.select("batch_id", "id", csv_text("input_ids").alias("ids_csv"))
 

@@ -253,3 +253,31 @@ def test_rings_hold_each_row_once(rows):
     assert {r.id: r.ring for r in ringed.collect()} == want
     with pytest.raises(ValueError, match="whole percent"):
         sm.subset_rings(rows, "id", ratios=(0.285, 0.29))
+
+
+@pytest.mark.parametrize("size", [1, 64, 100, 1 << 16])
+def test_batches_form_where_the_permutation_is_laid(rows, monkeypatch, size):
+    monkeypatch.setattr(od, "SLICE_ROWS", size)
+    df = rows.withColumn("text", F.repeat(F.lit("x"), (F.col("id") * 7919 % 97).cast("int")))
+    place = {i: n for n, i in enumerate(permutation(range(3000), 5))}
+    for n in (1, 33, 64, 5000):
+        got = od.shuffled_batches(df, "id", n, 5, F.length("text")).collect()
+        wide = {}
+        for r in got:
+            wide[r.batch_id] = max(wide.get(r.batch_id, 0), len(r.text))
+        assert len(got) == 3000
+        assert all((r.ord, r.batch_id, r.width) == (place[r.id], place[r.id] // n, wide[r.batch_id]) for r in got)
+
+
+def test_laid_batches_shuffle_the_rows_once(rows, spark):
+    got = od.shuffled_batches(rows, "id", 64, length=F.length("text"))
+    plan = got._jdf.queryExecution().executedPlan()
+    exchanges = [line for line in plan.toString().splitlines() if "Exchange hashpartitioning(_slice" in line]
+    assert len(exchanges) == 1
+    # only one scan of what was stored reads the texts
+    scans = [line for line in plan.toString().splitlines() if "FileScan parquet" in line]
+    assert sum("text:string" in line for line in scans) == 1
+    assert od.shuffled_batches(rows.limit(0), "id", 3, length=F.length("text")).count() == 0
+    assert "width" not in od.shuffled_batches(rows, "id", 3).columns
+    with pytest.raises(Exception, match="a key repeats"):
+        od.shuffled_batches(rows.union(rows), "id", 3).collect()
