@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fillwright.functions.literals import with_literal_json
 from fillwright.functions.text import (
     _col,
     answer_newline,
@@ -164,6 +166,63 @@ def complete_resumable(
     return answers
 
 
+# Rows that are put into batches by one task, about.
+GROUP_ROWS = 1 << 16
+
+
+def batch_widths(max_tokens: int, growth: float = 1.25, least: int = 16) -> list[int]:
+    """Upper ends of the length classes, each a quarter wider than the one before."""
+    widths = [min(least, max_tokens)]
+    while widths[-1] < max_tokens:
+        widths.append(min(max_tokens, math.ceil(widths[-1] * growth)))
+    return widths
+
+
+def budget_batches(
+    df: DataFrame,
+    length: Column,
+    keys: Sequence[str] | str,
+    max_tokens: int,
+    max_rows: int = 64,
+    growth: float = 1.25,
+) -> DataFrame:
+    """Add ``batch_id`` and ``width``: batches of rows alike in ``length``, of at most
+    ``max_tokens`` tokens when padded to ``width``, the longest of the batch.
+
+    A row belongs to a length class, and the class tells how many of its rows fit.
+    A class of many rows is dealt to several tasks by a hash of ``keys``, each with
+    one batch at most that is not full. A row beyond ``max_tokens`` is a batch of
+    its own. Rows stay next to those of their batch.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    sized = df.withColumn("_length", length.cast("bigint"))
+    wider = F.filter(F.array(*map(F.lit, batch_widths(max_tokens, growth))), lambda w: w >= F.col("_length"))
+    sized = sized.withColumn("_class", F.coalesce(F.get(wider, F.lit(0)), F.col("_length")))
+    # one row a class: those up to the limit, and as many beyond as there are such lengths
+    counts = sized.groupBy("_class").agg(F.count("*").alias("_count"))
+    deals = counts.select("_class", F.expr(f"(_count + {GROUP_ROWS - 1}) div {GROUP_ROWS}").alias("_deals"))
+    dealt = sized.join(deals, "_class").withColumn("_deal", F.pmod(F.xxhash64(*keys), "_deals"))
+    fit = F.greatest(F.lit(1), F.least(F.lit(max_rows), F.expr(f"{int(max_tokens)} div _class")))
+    place = F.row_number().over(Window.partitionBy("_class", "_deal").orderBy(*keys)) - 1
+    placed = dealt.withColumn("_fit", fit).withColumn("_place", place).withColumn("_nth", F.expr("_place div _fit"))
+    number = F.shiftleft("_class", 40) + F.shiftleft("_deal", 20) + F.col("_nth")
+    among = Window.partitionBy("_class", "_deal", "_nth")
+    wide = placed.withColumn("width", F.max("_length").over(among).cast("int"))
+    own = ["_length", "_class", "_deals", "_deal", "_fit", "_place", "_nth"]
+    return wide.withColumn("batch_id", number).drop(*own)
+
+
+def padding_share(batches: DataFrame, length: Column) -> DataFrame:
+    """Rows, batches, tokens after padding, and the share of them that is padding."""
+    tokens = F.sum(F.col("width").cast("bigint"))
+    return batches.agg(
+        F.count("*").alias("n"),
+        F.countDistinct("batch_id").alias("batches"),
+        tokens.alias("tokens"),
+        (1 - F.try_divide(F.sum(length.cast("bigint")), tokens)).alias("padding"),
+    )
+
+
 def complete_tokens(
     df: DataFrame,
     prompt: str,
@@ -177,9 +236,10 @@ def complete_tokens(
     Prompts are encoded with a begin id and padded on the left to the longest
     of their batch. A batch that fills the context is rejected, all others may
     generate as many tokens as context and limits leave. The function gets the
-    rows of one batch, or a part of them that came together, and the new tokens
-    each may have, and returns input and new ids; the input is cut off and the
-    rest decoded without special ids. An error of the function fails the job.
+    rows of one whole batch and the new tokens each may have, and returns input
+    and new ids; the input is cut off and the rest decoded without special ids.
+    An error of the function fails the job. The rows of a batch have to be next
+    to each other, as ``chunk`` with padding and ``budget_batches`` leave them.
     """
     padded = encode_with_padding(df, prompt, tokenizer, "left", add_bos=True, ids_col="_ids")
     judged = reject_over_context(padded, "width", context)
@@ -188,8 +248,8 @@ def complete_tokens(
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         fn = make_fn()
-        for ids, budgets, batch_ids in batches:
-            rows, limits, groups = ids.to_pylist(), budgets.to_pylist(), batch_ids.to_pylist()
+
+        def answers(rows: list, limits: list, groups: list) -> pa.Array:
             out: list[list[int] | None] = [None] * len(rows)
             at = 0
             while at < len(rows):
@@ -202,7 +262,20 @@ def complete_tokens(
                         raise ValueError("the completion function changed the number of rows")
                     out[at:end] = made
                 at = end
-            yield pa.array(out, pa.list_(pa.int32()))
+            return pa.array(out, pa.list_(pa.int32()))
+
+        # the last batch of what came together may go on in what comes next
+        held: list[list] = [[], [], []]
+        for arrays in batches:
+            held = [h + a.to_pylist() for h, a in zip(held, arrays)]
+            groups = held[2]
+            whole = len(groups)
+            while whole and groups[whole - 1] == groups[-1]:
+                whole -= 1
+            if whole:
+                yield answers(*[h[:whole] for h in held])
+                held = [h[whole:] for h in held]
+        yield answers(*held)
 
     # rejected batches reach the function as nulls, which it is not called for
     taken = F.when(F.col(REASON).isNull(), F.col("_ids"))
@@ -252,8 +325,8 @@ def code_answers(df: DataFrame) -> DataFrame:
 def parse_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
     """Python-literal text into a VARIANT; text that is no literal is rejected.
 
-    SQL's own parser reads single quotes but not ``None`` or ``True``, so the
-    text passes through ``ast.literal_eval`` in Arrow batches.
+    Common literals are translated by expressions. What these leave open passes
+    through ``ast.literal_eval`` in Arrow batches; no other text goes to Python.
     """
 
     @F.arrow_udf("string")
@@ -270,10 +343,11 @@ def parse_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
         return pa.array([convert(t) for t in texts.to_pylist()], pa.string())
 
     # keys that are one text in JSON, as 1 and '1', also make a literal unusable
-    parsed = F.try_parse_json("_json")
+    known = with_literal_json(df, column, "_json").withColumn("_known", F.try_parse_json("_json"))
+    left = F.when(F.col("_known").isNull(), F.col(column))
     return (
-        df.withColumn("_json", to_json(column))
-        .withColumn(column, parsed)
+        known.withColumn("_left", to_json(left))
+        .withColumn(column, F.coalesce("_known", F.try_parse_json("_left")))
         .withColumn(REASON, reason_when((F.col(column).isNull(), "metadata is no literal")))
-        .drop("_json")
+        .drop("_json", "_known", "_left")
     )

@@ -6,12 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fillwright.functions.chat_templates import render_template_chat
 from fillwright.functions.text import extract_code_block, render_template
 from fillwright.functions.tokens import byte_tokenizer
 from fillwright.operators.completions import (
+    batch_widths,
+    budget_batches,
     code_answers,
     complete,
     complete_tokens,
+    padding_share,
 )
 from fillwright.operators.instruct import (
     attach_fewshots,
@@ -29,10 +33,12 @@ from fillwright.plans.views import (
     DOCUMENT_PAIR_SQL,
     EXAMPLES,
     PAIR_SQL,
+    WS_SQL,
     document_pairs,
     documents,
     sft_pairs,
     sql_text,
+    table,
     with_sql,
 )
 from fillwright.session import scratch_dir
@@ -128,6 +134,99 @@ def q_render_chat(spark, sf_dir):
     return docs.select("doc_id", F.md5(chat).alias("md5_chat"))
 
 
+# Three shapes of chat templates that public tokenizers carry.
+TEMPLATES = {
+    "marked": (
+        "{% for message in messages %}{{'<|im_start|>' + message['role'] + '\n' + message['content'] "
+        "+ '<|im_end|>' + '\n'}}{% endfor %}"
+        "{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}"
+    ),
+    "bracketed": (
+        "{% for message in messages %}\n"
+        "    {% if message['role'] == 'user' %}\n"
+        "{{ bos_token + '[INST] ' + message['content'] | trim + ' [/INST]' }}\n"
+        "    {%- elif message['role'] == 'assistant' -%}\n"
+        "{{ ' ' + message['content'] | trim + ' ' + eos_token }}\n"
+        "    {%- endif %}\n"
+        "{% endfor %}"
+    ),
+    "headed": (
+        "{%- if messages[0]['role'] != 'system' -%}{{ bos_token + 'You answer questions.\n' }}{%- endif -%}"
+        "{%- for message in messages -%}{%- if message['role'] == 'user' -%}"
+        "{{'### Instruction:\n' + message.content + '\n'}}"
+        "{%- else -%}{{'### Response:\n' + message.content}}"
+        "{%- if not loop.last -%}{{ '\n<|EOT|>\n' }}{%- endif -%}{%- endif -%}{%- endfor -%}"
+        "{%- if add_generation_prompt and messages[0]['role'] == 'user' -%}{{ '### Response:' }}{%- endif -%}"
+    ),
+}
+
+_CHAT_SQL = """WITH m AS (SELECT *, turn // 8 AS part, row_number() OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) AS n,
+  count(*) OVER (PARTITION BY conv_id, turn // 8) AS size,
+  first_value(role) OVER (PARTITION BY conv_id, turn // 8 ORDER BY turn) AS head FROM conversations),
+t AS (SELECT conv_id, part, any_value(head) AS head, count(*) AS n_messages,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS marked,
+  string_agg(CASE role WHEN 'user' THEN '<s>[INST] ' || trim(text, {ws}) || ' [/INST]'
+    WHEN 'assistant' THEN ' ' || trim(text, {ws}) || ' </s>' ELSE '' END, '' ORDER BY turn) AS bracketed,
+  string_agg(CASE WHEN role = 'user' THEN '### Instruction:' || chr(10) || text || chr(10)
+    ELSE '### Response:' || chr(10) || text || CASE WHEN n < size THEN chr(10) || '<|EOT|>' || chr(10) ELSE '' END
+    END, '' ORDER BY turn) AS headed
+  FROM m GROUP BY conv_id, part)
+SELECT conv_id, part, n_messages, md5(marked || '<|im_start|>assistant' || chr(10)) AS marked, md5(bracketed) AS bracketed,
+  md5(CASE WHEN head <> 'system' THEN '<s>You answer questions.' || chr(10) ELSE '' END || headed
+    || CASE WHEN head = 'user' THEN '### Response:' ELSE '' END) AS headed FROM t"""
+
+
+@query(_CHAT_SQL.format(ws=WS_SQL))
+def q_chat_templates(spark, sf_dir):
+    """Eight turns of a conversation at a time, through three chat templates."""
+    turns = table(spark, sf_dir, "conversations").withColumn("part", F.expr("turn div 8"))
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    # eight turns at most
+    chats = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    rendered = [
+        F.md5(render_template_chat("messages", template, "<s>", "</s>")).alias(name)
+        for name, template in TEMPLATES.items()
+    ]
+    return chats.select("conv_id", "part", F.size("messages").cast("bigint").alias("n_messages"), *rendered)
+
+
+_TOKENS = 16_384
+_BATCH_SQL = f"""WITH d AS (SELECT doc_id, octet_length(encode(text)) + 1 AS length FROM documents),
+c AS (SELECT *, coalesce(list_filter({batch_widths(_TOKENS)}, lambda w: w >= length)[1], length) AS class FROM d),
+p AS (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY doc_id) - 1)
+  // greatest(1, least(64, {_TOKENS} // class)) AS nth FROM c),
+b AS (SELECT *, max(length) OVER (PARTITION BY class, nth) AS width, count(*) OVER (PARTITION BY class, nth) AS rows FROM p)
+"""
+
+
+@query(
+    _BATCH_SQL
+    + """SELECT doc_id, CASE WHEN width < 16384 THEN 'w' || width || ' r' || rows END AS completion FROM b"""
+)
+def q_budget_batches(spark, sf_dir):
+    """Documents of like length in batches of 16,384 tokens; answers tell the batch."""
+    length = F.octet_length("text") + 1
+    batches = budget_batches(documents(spark, sf_dir), length, "doc_id", _TOKENS)
+    sized = batches.withColumn("max_context_size", F.lit(_TOKENS))
+    done = complete_tokens(sized, "text", byte_tokenizer(), _width_and_rows, max_new_tokens=32)
+    return done.select("doc_id", "completion")
+
+
+@query(
+    _BATCH_SQL
+    + """SELECT count(*) AS n, count(DISTINCT (class, nth)) AS batches, CAST(sum(width) AS BIGINT) AS tokens,
+    round(1 - sum(length) / sum(width), 9) AS padding FROM b"""
+)
+def q_padding_share(spark, sf_dir):
+    length = F.octet_length("text") + 1
+    batches = budget_batches(documents(spark, sf_dir), length, "doc_id", _TOKENS)
+    return padding_share(batches, length).withColumn("padding", F.round("padding", 9))
+
+
+def _width_and_rows():
+    return lambda rows, limits: [[*ids, *f"w{len(ids)} r{len(rows)}".encode(), 257] for ids in rows]
+
+
 _CONTEXT = 2500
 
 

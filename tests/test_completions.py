@@ -6,6 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from fillwright.functions import literals
+from fillwright.functions import tokens as tk
 from fillwright.operators import completions as cp
 from fillwright.operators.contracts import REASON, accepted, rejected
 
@@ -188,3 +190,87 @@ def test_answers_outside_the_manifest_do_not_count(spark, tmp_path):
     assert none.count() == 0 and none.columns == ["task_id", "sample_idx", "prompt", "completion", "error"]
     with pytest.raises(Exception, match="key of a task is null"):
         cp.complete_resumable(tasks.withColumn("task_id", F.lit(None).cast("string")), make, str(tmp_path / "null"))
+
+
+LITERALS = [
+    "{'library': 'Pandas', 'n': 3, 'ok': True, 'none': None, 'deep': {'k': [1, 'b']}}",
+    "[]", "{}", "()", "(1,)", "(1, 2)", "(1)", "[(1, 2), ()]", "((1, 2), 3)", "[1, 2,]", "{'a': 1,}", "[,]", "[1,,]", "(,)",
+    "'it''s'", "'a' 'b'", "\"it's\"", "'say \"x\"'", r"'it\'s'", r'"a \"b\" \\"', r"'\\'", r"'\\\''", r"'\\\"'", r"'tab\tline\nendé\f\b'", r"'\x41'", r"'\101'", r"'\q'", r"'\N{DASH}'",
+    "'''three'''", "b'x'", "r'x'", "u'x'", "f'x'", "1 2", "1 -2", "- 1", "-1", "-0", "0", "00", "007", "1_000", "+1", "1.5", "1.50", "-0.0", "0.0001", "0.00001", ".5", "1.", "1e5", "1e400", "nan",
+    "123456789012345678", "12345678901234567890123", "1234567890123.5", "True", "Trueish", "true", "null", "{1: 'a'}", "{1: 'a', '1': 'b'}", "{'a': 1, 'a': 2}", "{1, 2}", "{'a'}", "{'a': }", "{'a' 1}", "[1 2]", "[1]]", "[1", "]", "{'a': 1} {'b': 2}", "[1] [2]", "[1][0]",
+    " 1", "\t[1]", "\n[1]", "\n  [1]", "[1]\n", "[\n1,\n 2]", "{'a':\r\n1}", "1\n", "'a\nb'", "[1] # note", "", " ", "x", "é", "'é日本'", "['" + "x" * 5000 + "']", "['" + "\\n" * 400 + "']", "['" + "\\n" * 3000 + "']",
+    "{'a': [1, (2, 'b', None), {'c': -4.25}], 'd': ()}", "lambda: 1", "1 if 1 else 2", "[*[1]]", "{**{}}", "1+2j", "-'a'", "'\x00'", "'\t'", "'\x7f'",
+]
+
+
+def test_literals_without_python_are_those_of_python(spark):
+    def plain(text):
+        try:
+            return json.dumps(ast.literal_eval(text), allow_nan=False)
+        except Exception:
+            return None
+
+    rows = [(i, t, plain(t)) for i, t in enumerate([*LITERALS, None])]
+    df = spark.createDataFrame(rows, "i int, metadata string, want string").repartition(3)
+    want = df.select("i", F.to_json(F.try_parse_json("want")).alias("w"))
+    got = cp.parse_metadata(df.drop("want")).select("i", F.to_json("metadata").alias("g"), REASON)
+    for r in got.join(want, "i").collect():
+        assert (r.g, r[REASON]) == (r.w, None if r.w is not None else "metadata is no literal"), rows[r.i][1]
+    # what the expressions settle alone is never wrong, and covers the usual
+    alone = literals.with_literal_json(df, "metadata", "j").select("i", F.to_json(F.try_parse_json("j")).alias("g"))
+    settled = {r.i: (r.g, r.w) for r in alone.join(want, "i").collect() if r.g is not None}
+    assert all(g == w for g, w in settled.values())
+    usual = [0, 1, 2, 3, 4, 5, 7, 9, 10, LITERALS.index("[\n1,\n 2]"), LITERALS.index(r"'\\\''"), LITERALS.index("-1"), LITERALS.index("1.5"), len(LITERALS) - 9]
+    assert set(usual[:-1]) <= set(settled) and len(settled) > 30
+
+
+def test_usual_literals_do_not_go_to_python(spark):
+    df = spark.createDataFrame([(LITERALS[0],)] * 20 + [(r"'\x41'",)], "metadata string")
+    plan = literals.with_literal_json(df, "metadata", "j")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    assert cp.parse_metadata(df).where(F.col(REASON).isNull()).count() == 21
+
+
+def _texts(spark, lengths):
+    return spark.createDataFrame([(i, "x" * n) for i, n in enumerate(lengths)], "id long, text string").repartition(3)
+
+
+def test_budget_batches_keep_their_budget(spark, monkeypatch):
+    lengths = [i * 37 % 90 for i in range(400)] + [500, 500, 7000]
+    df = _texts(spark, lengths)
+    length = F.octet_length("text") + 1
+    for group in (1 << 16, 16):
+        monkeypatch.setattr(cp, "GROUP_ROWS", group)
+        got = cp.budget_batches(df, length, "id", 400, max_rows=9).collect()
+        assert sorted(r.id for r in got) == list(range(len(lengths)))
+        batches = {}
+        for r in got:
+            batches.setdefault(r.batch_id, []).append(r)
+        for held in batches.values():
+            longest = max(len(r.text) + 1 for r in held)
+            assert all(r.width == longest for r in held) and len(held) <= 9
+            assert len(held) * longest <= 400 or len(held) == 1
+        assert group == 16 or len(batches) < 75
+    assert cp.batch_widths(400)[0] == 16 and cp.batch_widths(400)[-1] == 400 and cp.batch_widths(5) == [5]
+    share = cp.padding_share(cp.budget_batches(df, length, "id", 400), length).first()
+    assert share.n == 403 and 0 < share.padding < 0.25
+    assert cp.budget_batches(df.limit(0), length, "id", 400).count() == 0
+
+
+def test_no_batch_is_cut_at_an_arrow_border(spark):
+    df = _texts(spark, [i % 50 for i in range(300)]).withColumn("max_context_size", F.lit(60))
+    tokens = tk.byte_tokenizer()
+    batches = cp.budget_batches(df, F.octet_length("text") + 1, "id", 300)
+    counted = {r.batch_id: r["count"] for r in batches.groupBy("batch_id").count().collect()}
+
+    def make():
+        return lambda rows, limits: [[*ids, *str(len(rows)).encode()] for ids in rows]
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = cp.complete_tokens(batches, "text", tokens, make).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        assert len(got) == 300 and all(r.completion == str(counted[r.batch_id]) for r in got)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fillwright.functions import chat_templates
 from fillwright.functions import text as tx
 from fillwright.operators import infill, instruct, models
 from fillwright.operators.contracts import REASON, accepted, rejected
@@ -316,3 +317,44 @@ def test_a_missing_text_is_not_left_out_of_a_prompt(spark):
     chats = [([("user", "x"), ("assistant", None)],), ([("user", "x"), ("assistant", "")],), (None,), ([],)]
     df = spark.createDataFrame(chats, "m array<struct<role: string, content: string>>")
     assert [r[0] for r in df.select(instruct.render_chat("m", around, "<a>")).collect()] == [None, "<u>x\n<a>\n<a>", None, "<a>"]
+
+
+CHAT = "array<struct<role: string, content: string>>"
+
+
+def rendered(spark, template, messages, **options):
+    df = spark.createDataFrame([(messages,)], f"m {CHAT}")
+    return df.select(chat_templates.render_template_chat("m", template, **options)).first()[0]
+
+
+def test_chat_template_language(spark):
+    talk = [("system", " s "), ("user", "u1"), ("assistant", "a'1"), ("user", "u2")]
+    one = lambda t, **o: rendered(spark, t, talk, **o)
+    assert one("plain") == "plain"
+    assert one("{% for message in messages %}{{ message.role + ':' + message['content']|trim }};{% endfor %}") == "system:s;user:u1;assistant:a'1;user:u2;"
+    assert one("{{ bos_token }}{% if add_generation_prompt %}go{% else %}stop{% endif %}", bos_token="<s>") == "<s>go"
+    assert one("{% if not add_generation_prompt %}a{% elif true and false %}b{% else %}c{% endif %}", add_generation_prompt=True) == "c"
+    places = "{% for message in messages %}{% if loop.first %}[{% endif %}{{ loop.index0 }}{% if loop.index0 % 2 == 1 %}!{% endif %}{% if loop.last %}]{% endif %}{% endfor %}"
+    assert one(places) == "[01!23!]"
+    assert one("{# note #}x{{- ' y ' -}}  z") == "x y z"
+    # as the tokenizers render: a statement takes its line's indent and line break
+    assert one("a\n  {% if true %}\nb\n  {% endif %}\nc") == "a\nb\nc"
+    assert one("a {% if true %} b {% endif %} c") == "a  b  c"
+    assert one("{{ 'it\\'s' + \"\\n\" }}") == "it's\n"
+    assert one("{% if messages[0]['role'] == 'system' or messages[1].role == 'x' %}yes{% endif %}") == "yes"
+    with pytest.raises(Exception, match="no such turn"):
+        one("{% for message in messages %}{% if message.role == 'assistant' %}{{ raise_exception('no such turn') }}{% endif %}{% endfor %}")
+
+
+def test_chats_that_lack_a_text(spark):
+    template = "{% for message in messages %}<{{ message['content'] }}>{% endfor %}"
+    assert rendered(spark, template, [("user", "x"), ("user", None)]) is None
+    assert rendered(spark, template, None) is None
+    assert rendered(spark, template, []) == ""
+    assert rendered(spark, "{% for message in messages %}{% if message.role == 'user' %}{{ message.content }}{% endif %}{% endfor %}", [("user", "x"), (None, "y"), ("tool", None)]) == "x"
+
+
+def test_unknown_templates_are_refused():
+    for bad in ("{% for m in messages %}{% endfor %}", "{% set x = 1 %}", "{{ tools }}", "{% if true %}", "{% for message in messages %}", "{{ message.role }}", "{{ 'a' 'b' }}", "{{ 'a' | upper }}", "{{ }}", "{{ (true }}", "{{ a ~ b }}", "{{ loop.length }}"):
+        with pytest.raises((ValueError, IndexError), match="chat template|index"):
+            chat_templates.render_template_chat("m", bad)
