@@ -5,10 +5,11 @@ method then looks at every candidate, a long run of token characters, without
 regard to what stands before it: a window slides over it, and for each
 character class (hex, base 64) the Shannon entropy of the window is kept by
 incremental counts, adding the character that enters and taking away the one
-that leaves. A candidate is reported from its first window over the class's
-threshold to its last, unless the allow-list suppresses it: an identifier of a
-known harmless shape, a word-like run, a sequence of the alphabet or a span
-that a known form covers already.
+that leaves. Windows over the class's threshold that overlap make one span. The
+allow-list suppresses what is harmless: a candidate of a known shape as a whole,
+and the segments (between "/" and "=") that a span begins or ends with if they
+are words or placeholders, so that a harmless path does not hide the key behind
+it. A span that a known form covers already is left out.
 """
 
 from __future__ import annotations
@@ -41,12 +42,13 @@ CLASSES = (
     ("hex", frozenset("0123456789abcdefABCDEF"), 3.2),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.9),
 )
-ALLOWED = (
+SHAPES = (
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # a UUID
     re.compile(r"[0-9+/_=-]+"),  # numbers, dates, rules
     re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=+-]*"),  # words, names and paths
-    re.compile(r"(?i).*(?:example|placeholder|changeme|xxxxxx|abcdefgh|12345678).*"),
 )
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|xxxxxx|abcdefgh|12345678")
+SEGMENT = re.compile(r"[^/=]+")
 
 SPAN = StructType([StructField("kind", StringType(), False), StructField("start", LongType(), False), StructField("end", LongType(), False)])
 FIELD = StructField("secrets", ArrayType(SPAN, False), False)
@@ -60,9 +62,9 @@ def _terms(window: int) -> list[float]:
 _TERMS = {WINDOW: _terms(WINDOW)}
 
 
-def entropy_span(text: str, window: int = WINDOW) -> tuple[int, int] | None:
-    """From the first to the end of the last window over its class's threshold."""
-    found = None
+def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Where windows reach their class's threshold: overlapping windows are one span."""
+    ends: set[int] = set()
     term = _TERMS.get(window) or _TERMS.setdefault(window, _terms(window))
     for _, members, least in CLASSES:
         counts: dict[str, int] = {}
@@ -80,13 +82,42 @@ def entropy_span(text: str, window: int = WINDOW) -> tuple[int, int] | None:
                 counts[gone] = n - 1
                 outside -= gone not in members
             if i >= window - 1 and not outside and total / window <= limit + 1e-9:
-                low, high = found or (i - window + 1, i + 1)
-                found = (min(low, i - window + 1), max(high, i + 1))
-    return found
+                ends.add(i + 1)
+    spans: list[tuple[int, int]] = []
+    for end in sorted(ends):
+        if spans and end - window <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((end - window, end))
+    return spans
+
+
+def entropy_span(text: str, window: int = WINDOW) -> tuple[int, int] | None:
+    """From the first to the end of the last window over its class's threshold."""
+    spans = entropy_spans(text, window)
+    return (spans[0][0], spans[-1][1]) if spans else None
+
+
+def shaped(candidate: str) -> bool:
+    """The candidate as a whole is harmless by its shape."""
+    return any(form.fullmatch(candidate) for form in SHAPES)
+
+
+def _harmless(segment: str) -> bool:
+    return shaped(segment) or PLACEHOLDER.search(segment) is not None
 
 
-def allowed(candidate: str) -> bool:
-    return any(form.fullmatch(candidate) for form in ALLOWED)
+def without_harmless(candidate: str, low: int, high: int, least: int = ASSIGN_LEAST) -> tuple[int, int] | None:
+    """The span less the harmless segments at its ends, or None if too little is left."""
+    segments = [(m.start(), m.end()) for m in SEGMENT.finditer(candidate) if m.start() < high and m.end() > low]
+    while segments and _harmless(candidate[slice(*segments[0])]):
+        segments.pop(0)
+    while segments and _harmless(candidate[slice(*segments[-1])]):
+        segments.pop()
+    if not segments:
+        return None
+    low, high = max(low, segments[0][0]), min(high, segments[-1][1])
+    return (low, high) if high - low >= least else None
 
 
 def find_secrets(text: str, window: int = WINDOW) -> list[tuple[str, int, int]]:
@@ -100,13 +131,14 @@ def find_secrets(text: str, window: int = WINDOW) -> list[tuple[str, int, int]]:
     known = [(s, e) for _, s, e in found]
     for match in CANDIDATE.finditer(text):
         run = match[0]
-        if run.islower() and run.isalpha() or allowed(run):
+        if run.islower() and run.isalpha() or shaped(run):
             continue
-        span = entropy_span(run, window)
-        if span:
-            low, high = match.start() + span[0], match.start() + span[1]
-            if not any(s <= low and high <= e for s, e in known):
-                found.append(("entropy", low, high))
+        for reached in entropy_spans(run, window):
+            span = without_harmless(run, *reached)
+            if span:
+                low, high = match.start() + span[0], match.start() + span[1]
+                if not any(s <= low and high <= e for s, e in known):
+                    found.append(("entropy", low, high))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
