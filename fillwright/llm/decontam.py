@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .frames import with_fields
+from .frames import set_aside, with_fields
 from .words import NOT_ALPHANUMERIC, Sequences, Words, chunks, ragged, signed
 
 WINDOW = 13
@@ -240,6 +240,6 @@ def is_contaminated(one_in: int = ONE_IN) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = ONE_IN, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, without the result columns."""
-    marked = benchmark_hits(docs, benchmark, **options)
-    return marked.where(~is_contaminated(one_in)).drop(*(field.name for field in FIELDS))
+    """The rows of ``docs`` that are not contaminated, with all their columns and no others."""
+    aside, back = set_aside(docs, *FIELDS)
+    return back(benchmark_hits(aside, benchmark, **options).where(~is_contaminated(one_in)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
@@ -15,3 +17,16 @@ def with_fields(df: DataFrame, *fields: StructField) -> StructType:
 def kept_columns(df: DataFrame, *fields: StructField) -> list[str]:
     new = {field.name.lower() for field in fields}
     return [c for c in df.columns if c.lower() not in new]
+
+
+def set_aside(df: DataFrame, *fields: StructField) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns named like a field under other names, and what brings
+    its columns back, as they were and without the fields, once those are used."""
+    new = {field.name.lower() for field in fields}
+    other = {c: f"_aside_{i}" for i, c in enumerate(df.columns) if c.lower() in new}
+    columns = df.columns
+
+    def back(result: DataFrame) -> DataFrame:
+        return result.drop(*new).withColumnsRenamed({name: c for c, name in other.items()}).select(*[f"`{c}`" for c in columns])
+
+    return df.withColumnsRenamed(other), back

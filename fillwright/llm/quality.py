@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from .frames import with_fields
+from .frames import set_aside, with_fields
 from .words import WHITE_SPACE, Words, chunks
 
 # Labelled rows that are learned from, half of them of either label. A bounded
@@ -163,8 +163,11 @@ def fit_pairs(values: np.ndarray, good: np.ndarray, pairs: int = PAIRS, steps: i
 
 
 def training_rows(labels: DataFrame, id_column: str, label: str, eligible: Column, rows: int) -> DataFrame:
-    """At most ``rows`` labelled ids, half of either label, chosen by a hash of the id."""
-    known = labels.where(eligible & F.col(label).isin(0, 1)).select(id_column, F.col(label).alias("label"))
+    """At most ``rows`` labelled ids, half of either label, chosen by a hash of the id.
+
+    An id that repeats is one; if its labels differ, it has the lower one.
+    """
+    known = labels.where(eligible & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.min(label).alias("label"))
     order = F.xxhash64(F.col(id_column).cast("string"))
     return known.where("label = 1").orderBy(order).limit(rows // 2).union(known.where("label = 0").orderBy(order).limit(rows // 2))
 
@@ -173,7 +176,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     """Fit on a bounded sample of the labelled documents for which ``eligible`` holds.
 
     ``eligible`` is an expression over the columns of ``labels``. Labels other
-    than 0 and 1, null ids and null texts are not learned from.
+    than 0 and 1, null ids and null texts are not learned from. Of the rows that
+    repeat an id one is, chosen by its text, so the sample has ``rows`` rows at most.
     """
     sample = training_rows(labels, id_column, label, F.lit(True) if eligible is None else eligible, rows)
 
@@ -185,7 +189,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column("label"), lists], names=["label", "features"])
 
     # The sample has at most ``rows`` rows, so the documents need not move.
-    known = docs.where(F.col(text).isNotNull()).join(F.broadcast(sample), id_column).select("label", F.col(text).alias("text"))
+    known = docs.where(F.col(text).isNotNull()).join(F.broadcast(sample), id_column).select(id_column, "label", F.col(text).alias("text"))
+    known = known.groupBy(id_column, "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     table = known.withColumn("label", F.col("label").cast("int")).mapInArrow(measure, "label int, features array<float>").toArrow()
     good = table.column("label").to_numpy() == 1
     values = table.column("features").combine_chunks().flatten().to_numpy().reshape(len(good), WIDTH)
@@ -218,6 +223,10 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The documents predicted good, by a ranker fitted on the labels that are not held out."""
+    """The documents predicted good, by a ranker fitted on the labels that are not held out.
+
+    All columns of ``docs`` are passed on, also those named like a result column.
+    """
     ranker = fit_quality(docs, labels, id_column, text, label, ~held_out(id_column))
-    return score_quality(docs, ranker, text).where("predicted = 1").drop("score", "predicted")
+    aside, back = set_aside(docs, *FIELDS)
+    return back(score_quality(aside, ranker, text).where("predicted = 1"))
