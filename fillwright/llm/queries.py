@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fillwright.session import scratch_dir, write_through
+
 from .byte_bpe import round_trip
 from .decontam import benchmark_hits, is_contaminated
 from .html_extract import extract_text
@@ -20,7 +23,7 @@ from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import fit_quality, held_out, score_quality
 from .secret_scan import scan_secrets, spans_text
-from .sharding import assign_shards, first_map, rebalanced, sized_records, slot_totals
+from .sharding import HEAVY, SLOTS, assign_shards, first_map, load_map, rebalanced, sized_records, slot_totals, spread_heavy, store_map
 from .substring_dedup import cut_repeats
 from .vectors import near_vectors
 
@@ -93,10 +96,16 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    records = sized_records(docs, ["doc_id"]).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "virtual_slot")
-    totals = slot_totals(records)
-    balanced = rebalanced(first_map(spark), totals)
-    placed = assign_shards(records, balanced, totals, ["doc_id", "text_crc32", "size"])
+    checksum = F.crc32(F.coalesce("text", F.lit("")))
+    records = sized_records(docs, ["doc_id", checksum]).select("doc_id", "size", checksum.alias("text_crc32"), "virtual_slot")
+    # stored without the texts: slots are dealt and ranked by what stays the same
+    records = write_through(records.withColumn("row", F.monotonically_increasing_id()))
+    records = spread_heavy(records, "row")
+    totals = write_through(slot_totals(records))
+    maps = f"{scratch_dir(spark)}/shard-maps-{uuid.uuid4().hex}"
+    store_map(first_map(spark, slots=SLOTS + 2 * HEAVY), maps)
+    store_map(rebalanced(load_map(spark, maps), totals), maps)
+    placed = assign_shards(records, load_map(spark, maps), totals, ["doc_id", "text_crc32", "size", "row"])
     return placed.select(
         "doc_id",
         "size",

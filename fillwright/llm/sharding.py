@@ -1,10 +1,13 @@
 """Shards by fixed virtual slots.
 
 A record is hashed into one of ``SLOTS`` virtual slots and stays there for
-good. A map, kept in versions, gives each slot its shard. Bytes and rows are
+good. A map, stored in versions, gives each slot its shard. Bytes and rows are
 summed per slot, and rebalancing edits the map: whole slots move from a shard
-that holds too many bytes to one that holds too few. Everything that decides is
-a table of ``SLOTS`` rows; records meet it in one join of bounded size.
+that holds too many bytes to one that holds too few. A slot that alone holds
+more than one part in ``HEAVY`` of all bytes, as records alike in id and text
+make it, is dealt to slots of its own behind the others, which then move like
+any slot. Everything that decides is a table of ``SLOTS + 2 * HEAVY`` rows at
+most; records meet it in one join of bounded size.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 SLOTS = 16_384
 SHARDS = 40
+HEAVY = 4096  # a slot with more than such a part of all bytes is dealt to several
 ROW_BYTES = 16  # added to the text's bytes for each record
 
 
@@ -31,6 +35,26 @@ def slot_totals(records: DataFrame, slot: str = "virtual_slot", size: str = "siz
     return records.groupBy(slot).agg(F.count("*").alias("slot_rows"), F.sum(size).alias("slot_bytes"))
 
 
+def heavy_slots(totals: DataFrame, slots: int = SLOTS, heavy: int = HEAVY) -> DataFrame:
+    """(virtual_slot, parts, first): slots over their part of all bytes, and the slots they are dealt to."""
+    share = F.ceil(F.sum("slot_bytes").over(Window.partitionBy()) / F.lit(heavy))
+    parts = F.least(F.col("slot_rows"), F.ceil(F.col("slot_bytes") / F.col("_share"))).cast("int")
+    found = totals.withColumn("_share", share).withColumn("parts", parts).where("parts > 1")
+    before = Window.orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.lit(slots) + F.coalesce(F.sum("parts").over(before), F.lit(0))
+    return found.select("virtual_slot", "parts", first.cast("int").alias("first"))
+
+
+def spread_heavy(records: DataFrame, row: str, slots: int = SLOTS, heavy: int = HEAVY) -> DataFrame:
+    """``records`` with the rows of heavy slots dealt to further slots by ``row``, a
+    number of their own; give a stored table, as it is read again for the totals."""
+    deals = heavy_slots(slot_totals(records), slots, heavy)
+    # at most ``heavy`` slots can be over one part in ``heavy`` of the bytes
+    joined = records.join(F.broadcast(deals), "virtual_slot", "left")
+    dealt = F.col("first") + F.pmod(F.xxhash64(row), F.col("parts")).cast("int")
+    return joined.withColumn("virtual_slot", F.coalesce(dealt, F.col("virtual_slot"))).drop("parts", "first")
+
+
 def first_map(spark: SparkSession, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """Version 0: slots are dealt to shards in turn."""
     return spark.range(slots).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % shards).cast("int").alias("shard"), F.lit(0).alias("version"))
@@ -99,8 +123,12 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return maps.where(F.col("version") == wanted).select("virtual_slot", "shard", "version")
 
 
-def sized_records(records: DataFrame, keys: list[str], text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """``records`` with ``size`` and ``virtual_slot``; input columns so named give way."""
+def sized_records(records: DataFrame, keys: list[str | Column], text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """``records`` with ``size`` and ``virtual_slot``; input columns so named give way.
+
+    ``keys`` should tell records apart: with a checksum of the text beside the id,
+    rows without an id are spread as well.
+    """
     return records.withColumns({"size": record_size(text), "virtual_slot": virtual_slot(*keys, slots=slots)})
 
 

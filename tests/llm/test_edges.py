@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fillwright.llm import components, decontam, html_blocks, html_extract, line_dedup, minhash, packing, quality, secret_scan, sharding, substring_dedup, vectors
 from fillwright.llm.words import NOT_ALPHANUMERIC, WHITE_SPACE, Sequences, Words
+from fillwright.session import write_through
 
 from . import brute
 
@@ -408,3 +409,57 @@ def test_parts_of_other_layouts():
     assert text('<article>a <span class="ad">x</span> b<div role="alert">n</div><ol class="commentlist"><li>c</ol></article>') == "a b"
     assert text("<ARTICLE>One&#39;s <B>t</B>ea &lt;br&gt;</ARTICLE>") == "One's tea <br>"
     assert text("<article><p hidden>h</p><p style='display: none'>d</p><p>a</p><button>Go</button></article>") == "a"
+
+
+# what earlier versions lost
+
+
+def test_a_harmless_path_does_not_hide_a_key():
+    key = "q7Zr1XkP9vLm3TnB5wYcD8fGh2JsK4tUv6WxE0aRb"
+    for path in ("/example/files/", "/sample/", "example=", "a/12345678/"):
+        text = f"key {path}{key} end"
+        spans = [text[s:e] for k, s, e in secret_scan.find_secrets(text) if k == "entropy"]
+        assert spans == [key], path
+    assert secret_scan.find_secrets(f"see {key[:8]}EXAMPLE{key[8:24]} there") == []
+    two = f"{key}/{'a' * 60}/{key[::-1]}"
+    assert len([1 for k, *_ in secret_scan.find_secrets(two) if k == "entropy"]) == 2
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark, monkeypatch):
+    rows = [(i % 40, f"{'good words here ' if i % 2 else '!! $$ '}{i % 7}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, quality int")
+    sizes = []
+    fit = quality.fit_pairs
+    monkeypatch.setattr(quality, "fit_pairs", lambda values, good, **o: sizes.append(len(good)) or fit(values, good, **o))
+    quality.fit_quality(docs, labels, rows=20)
+    assert sizes == [20]
+
+
+@pytest.mark.parametrize("kind", ["null ids", "copies"])
+def test_shards_stay_equal_without_ids(spark, kind):
+    r = random.Random(2)
+    rows = [(None if i % 3 == 0 else i, "same text " * 9 if i % 3 == 0 and kind == "copies" else "x" * r.randrange(0, 200)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sized = sharding.sized_records(docs, ["doc_id", F.crc32("text")]).withColumn("row", F.monotonically_increasing_id())
+    spread = write_through(sharding.spread_heavy(write_through(sized), "row"))
+    totals = sharding.slot_totals(spread)
+    slots = sharding.rebalanced(sharding.first_map(spark, 8, sharding.SLOTS + 2 * sharding.HEAVY), totals, 8)
+    got = sharding.assign_shards(spread, slots, totals, ["doc_id", "text"]).collect()
+    loads, places = defaultdict(int), defaultdict(list)
+    for x in got:
+        loads[x.shard] += x.size
+        places[x.shard].append(x.slot)
+    assert len(got) == 3000 and len(loads) == 8
+    assert max(loads.values()) - min(loads.values()) <= 216
+    assert all(sorted(held) == list(range(len(held))) for held in places.values())
+
+
+def test_stages_keep_columns_named_like_results(spark):
+    rows = [(i, "The river runs by the old stone house. " * 3, "a", 1.5, "p", "h") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, predicted string, n_hit string")
+    labels = spark.createDataFrame([(i, 1) for i in range(12)], "doc_id long, quality int")
+    good = quality.keep_good(docs, labels)
+    assert good.columns == docs.columns and sorted(map(tuple, good.collect())) == sorted(rows)
+    clean = decontam.decontaminate(docs, spark.createDataFrame([(1, "else")], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == sorted(rows)
