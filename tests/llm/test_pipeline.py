@@ -1,6 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fillwright.llm import line_dedup
@@ -10,12 +11,22 @@ from .test_queries import SF_DIR, check_packing
 
 
 def plain_lines(docs):
-    pages, totals = {}, {}
-    for _, text, source in docs:
-        totals[source] = totals.get(source, 0) + 1
-        for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
-            pages[source, line] = pages.get((source, line), 0) + 1
-    gone = {k for k, n in pages.items() if n >= line_dedup.MIN_PAGES and n > line_dedup.MAX_RATIO * totals[k[0]]}
+    def frequent(held):
+        pages, totals = {}, {}
+        for (source, page), lines in held.items():
+            totals.setdefault(source, set()).add(page)
+            for line in lines:
+                pages.setdefault((source, line), set()).add(page)
+        return {k for k, n in pages.items() if len(n) >= line_dedup.MIN_PAGES and len(n) > line_dedup.MAX_RATIO * len(totals[k[0]])}
+
+    texts = {(source, text): {x.strip(" ") for x in (text or "").split("\n")} - {""} for _, text, source in docs}
+    gone = frequent(texts)
+    groups = {}
+    for (source, text), lines in texts.items():
+        common = frozenset(x for x in lines if (source, x) in gone)
+        alike = common and sum(map(len, common)) >= line_dedup.NEAR * sum(map(len, lines))
+        groups.setdefault((source, common if alike else text), set()).update(common)
+    gone = frequent(groups)
     return [(i, "\n".join(x for x in text.split("\n") if (s, x.strip(" ")) not in gone) if text is not None else None, s) for i, text, s in docs]
 
 
@@ -73,3 +84,15 @@ def test_copies_keep_their_lines(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF_DIR).collect()}
     assert all(got[i] == copied for i in range(20))
     assert all(got[100 + i] == f"own line {i}" for i in range(40))
+
+
+def test_near_copies_keep_their_lines(spark):
+    shared = "a title of some length\nfirst own line of them\nsecond own line of them"
+    rows = [(i, f"{shared}\nedit {i}", "en", "h", 0) for i in range(20)]
+    rows += [(100 + i, f"menu\nown line {i}, which is longer than the menu", "en", "h", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF_DIR).collect()}
+    assert all(got[i] == f"{shared}\nedit {i}" for i in range(20))
+    assert all(got[100 + i] == f"own line {i}, which is longer than the menu" for i in range(40))
+    named = docs.withColumn("n_lines", F.lit("kept")).withColumn("n_dropped", F.lit(2))
+    assert corpus_pipeline.line_dedup(spark, named, SF_DIR).columns == named.columns
