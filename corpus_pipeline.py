@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwright.llm.decontam import decontaminate
-from fillwright.llm.line_dedup import drop_boilerplate
+from fillwright.llm.line_dedup import without_boilerplate
 from fillwright.llm.minhash import drop_near_duplicates
 from fillwright.llm.packing import pack_documents
 from fillwright.llm.quality import keep_good
@@ -27,12 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate of their source.
-
-    Copies are one page: they are still there, and the one that near-dedup keeps needs its lines.
-    """
-    cleaned = drop_boilerplate(docs, copies_once=True).drop("n_lines", "n_dropped")
-    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without the lines that are boilerplate of their source."""
+    return without_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
