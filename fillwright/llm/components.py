@@ -68,17 +68,25 @@ def centre_pairs(labelled: DataFrame, turn: int = 0) -> DataFrame:
     return tied.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
 
 
-def linked_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 6) -> DataFrame | None:
+# Ids under a value whose pairs are written out, at most 16 pairs an id.
+FEW = 32
+
+
+def linked_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], rounds: int = 6) -> DataFrame | None:
     """(node, component) of the ids that links join, or None if there are no links.
 
     ``postings`` (value, id) name the candidates: two ids under one value.
-    ``confirm`` takes pairs (a, b), a < b, and returns those that are links.
+    ``confirm`` takes pairs (a, b), a < b, and returns those that are links;
+    ``compare`` takes (value, id) rows and returns pairs that join all ids which
+    links join under a value.
 
     Each round ties what is posted under a value to one centre of it, another
     in each round, and drops the values whose ids are in one component. It goes
     on while that merges components and more pairs are open than there are
-    postings; then all open pairs are confirmed. So a group of like ids costs
-    its size, not its square, and no candidate pair across components is left.
+    postings. Then the pairs of values with up to ``FEW`` ids are confirmed, and
+    the ids of larger values, which are alike and yet not linked, are compared
+    in blocks without writing a pair. So rows grow with the postings, and no
+    candidate pair across components is left.
     """
     edges, known, open_before = None, None, None
     for number in range(rounds + 1):
@@ -91,12 +99,18 @@ def linked_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFr
         last = number == rounds or pairs_open <= 2 * total or pairs_open == open_before
         open_before = pairs_open
         if last:
-            a, b = labelled.alias("a"), labelled.alias("b")
+            sizes = labelled.groupBy("value").agg(F.count("*").alias("n"))
+            sized = write_through(labelled.join(sizes, "value"))
+            few = sized.where(F.col("n") <= FEW).drop("n")
+            a, b = few.alias("a"), few.alias("b")
             met = (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
             pairs = a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
         else:
             pairs = centre_pairs(labelled, number)
-        found = write_through(confirm(pairs))
+        found = confirm(pairs)
+        if last:
+            found = found.union(compare(sized.where(F.col("n") > FEW).select("value", "id")))
+        found = write_through(found)
         edges = found if edges is None else edges.union(found)
         if last or not found.isEmpty():
             known = write_through(components(edges, "a", "b"))

@@ -7,6 +7,11 @@ of rows. Multiprobe: a vector is posted under its own bucket and under those
 with one hash replaced by the next axis, so two vectors meet even if two of
 their hashes differ. Pairs that meet are verified by their cosine.
 
+Pairs are written out only under buckets of few vectors. A larger bucket that is
+not one component yet, as vectors make it which are alike but below the
+threshold, is compared in blocks: a vector travels once for each block of its
+bucket, and a task gives back which of its vectors links join, not the pairs.
+
 Links join vectors to components, and every link lies inside a component. Links
 are therefore counted inside components, over all pairs of members in blocks of
 bounded size, which also counts a link that no bucket showed.
@@ -31,8 +36,9 @@ from .words import mix, signed
 COSINE = 0.98
 TABLES = 8
 TURNS = 3
-# Members of a component that are compared in one task.
-BLOCK = 1024
+# Vectors of a block; a task compares two blocks, some rows at a time.
+BLOCK = 8192
+_ROWS = 512
 # Rows turned at once.
 _SLICE = 2048
 
@@ -135,15 +141,69 @@ def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
     return joined.select("a", "b", "va", "vb").mapInArrow(check, f"a {kind}, b {kind}").distinct()
 
 
+def _in_blocks(rows: DataFrame, group: str, order: str, block: int) -> DataFrame:
+    """``rows`` once for each pair of blocks of their group that they are in: ``low`` and
+    ``high`` name the pair and ``own`` the block of the row."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64(order), "blocks").cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = dealt.select("*", others).drop("blocks")
+    spread = spread.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+    # A fixed number of partitions: two blocks are few bytes but much work, so
+    # they must not be put together by size.
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(slots, group, "low", "high")
+
+
+def _least_linked(unit: np.ndarray, cosine: float) -> np.ndarray:
+    """For each row, the least row that links join it to."""
+    n = len(unit)
+    near = []
+    for at in range(0, n, _ROWS):
+        row, other = np.nonzero(unit[at : at + _ROWS] @ unit.T >= cosine)
+        upper = other > row + at
+        near.append(np.stack([row[upper] + at, other[upper]]))
+    one, two = np.concatenate(near, axis=1)
+    label = np.arange(n)
+    while len(one):
+        least = np.minimum(label[one], label[two])
+        np.minimum.at(label, one, least)
+        np.minimum.at(label, two, least)
+        label = label[label]
+        apart = label[one] != label[two]
+        one, two = one[apart], two[apart]
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
+def joined_in_blocks(postings: DataFrame, classes: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs that join the ids which links join under a value, a tree for each
+    two blocks of a value. ``postings`` are (value, id)."""
+    kind = classes.schema["id"].dataType.simpleString()
+    rows = postings.join(classes.select("id", "label", "vector"), "id")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        ids = frame["id"].to_numpy()
+        for rows in frame.groupby([frame["label"], frame["vector"].map(len)]).indices.values():
+            root = _least_linked(_unit(np.stack(frame["vector"].to_numpy()[rows]).astype(np.float64)), cosine)
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            found.append(np.stack([ids[rows[root[tied]]], ids[rows[tied]]]))
+        a, b = np.concatenate(found, axis=1) if found else (ids[:0], ids[:0])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    spread = _in_blocks(rows, "value", "id", block).select("value", "low", "high", "id", "label", "vector")
+    return spread.groupBy("value", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
+
 def link_counts(members: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
     """(hash_a, hash_b, n): for each member, the rows it links with in its component, itself included.
 
     A component is dealt into blocks; a task compares two blocks.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("own", F.pmod("hash_a", "blocks").cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = dealt.select("*", others).select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "label", "hash_a", "hash_b", "weight", "vector")
+    spread = _in_blocks(members, "component", "hash_a", block)
+    spread = spread.select("component", "low", "high", "own", "label", "hash_a", "hash_b", "weight", "vector")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         n = np.zeros(len(frame), np.int64)
@@ -153,18 +213,16 @@ def link_counts(members: DataFrame, cosine: float, block: int = BLOCK) -> DataFr
         for rows in kinds.values():
             unit = _unit(np.stack(frame["vector"].to_numpy()[rows]).astype(np.float64))
             one, two = np.flatnonzero(own[rows] == low), np.flatnonzero(own[rows] == high)
-            linked = unit[one] @ unit[two].T >= cosine
-            if low == high:
-                np.fill_diagonal(linked, True)
-            n[rows[one]] += linked @ weight[rows[two]]
-            if low != high:
-                n[rows[two]] += linked.T @ weight[rows[one]]
+            for at in range(0, len(one), _ROWS):
+                part = one[at : at + _ROWS]
+                linked = unit[part] @ unit[two].T >= cosine
+                if low == high:
+                    linked[np.arange(len(part)), at + np.arange(len(part))] = True
+                n[rows[part]] += linked @ weight[rows[two]]
+                if low != high:
+                    n[rows[two]] += linked.T @ weight[rows[part]]
         return pd.DataFrame({"hash_a": frame["hash_a"], "hash_b": frame["hash_b"], "n": n})
 
-    # A fixed number of partitions: two blocks are few bytes but much work, so
-    # they must not be put together by size.
-    slots = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = spread.repartition(slots, "component", "low", "high")
     counted = spread.groupBy("component", "low", "high").applyInPandas(compare, "hash_a long, hash_b long, n long")
     return counted.groupBy("hash_a", "hash_b").agg(F.sum("n").alias("n"))
 
@@ -193,7 +251,11 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
     classes = write_through(same.select("hash_a", "hash_b", "weight", "c.*"))
     largest = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("w")).agg(F.max("n"), F.max("w")).first()
     postings = write_through(bucket_postings(classes, hashes_for(largest[0] or 1, largest[1] or 2), tables))
-    known = linked_components(postings, lambda pairs: verified(pairs, classes, cosine))
+    known = linked_components(
+        postings,
+        lambda pairs: verified(pairs, classes, cosine),
+        lambda rows: joined_in_blocks(rows, classes, cosine),
+    )
     plain = classes.select("hash_a", "hash_b", F.col("id").alias("class_id"), "weight")
     if known is None:
         found = plain.select("hash_a", "hash_b", "class_id", (F.col("weight") - 1).alias("n"))

@@ -463,3 +463,53 @@ def test_stages_keep_columns_named_like_results(spark):
     assert good.columns == docs.columns and sorted(map(tuple, good.collect())) == sorted(rows)
     clean = decontam.decontaminate(docs, spark.createDataFrame([(1, "else")], "item_id long, text string"))
     assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == sorted(rows)
+
+
+def test_alike_but_unlinked_vectors_write_no_pairs(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    base = r.normal(size=64)
+    near = [(base / np.linalg.norm(base) + r.normal(size=64) * 0.031).tolist() for _ in range(1500)]
+    pair = r.normal(size=64)
+    rows = [(i, v, 1) for i, v in enumerate(near)] + [(9000 + i, (pair + r.normal(size=64) * 0.02).tolist(), 1) for i in range(3)]
+    # a chain of links inside the crowd, which meets in the same buckets
+    step = np.array(near[0])
+    for i in range(40):
+        step = step + r.normal(size=64) * 0.01
+        rows.append((5000 + i, step.tolist(), 1))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    seen, check = [], vectors.verified
+    monkeypatch.setattr(vectors, "verified", lambda pairs, *a: seen.append(pairs.count()) or check(pairs, *a))
+    got = sorted(tuple(x) for x in vectors.near_vectors(frame).collect())
+    assert got == sorted(brute.near_vectors(rows))
+    # in proportion to the postings of all rounds; all pairs would be 1,189,653
+    postings = len(rows) * vectors.TABLES * (1 + vectors.hashes_for(len(rows), 64))
+    assert sum(seen) < 4 * postings
+
+
+@pytest.mark.parametrize("hashes", [3, 6])
+def test_recall_of_pairs_at_the_threshold(hashes):
+    r = np.random.default_rng(hashes)
+    one = r.normal(size=(1500, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    side = r.normal(size=one.shape)
+    side -= (side * one).sum(axis=1, keepdims=True) * one
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    two = 0.98 * one + np.sqrt(1 - 0.98**2) * side
+    a, b = vectors.polytope_codes(one, hashes), vectors.polytope_codes(two, hashes)
+    met = (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+    assert met.mean() >= 0.99
+
+
+def test_trees_of_linked_rows():
+    r = np.random.default_rng(1)
+    for n, spread in ((700, 0.15), (40, 0.05), (3, 9.0)):
+        rows = r.normal(size=(5, 8))[r.integers(0, 5, n)] + r.normal(size=(n, 8)) * spread
+        unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        linked = unit @ unit.T >= 0.98
+        want = np.arange(n)
+        while True:
+            least = np.where(linked | np.eye(n, dtype=bool), want[None, :], n).min(axis=1)
+            if (least == want).all():
+                break
+            want = least
+        assert (vectors._least_linked(unit, 0.98) == want).all()
