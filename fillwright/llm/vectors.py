@@ -166,14 +166,13 @@ def _least_linked(unit: np.ndarray, cosine: float) -> np.ndarray:
     one, two = np.concatenate(near, axis=1)
     label = np.arange(n)
     while len(one):
-        least = np.minimum(label[one], label[two])
-        np.minimum.at(label, one, least)
-        np.minimum.at(label, two, least)
-        label = label[label]
+        # the roots are tied, so that all rows below them follow
+        first, second = label[one], label[two]
+        np.minimum.at(label, np.maximum(first, second), np.minimum(first, second))
+        while (label[label] != label).any():
+            label = label[label]
         apart = label[one] != label[two]
         one, two = one[apart], two[apart]
-    while (label[label] != label).any():
-        label = label[label]
     return label
 
 
