@@ -54,15 +54,32 @@ class Block:
     text: str
     outside: bool
     root: int  # 3 in an article, 2 in main, 1 in a part named as content, else 0
+    links: int = 0  # characters inside links
 
 
 @dataclass
 class _Open:
+    """An open element. Its path tells it from others by what it begins with: the name
+    of its first block inside, or # for text; an inline element is part of its block."""
+
     name: str
     path: str
     hard: bool
     layout: bool
     root: int
+    block: _Open | None = None
+    link: bool = False
+    begun: bool = False
+
+    def begins(self, what: str) -> None:
+        held = self.block or self
+        if not held.begun:
+            held.begun = True
+            held.path = f"{held.path}/{what}"
+
+    @property
+    def place(self) -> str:
+        return self.block.path if self.block else self.path
 
 
 def _part(here: _Open | None) -> tuple[bool, bool, int]:
@@ -98,31 +115,35 @@ def _opened(name: str, raw: str, above: _Open | None) -> _Open:
         hard = hard or "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "").lower()
         layout = layout or (name == "header" and root < 2) or bool(names & LAYOUT_WORDS)
     label = name + "".join(f".{c}" for c in sorted(held.get("class", "").split())[:3]) if held else name
-    path = f"{above.path}>{label}" if above else label
+    link = name == "a" or bool(above and above.link)
     if name in INLINE and above:
-        path = above.path
-    return _Open(name, path, hard, layout, max(root, kind))
+        return _Open(name, "", hard, layout, max(root, kind), above.block or above, link)
+    if above:
+        above.begins(name)
+    path = f"{above.place}>{label}" if above else label
+    return _Open(name, path, hard, layout, max(root, kind), None, link)
 
 
 def scan(page: str) -> tuple[list[Block], list[str]]:
     """The blocks of a page in order, and the paths of its block tags in order."""
     blocks: list[Block] = []
-    paths: list[str] = []
+    opened: list[_Open] = []
+    linked = 0
     stack: list[_Open] = []
     pieces: list[str] = []
     where: _Open | None = None
 
     def flush() -> None:
-        nonlocal where
+        nonlocal where, linked
         text = " ".join("".join(pieces).split())
         if text:
             here = where
-            blocks.append(Block(here.path if here else "", text, bool(here and (here.hard or here.layout)), here.root if here else 0))
+            blocks.append(Block(here.place if here else "", text, bool(here and (here.hard or here.layout)), here.root if here else 0, min(linked, len(text))))
         pieces.clear()
-        where = None
+        where, linked = None, 0
 
     def add(raw: str) -> None:
-        nonlocal where
+        nonlocal where, linked
         if not raw:
             return
         top = stack[-1] if stack else None
@@ -130,6 +151,10 @@ def scan(page: str) -> tuple[list[Block], list[str]]:
             flush()  # an inline part that is no article text
         if where is None and not raw.isspace():
             where = top
+        if top and not raw.isspace():
+            top.begins("#")
+            if top.link:
+                linked += len(raw.strip())
         pieces.append(html.unescape(raw) if "&" in raw else raw)
 
     def pop_to(depth: int) -> None:
@@ -180,7 +205,7 @@ def scan(page: str) -> tuple[list[Block], list[str]]:
             continue
         here = _opened(name, raw, stack[-1] if stack else None)
         if name not in INLINE:
-            paths.append(here.path)
+            opened.append(here)
         stack.append(here)
     flush()
-    return blocks, paths
+    return blocks, [here.path for here in opened]

@@ -159,12 +159,14 @@ def test_template_texts_go_and_slots_stay(spark):
     rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(12)] + [(99, None, None), (100, "http://h.example/e", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("more", F.lit(1))
     got = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
-    assert got[3].text == "Title 3 Body 3" and got[3].more == 1
-    assert [s.slot for s in got[3].slots] == ["body>article>h1", "body>article"]  # two p a page: a vector of their own
+    # nothing of the article is dropped, also not what all articles say
+    assert got[3].text == "Title 3 Read more here Body 3" and got[3].more == 1
+    assert [s.slot for s in got[3].slots] == ["body>article>h1", "body>article", "body>article"]  # two p a page: a vector of their own
     assert got[99].text == got[100].text == ""
     assert html_extract.extract_text(pages.limit(0)).count() == 0
-    # Repeated rows are as many rows again.
-    assert html_extract.extract_text(pages.union(pages)).count() == 2 * len(rows)
+    # Repeated rows are as many rows again, with the same texts.
+    twice = html_extract.extract_text(pages.union(pages)).collect()
+    assert len(twice) == 2 * len(rows) and all(r.text == got[r.page_id].text for r in twice)
 
 
 def test_copies_and_repeated_headings_keep_the_article(spark):
@@ -513,3 +515,57 @@ def test_trees_of_linked_rows():
                 break
             want = least
         assert (vectors._least_linked(unit, 0.98) == want).all()
+
+
+def unmarked(source):
+    """A page without the marks that name its parts."""
+    import re
+
+    plain = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|form)\b[^>]*>", r"<\1div>", source)
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", plain)
+
+
+def test_the_template_finds_the_article_without_marks(spark):
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice(VOCABULARY[:6]) + str(r.randrange(999)) for _ in range(n))
+    rows, own, others = [], {}, {}
+    for i in range(60):
+        menu = [say(2) for _ in range(8)]
+        advert, foot, side = (say(30) if i % 3 else ""), f"Copyright {say(4)}", "Always the same side text of this host " * 3
+        # some articles are far shorter than what stands around them
+        paragraphs = [say(r.choice([3, 60, 200])) for _ in range(r.choice([1, 2, 6]))]
+        title = say(5)
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + (f"<ul><li>{say(4)}</li></ul>" if i % 4 == 0 else "")
+        page = "<html><head><title>x</title></head><body><nav><ul>" + "".join(f"<li><a href='/x'>{m}</a></li>" for m in menu) + "</ul></nav>"
+        page += (f'<div class="ad">{advert}</div>' if advert else "") + f"<aside><h4>More</h4><p>{side}</p></aside><article>{body}</article><footer>{foot}</footer></body></html>"
+        rows.append((i, f"http://h.example/{i}", unmarked(page)))
+        own[i] = " ".join([title, *paragraphs]).split()
+        others[i] = f"{' '.join(menu)} {advert} {side} {foot}".split()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = lost = strange = 0
+    for x in html_extract.extract_text(pages).collect():
+        words = x.text.split()
+        kept += sum(w in words for w in own[x.page_id])
+        lost += sum(w not in words for w in own[x.page_id])
+        strange += max(0, len(words) - len(own[x.page_id]) - 4)
+    assert kept >= 0.95 * (kept + lost) and strange <= 0.05 * sum(map(len, others.values()))
+    # without the template the menus and all the rest stay in
+    off = sum(max(0, len(" ".join(t for _, t in html_extract.page_slots(h)).split()) - len(own[i])) for i, _, h in rows)
+    assert off > 0.9 * sum(map(len, others.values()))
+
+
+def test_article_path_by_weights():
+    def tag(path, varies, headings=0, whole=None, times=10, seen=10):
+        return {"path": path, "varies": varies, "headings": headings, "whole": varies if whole is None else whole, "times": times, "seen": seen}
+
+    top = [tag("html", 100, 5, 300), tag("html>body", 100, 5, 300)]
+    assert html_extract.article_path([]) is None
+    assert html_extract.article_path(top) is None
+    assert html_extract.article_path([*top, tag("html>body>div/ul", 1, 0, 90), tag("html>body>div/h1", 95, 5, 100)]) == "html>body>div/h1"
+    # headings beside the text belong to it, other text does not
+    inner = [tag("html>body>div/h1", 95, 5, 95), tag("html>body>div/h1>div/p", 90, 0, 90)]
+    assert html_extract.article_path([*top, *inner]) == "html>body>div/h1"
+    assert html_extract.article_path([*top, tag("html>body>div/ul", 95, 5, 195), tag("html>body>div/ul>div/p", 90, 0, 90)]) == "html>body>div/ul>div/p"
+    # what stands many times on a page is no container, and two halves are no lead
+    assert html_extract.article_path([*top, tag("html>body>div/p", 95, 0, times=40)]) is None
+    assert html_extract.article_path([*top, tag("html>body>div/p", 50), tag("html>body>div/h2", 50)]) is None
