@@ -18,7 +18,7 @@ from fillwright.llm.line_dedup import without_boilerplate
 from fillwright.llm.minhash import drop_near_duplicates
 from fillwright.llm.packing import pack_documents
 from fillwright.llm.quality import keep_good
-from fillwright.session import scratch_dir
+from fillwright.session import drop_folder, scratch_dir, stored_tables_dropped
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +60,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored in the shared folder and read again."""
+    """All stages over ``documents``, each stored in the shared folder and read again.
+
+    What a stage stores on its way is dropped once its result is written, and so is
+    the result of the stage before; the last one stays.
+    """
     folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
-        result = stage(spark, docs, sf_dir)
-        result.write.parquet(path)
+        with stored_tables_dropped(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
         docs = spark.read.schema(result.schema).parquet(path)
+        if number:
+            drop_folder(spark, f"{folder}/{number - 1}")
     return docs

@@ -311,3 +311,30 @@ def test_batches_are_checked_by_the_pass_that_writes_them(spark, tmp_path):
     for bad, limit, exact in ((([1], [1, 2], False), 3, False), (([1], None, False), 3, False), (([1] * 4, [1] * 4, False), 3, False), (([1], [1], False), 3, True)):
         with pytest.raises(ValueError, match="1 rows|1 beyond|2 beyond"):
             writers.write_batches(spark.createDataFrame([rows[1], bad], schema), f"{tmp_path}/b", limit, exact)
+
+
+def test_stored_tables_are_dropped_with_their_block(spark, tmp_path):
+    from pathlib import Path
+
+    shared = Path(session.scratch_dir(spark))
+
+    def held():
+        return {p.name for p in shared.glob("stage-*")}
+
+    before = held()
+    with session.stored_tables_dropped(spark):
+        kept = session.write_through(spark.range(5))
+        with session.stored_tables_dropped(spark):
+            session.write_through(spark.range(3))
+            assert len(held() - before) == 2
+        assert len(held() - before) == 1
+        kept.write.parquet(f"{tmp_path}/out")
+    assert held() == before and spark.read.parquet(f"{tmp_path}/out").count() == 5
+    with pytest.raises(RuntimeError), session.stored_tables_dropped(spark):
+        session.write_through(spark.range(3))
+        raise RuntimeError
+    assert held() == before
+    session.write_through(spark.range(3))
+    assert len(held() - before) == 1
+    with pytest.raises(ValueError, match="not below"):
+        session.drop_folder(spark, str(tmp_path))
