@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fillwright.session import scratch_dir, write_through
 
 from .byte_bpe import round_trip
-from .decontam import benchmark_hits, is_contaminated
+from .decontam import benchmark_windows, is_contaminated, mark_hits, name_items
 from .html_extract import extract_text
 from .importance import ORACLE as RESAMPLING_SQL
 from .importance import resample
@@ -132,7 +132,10 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = benchmark_hits(docs, _table(spark, sf_dir, "benchmark"))
+    windows = write_through(benchmark_windows(_table(spark, sf_dir, "benchmark")))
+    # stored without the texts, so that the documents are marked once
+    marked = write_through(mark_hits(docs, windows).drop("text"))
+    hits = name_items(marked, windows, "doc_id")
     return hits.select(
         "doc_id",
         "n_words",

@@ -403,6 +403,38 @@ def test_decontamination_edges(spark, empty, block):
     assert decontam.benchmark_hits(frame, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_a_window_of_many_items_is_one_row(spark):
+    many, shared = 20_000, " ".join(ITEM.split()[:13])
+    bench = spark.range(many).select(F.col("id").alias("item_id"), F.concat(F.lit(shared + " end"), "id").alias("text"))
+    docs = [(1, shared), (2, f"so {shared} end7 it goes"), (3, "end7"), (4, shared), (4, shared)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hit_windows", F.lit("own"))
+    windows = decontam.benchmark_windows(bench)
+    assert windows.count() == 2 * many
+    held = decontam.rarest_shingles(frame, windows)
+    assert [r.n for r in held.collect()] == [13, 13]
+    got = decontam.benchmark_hits(frame, bench)
+    assert got.columns == ["doc_id", "text", "hit_windows", "n_words", "n_hit", "hit_spans", "hit_items"]
+    every = sorted(str(i) for i in range(many))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.hit_windows, r.hit_items) for r in got.collect()} == {
+        1: (13, 13, "own", every),
+        2: (17, 14, "own", every),
+        3: (1, 0, "own", []),
+        4: (13, 13, "own", every),
+    }
+    assert got.count() == 5
+
+
+@pytest.mark.parametrize("at_once", [1 << 21, 7])
+def test_windows_are_known_by_a_rarest_shingle(spark, at_once):
+    docs = spark.createDataFrame([(1, ITEM), (2, "alpha beta gamma " * 5), (3, "beta gamma delta " * 2)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, ITEM + " omega"), (3, "beta gamma"), (4, None)], "item_id long, text string")
+    rows = decontam.rarest_shingles(docs, decontam.benchmark_windows(bench), at_once=at_once).collect()
+    assert sorted(r.n for r in rows) == [2, 13, 13]  # the window up to omega stands nowhere
+    assert {r.place for r in rows if r.n == 2} == {0}
+    assert all(r.place for r in rows if r.n == 13)  # the first shingle of both stands in other texts too
+    assert decontam.rarest_shingles(docs, decontam.benchmark_windows(bench.limit(0))).count() == 0
+
+
 def test_parts_of_other_layouts():
     text = lambda page: " ".join(t for _, t in html_extract.page_slots(page))
     assert text('<div id="main-content"><p>a</p><div class="sidebar">s</div></div><div class="footer">f</div>') == "a"
