@@ -38,8 +38,9 @@ MIN_WORDS = 20
 SEED = 42
 PERCENT = 5
 DIGIT_BITS = 11
-# Rows of a slice, the unit of a counting pass.
-SLICE_ROWS = 1 << 18
+# Rows of a slice, the unit of a counting pass: few enough that a digit all rows
+# share is spread over many tasks, and four times the counts a slice can have.
+SLICE_ROWS = 1 << 13
 # Bytes of a word that are hashed together with those of other words; the rest alone.
 _TOGETHER = 48
 
@@ -195,15 +196,17 @@ def radix_rank(rows: DataFrame, keys: Sequence[tuple[str, bool]], rank_col: str
     """
     columns = [c for c in rows.columns if c.lower() != rank_col.lower()]
     at, part, digit = "_radix_at", "_radix_slice", "_radix_digit"
-    first = F.monotonically_increasing_id()
-    table = write_through(rows.select(*columns).withColumn(at, first).withColumn(part, F.shiftright(at, 33)))
+    slices = F.expr(f"`{at}` div {int(slice_rows)}")
+    table = write_through(rows.select(*columns).withColumn(at, F.monotonically_increasing_id()).withColumn(part, slices))
     ends = table.agg(*[f(c).alias(f"{f.__name__}_{i}") for i, (c, _) in enumerate(keys) for f in (F.min, F.max)]).first()
     passes = []
     for i, (column, descending) in reversed(list(enumerate(keys))):
         low, high = ends[f"min_{i}"], ends[f"max_{i}"]
         key, bits = _unsigned(column, low, high, descending)
-        places = list(range(0, min(bits, 64), digit_bits)) + ([64] if bits == 65 else [])
-        passes += [_digit(key, column, bits, place, digit_bits) for place in places]
+        # digits of one width, so that the highest has as many values as the others
+        width = -(-bits // max(1, -(-bits // digit_bits))) if bits < 65 else digit_bits
+        places = list(range(0, min(bits, 64), width or 1)) + ([64] if bits == 65 else [])
+        passes += [_digit(key, column, bits, place, width) for place in places]
     same = Window.partitionBy(part, digit).orderBy(at)
     for value in passes or [F.lit(0).cast("long")]:
         marked = table.withColumn(digit, value)
@@ -218,7 +221,7 @@ def radix_rank(rows: DataFrame, keys: Sequence[tuple[str, bool]], rank_col: str
         before = before.select(part, digit, (F.col("_digits_before") + F.col("_slices_before")).alias("_before"))
         numbered = marked.withColumn("_place", F.row_number().over(same)).join(before, [part, digit])
         moved = numbered.select(*columns, (F.col("_before") + F.col("_place") - 1).alias(at))
-        table = write_through(moved.withColumn(part, F.expr(f"`{at}` div {int(slice_rows)}")))
+        table = write_through(moved.withColumn(part, slices))
     return table.select(*columns, (F.col(at) + 1).alias(rank_col))
 
 
