@@ -139,8 +139,11 @@ def repeated_spans(docs: DataFrame, id_column: str, text: str, window: int = WIN
     """(id, tag, spans): per document, ranges [start, end) of window starts that repeat an earlier document."""
     occurrences = write_through(graph_edges(docs, id_column, text, window, edge))
     repeated = occurrences.groupBy("edge").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
-    held = write_through(occurrences.join(repeated.select("edge", "first_id"), "edge"))
-    fork = held.groupBy("edge").agg(F.min("path").alias("p"), F.max("path").alias("q")).where("p <> q").select("edge")
+    # aggregates are stored before they are joined back, so that the join can be split at a hot edge
+    repeated = write_through(repeated.select("edge", "first_id"))
+    held = write_through(occurrences.join(repeated, "edge"))
+    fork = held.groupBy("edge").agg(F.min("path").alias("p"), F.max("path").alias("q")).where("p <> q")
+    fork = write_through(fork.select("edge"))
     # An edge without a fork: all its windows have the same first document.
     span = F.struct(F.col("low").alias("start"), (F.col("low") + F.col("many")).alias("end"))
     compact = held.where("id > first_id").join(fork, "edge", "left_anti").select("id", "tag", F.array(span).alias("spans"))
@@ -153,7 +156,7 @@ def repeated_spans(docs: DataFrame, id_column: str, text: str, window: int = WIN
     opened = windows.join(first, ["first", "second"]).groupBy("edge", "path").agg(F.collect_list(F.struct("place", "first_id")).alias("opened"))  # at most WINDOW - EDGE + 1
     earlier = F.filter("opened", lambda w: w["first_id"] < F.col("id"))
     spans = F.transform(earlier, lambda w: F.struct((F.col("low") + w["place"]).alias("start"), (F.col("low") + w["place"] + 1).alias("end")))
-    open_spans = branching.join(opened, ["edge", "path"]).select("id", "tag", spans.alias("spans")).where(F.size("spans") > 0)
+    open_spans = branching.join(write_through(opened), ["edge", "path"]).select("id", "tag", spans.alias("spans")).where(F.size("spans") > 0)
     both = compact.union(open_spans)
     return both.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a document's windows
 
