@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from fillwright.session import write_through
 
+# Where an aggregate is joined back to its rows, it is stored first: both sides of
+# the join are then plain shuffles, which the skew rule can split at a hot key.
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node ties its larger neighbours to the least node around it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = write_through(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node ties itself and its smaller neighbours to the least of them."""
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = write_through(down.groupBy("u").agg(F.min("v").alias("m")))
     others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v")))
 
@@ -30,8 +33,8 @@ def components(edges: DataFrame, one: str, other: str) -> DataFrame:
 
     Large-star and small-star steps alternate, for a number of rounds that grows with the
     logarithm of the longest path.
-    A node with very many edges is one row per edge in a join and one partial
-    minimum per task. Each round is stored, which cuts the lineage.
+    A node with very many edges is one row per edge in a join that can be split,
+    and one partial minimum per task. Each round is stored, which cuts the lineage.
     """
     links = edges.select(F.col(one).alias("u"), F.col(other).alias("v")).where("u <> v")
     now, before = write_through(_small_star(links).distinct()), None
@@ -57,14 +60,14 @@ def open_postings(postings: DataFrame, known: DataFrame | None) -> DataFrame:
     """(value, id, component) under the values whose ids are not all in one component."""
     labelled = _labelled(postings, known)
     spread = labelled.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    return labelled.join(spread.select("value"), "value", "left_semi")
+    return labelled.join(write_through(spread.select("value")), "value", "left_semi")
 
 
 def centre_pairs(labelled: DataFrame, turn: int = 0) -> DataFrame:
     """(a, b), a < b: each id with one centre of each of its values, another centre in each turn."""
     order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
     centres = labelled.groupBy("value").agg(F.min_by(F.struct("id", "component"), order).alias("centre"))
-    tied = labelled.join(centres, "value").where(F.col("component") != F.col("centre.component"))
+    tied = labelled.join(write_through(centres), "value").where(F.col("component") != F.col("centre.component"))
     return tied.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
 
 
@@ -99,7 +102,7 @@ def linked_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFr
         last = number == rounds or pairs_open <= 2 * total or pairs_open == open_before
         open_before = pairs_open
         if last:
-            sizes = labelled.groupBy("value").agg(F.count("*").alias("n"))
+            sizes = write_through(labelled.groupBy("value").agg(F.count("*").alias("n")))
             sized = write_through(labelled.join(sizes, "value"))
             few = sized.where(F.col("n") <= FEW).drop("n")
             a, b = few.alias("a"), few.alias("b")

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillwright.session import write_through
@@ -42,6 +42,8 @@ COORDINATES = 64
 MISS = 1e-7
 # Shingles that are hashed for all coordinates at once.
 _BLOCK = 16_384
+# Parts a class is dealt to by id, so that its copies do not meet in one task.
+PARTS = 1024
 
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _SIGNATURE_SCHEMA = "n_shingles long, set_a long, set_b long, signature array<long>"
@@ -120,7 +122,8 @@ def shingle_sets(docs: DataFrame, id_column: str, text: str, shingle: int = SHIN
 def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     """(value, id): the rarest shared values of each class that can have a partner."""
     posted = classes.select("id", F.explode("signature").alias("value"))
-    shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join can be split at a value of very many classes
+    shared = write_through(posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
     found = posted.join(shared, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("shared"))  # at most COORDINATES
     prefix = F.slice("shared", 1, F.greatest(F.size("shared") - matches + 1, F.lit(0)))
     return found.select("id", F.explode(prefix).alias("p")).select(F.col("p.value").alias("value"), "id")
@@ -172,6 +175,18 @@ def rare_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+def _part() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
+
+
+def set_classes(real: DataFrame) -> DataFrame:
+    """(set_a, set_b, part, least, class_id): the documents of one set are a class,
+    named by its least id and dealt to parts with a least id each."""
+    parts = real.groupBy("set_a", "set_b", _part()).agg(F.min("id").alias("least"))
+    whole = Window.partitionBy("set_a", "set_b")  # at most PARTS rows
+    return parts.withColumn("class_id", F.min("least").over(whole))
+
+
 def linked_classes(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the classes that have a link."""
     tied = write_through(confirmed(centre_pairs(postings.withColumn("component", F.col("id"))), sets, percent))
@@ -193,16 +208,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """
     signed_docs = write_through(signatures(docs, id_column, text, shingle))
     real = signed_docs.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = real.groupBy("set_a", "set_b").agg(F.min("id").alias("class_id"))
-    chosen = real.join(classes.select(F.col("class_id").alias("id"), "set_a", "set_b"), ["id", "set_a", "set_b"], "left_semi")
+    classes = write_through(set_classes(real))
+    named = classes.where("least = class_id").select(F.col("class_id").alias("id"), "set_a", "set_b")
+    chosen = real.join(named, ["id", "set_a", "set_b"], "left_semi")
     postings = write_through(prefix_postings(chosen.dropDuplicates(["id", "set_a", "set_b"]).select("id", "signature"), least_matches(COORDINATES, percent)))
     wanted = write_through(postings.select("id").distinct())
     sets = write_through(shingle_sets(docs.join(wanted, docs[id_column] == wanted["id"], "left_semi"), id_column, text, shingle))
     known = linked_classes(postings, sets, percent)
-    narrow = signed_docs.select("id", "n_shingles", "set_a", "set_b")
-    placed = narrow.join(classes, ["set_a", "set_b"], "left")
-    placed = placed.join(known, placed["class_id"] == known["node"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "class_id")).otherwise(F.col("id"))
+    # looked up once for each part of a class, then by the documents of the part
+    found = classes.join(known, classes["class_id"] == known["node"], "left")
+    found = found.select("set_a", "set_b", "part", F.coalesce("component", "class_id").alias("component"))
+    placed = signed_docs.select("id", "n_shingles", "set_a", "set_b", _part()).join(found, ["set_a", "set_b", "part"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return placed.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
 
 

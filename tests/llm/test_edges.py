@@ -601,3 +601,47 @@ def test_article_path_by_weights():
     # what stands many times on a page is no container, and two halves are no lead
     assert html_extract.article_path([*top, tag("html>body>div/p", 95, 0, times=40)]) is None
     assert html_extract.article_path([*top, tag("html>body>div/p", 50), tag("html>body>div/h2", 50)]) is None
+
+
+def _with_conf(spark, conf, run):
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return run()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+SPLITTING = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def _splits(frame):
+    frame.collect()
+    return "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_at_a_hot_node_value_or_edge_can_be_split(spark):
+    hub = spark.range(1, 40_000).selectExpr("0L AS u", "id AS v").repartition(8)
+    hub = write_through(hub)
+    assert _with_conf(spark, SPLITTING, lambda: _splits(components._large_star(hub).where("u <> v")))
+    posted = write_through(spark.range(40_000).selectExpr("id % 3 = 0 AS hot", "id").selectExpr("if(hot, 0L, id) AS value", "id", "id AS component").repartition(8))
+    assert _with_conf(spark, SPLITTING, lambda: _splits(components.centre_pairs(posted)))
+    assert _with_conf(spark, SPLITTING, lambda: _splits(components.open_postings(posted, None)))
+
+
+def test_a_class_of_very_many_copies_is_dealt_to_parts(spark):
+    many = spark.range(5, 50_000).selectExpr("id", "1L AS set_a", "2L AS set_b").union(spark.createDataFrame([(3, 1, 9), (4, 1, 9), (9, 7, 7)], "id long, set_a long, set_b long"))
+    got = minhash.set_classes(many).collect()
+    assert {(r.set_a, r.set_b): r.class_id for r in got} == {(1, 2): 5, (1, 9): 3, (7, 7): 9}
+    assert [r.least for r in got if r.least == r.class_id and r.set_b == 2] == [5]
+    rows = many.where("set_b = 2").groupBy(minhash._part()).count().agg(F.max("count")).first()[0]
+    assert rows < 50_000 / minhash.PARTS * 3
