@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,20 @@ def components(edges: DataFrame, one: str, other: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def least_joined(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows, the least row that the pairs join it to."""
+    label = np.arange(n)
+    while len(one):
+        # the roots are tied, so that all rows below them follow
+        first, second = label[one], label[two]
+        np.minimum.at(label, np.maximum(first, second), np.minimum(first, second))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[one] != label[two]
+        one, two = one[apart], two[apart]
+    return label
+
+
 def _labelled(postings: DataFrame, known: DataFrame | None) -> DataFrame:
     if known is None:
         return postings.withColumn("component", F.col("id"))

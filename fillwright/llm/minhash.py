@@ -18,7 +18,11 @@ first tied to one centre of it, and values whose classes all turn out to be in
 one component are done. Classes under the other values are joined once more, by
 the rarest shingles of their full sets, which is exact: for each pair the
 position of a shared shingle bounds what else the sets can share, so classes
-that were edited too much to have a partner meet none.
+that were edited too much to have a partner meet none. Pairs are written out
+only under shingles of few classes. The classes of the other shingles, which are
+alike and mostly not linked, are compared in blocks: a set travels once for each
+block of its crowd, and a task gives back which of its classes links join, not
+the pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from fillwright.session import write_through
 
-from .components import centre_pairs, components, open_postings
+from .components import FEW, centre_pairs, components, least_joined, open_postings
 from .words import WHITE_SPACE, Sequences, Words, chunks, mix, signed
 
 SHINGLE = 5
@@ -44,6 +48,11 @@ MISS = 1e-7
 _BLOCK = 16_384
 # Parts a class is dealt to by id, so that its copies do not meet in one task.
 PARTS = 1024
+# Shingles of a block of sets, which counts as this many for each set at least;
+# a task compares two blocks, some shingles at a time.
+BLOCK = 1 << 17
+_LEAST = 128
+_COLUMNS = 4096
 
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _SIGNATURE_SCHEMA = "n_shingles long, set_a long, set_b long, signature array<long>"
@@ -145,8 +154,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(_similar(F.col("set_a"), F.col("set_b"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b").distinct()
 
 
-def rare_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: classes of two components that can be similar enough.
+def rare_postings(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, id, component, size, place): the shingles under which a class can meet a similar one.
 
     ``open_classes`` (id, component). Shingles are ordered by how many of these
     classes have them. Sets that must share ``need`` shingles share one among
@@ -162,7 +171,11 @@ def rare_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     prefix = F.slice("shared", 1, F.greatest(first.cast("int"), F.lit(0)))
     narrow = held.select("id", "component", "size").join(shared, "id")
     posted = narrow.select("id", "component", "size", alone.alias("alone"), F.posexplode(prefix).alias("place", "p"))
-    posted = write_through(posted.select(F.col("p.shingle").alias("shingle"), "id", "component", "size", (F.col("alone") + F.col("place")).alias("place")))
+    return posted.select(F.col("p.shingle").alias("shingle"), "id", "component", "size", (F.col("alone") + F.col("place")).alias("place"))
+
+
+def rare_pairs(posted: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: classes of two components that meet and can be similar enough."""
     a, b = posted.alias("a"), posted.alias("b")
     need = F.ceil((F.col("a.size") + F.col("b.size")) * percent / (100 + percent))
     met = (
@@ -175,6 +188,66 @@ def rare_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+def _links(own: np.ndarray, component: np.ndarray, size: np.ndarray, flat: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of different components and blocks, or of one block, that are similar enough.
+
+    ``own`` is the block of a row: of two blocks, only pairs across them are compared.
+    """
+    row = np.repeat(np.arange(len(size)), size)
+    _, code, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = np.cumsum(shared) - 1
+    kept = shared[code]
+    row, code = row[kept], column[code[kept]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    left = np.flatnonzero(own == own.min())
+    right = np.flatnonzero(own == own.max())
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), _COLUMNS):
+        low, high = np.searchsorted(code, [at, at + _COLUMNS])
+        has = np.zeros((len(size), _COLUMNS), np.float32)  # sums stay below 2**24, so they are exact
+        has[row[low:high], code[low:high] - at] = 1
+        both += has[left] @ has[right].T
+    sizes = size[left][:, None] + size[right][None, :]
+    near = (both * 100 >= percent * (sizes - both.astype(np.int64))) & (component[left][:, None] != component[right][None, :])
+    one, two = np.nonzero(near)
+    return left[one], right[two]
+
+
+def joined_in_blocks(posted: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs that join the classes which links across components join under a
+    shingle, a tree for each two blocks.
+
+    The shingles that have the same least class are one crowd, so that classes which
+    share many shingles are compared in few crowds.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+    least = write_through(posted.groupBy("shingle").agg(F.min("id").alias("crowd")))
+    rows = write_through(posted.join(least, "shingle").select("crowd", "id", "component", "size").distinct())
+    share = F.sum(F.greatest("size", F.lit(_LEAST)))
+    sizes = write_through(rows.groupBy("crowd").agg(F.ceil(share / block).cast("int").alias("blocks")))
+    dealt = rows.select("crowd", "id", "component").distinct().join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    spread = dealt.select("crowd", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("crowd", "id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, component = table["own"].to_numpy(), np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        size = table["size"].to_numpy().astype(np.int64)
+        flat = np.concatenate([chunk.flatten().to_numpy() for chunk in table["shingles"].chunks])
+        root = least_joined(len(size), *_links(own, component, size, flat, percent))
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": table["id"].take(pa.array(root[tied])), "b": table["id"].take(pa.array(tied))})
+
+    # A fixed number of partitions: two blocks are few bytes but much work, so
+    # they must not be put together by size.
+    slots = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = spread.join(sets, "id").select("crowd", "low", "high", "own", "id", "component", "size", "shingles")
+    compared = held.repartition(slots, "crowd", "low", "high").groupBy("crowd", "low", "high")
+    return compared.applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 def _part() -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
 
@@ -192,8 +265,15 @@ def linked_classes(postings: DataFrame, sets: DataFrame, percent: int) -> DataFr
     tied = write_through(confirmed(centre_pairs(postings.withColumn("component", F.col("id"))), sets, percent))
     known = write_through(components(tied, "a", "b"))
     open_classes = write_through(open_postings(postings, known).select("id", "component").distinct())
-    found = write_through(confirmed(rare_pairs(open_classes, sets, percent), sets, percent))
-    return write_through(components(tied.union(found), "a", "b"))
+    posted = write_through(rare_postings(open_classes, sets, percent))
+    met = posted.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
+    met = write_through(met.select("shingle", "n"))
+    few = write_through(posted.join(met.where(F.col("n") <= FEW), "shingle").drop("n"))
+    crowded = write_through(posted.join(met.where(F.col("n") > FEW), "shingle").drop("n"))
+    tied = tied.union(write_through(confirmed(rare_pairs(few, percent), sets, percent)))
+    if not crowded.isEmpty():
+        tied = tied.union(write_through(joined_in_blocks(crowded, sets, percent)))
+    return write_through(components(tied, "a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:

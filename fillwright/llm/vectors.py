@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fillwright.session import write_through
 
-from .components import linked_components
+from .components import least_joined, linked_components
 from .words import mix, signed
 
 COSINE = 0.98
@@ -163,17 +163,7 @@ def _least_linked(unit: np.ndarray, cosine: float) -> np.ndarray:
         row, other = np.nonzero(unit[at : at + _ROWS] @ unit.T >= cosine)
         upper = other > row + at
         near.append(np.stack([row[upper] + at, other[upper]]))
-    one, two = np.concatenate(near, axis=1)
-    label = np.arange(n)
-    while len(one):
-        # the roots are tied, so that all rows below them follow
-        first, second = label[one], label[two]
-        np.minimum.at(label, np.maximum(first, second), np.minimum(first, second))
-        while (label[label] != label).any():
-            label = label[label]
-        apart = label[one] != label[two]
-        one, two = one[apart], two[apart]
-    return label
+    return least_joined(n, *np.concatenate(near, axis=1))
 
 
 def joined_in_blocks(postings: DataFrame, classes: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:

@@ -645,3 +645,40 @@ def test_a_class_of_very_many_copies_is_dealt_to_parts(spark):
     assert [r.least for r in got if r.least == r.class_id and r.set_b == 2] == [5]
     rows = many.where("set_b = 2").groupBy(minhash._part()).count().agg(F.max("count")).first()[0]
     assert rows < 50_000 / minhash.PARTS * 3
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 1 << 13])
+def test_alike_but_unlinked_texts_write_no_pairs(spark, monkeypatch, block):
+    base = words(200, 21).split(" ")
+    r = random.Random(22)
+    rows = []
+    for i in range(500):
+        text = list(base)
+        for _ in range(r.choice((2, 4, 4, 4))):
+            text[r.randrange(len(text))] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, confirm = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *a: seen.append(pairs.count()) or confirm(pairs, *a))
+    monkeypatch.setattr(minhash.joined_in_blocks, "__defaults__", (block,))
+    # no centre in the first round, so that all classes are open
+    monkeypatch.setattr(minhash, "centre_pairs", lambda postings: postings.where("false").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    got = sorted(tuple(x) for x in minhash.near_duplicates(frame).collect())
+    assert got == sorted(brute.near_duplicates(rows))
+    # all pairs would be 124,750
+    assert sum(seen) < 16 * len(rows)
+
+
+def test_links_are_those_of_the_sets():
+    r = np.random.default_rng(3)
+    sets = [np.unique(np.append(np.flatnonzero(r.random(40) < 0.8), r.integers(0, 10**6, 3))) for _ in range(90)] + [np.zeros(0, int)]
+    size, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+    component = r.integers(0, 40, len(sets))
+    for own in (np.zeros(len(sets), int), r.integers(0, 2, len(sets))):
+        want = set()
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                if own[i] == own.min() and own[j] == own.max() and component[i] != component[j] and 100 * both >= 60 * (len(a) + len(b) - both):
+                    want.add((i, j))
+        assert want and set(zip(*map(np.ndarray.tolist, minhash._links(own, component, size, flat, 60)))) == want
