@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from fillwright.functions.text import _col
 
+# Bytes or ids that a worker turns at once, whatever the size of the Arrow batch.
+CHUNK = 1 << 20
 IGNORED_INDEX = -100  # fixed value: label of positions the loss leaves out
 
 
@@ -64,11 +66,22 @@ def _byte_text(ids: Column) -> Column:
     return F.make_valid_utf8(F.encode(chars, "ISO-8859-1").cast("string"))
 
 
+def _pieces(rows: pa.Array, lengths: pa.Array) -> Iterator[pa.Array]:
+    """Slices of an array whose ``lengths`` add up to ``CHUNK`` at most, or one row."""
+    import numpy as np
+
+    ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = before = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+        yield rows.slice(at, upto - at)
+        at, before = upto, int(ends[upto - 1])
+
+
 def _arrow_byte_functions() -> tuple[Callable, Callable]:
-    """The same two functions as one numpy cast per Arrow batch, no row loop."""
+    """The same two functions as one numpy cast per piece of an Arrow batch, no row loop."""
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def widen(data: pa.Array) -> pa.Array:
+    def widened(data: pa.Array) -> pa.Array:
         import numpy as np
 
         data = data.cast(pa.large_binary())
@@ -78,8 +91,7 @@ def _arrow_byte_functions() -> tuple[Callable, Callable]:
         starts = pa.array(at - at[0]).cast(pa.int32())
         return pa.ListArray.from_arrays(starts, pa.array(raw.astype(np.int32)), mask=data.is_null())
 
-    @F.arrow_udf(T.BinaryType())
-    def narrow(ids: pa.Array) -> pa.Array:
+    def narrowed(ids: pa.Array) -> pa.Array:
         import numpy as np
         import pyarrow.compute as pc
 
@@ -91,6 +103,19 @@ def _arrow_byte_functions() -> tuple[Callable, Callable]:
         data = pa.Array.from_buffers(pa.binary(), len(ids), buffers)
         return pc.if_else(ids.is_null(), pa.scalar(None, pa.binary()), data)
 
+    # ids are four times their text, so a batch is given back piece by piece
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def widen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow.compute as pc
+
+        for data in batches:
+            yield from map(widened, _pieces(data, pc.binary_length(data)))
+
+    @F.arrow_udf(T.BinaryType())
+    def narrow(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in batches:
+            yield from map(narrowed, _pieces(ids, ids.value_lengths()))
+
     return (
         lambda text, limit: widen(_utf8(text, limit)),
         lambda ids: F.make_valid_utf8(narrow(ids).cast("string")),

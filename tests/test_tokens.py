@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,18 @@ def test_special_ids_have_no_bytes(spark, arrow):
     df = spark.createDataFrame([([256, 97, 98, 257],)], "ids array<int>")
     tokens = tk.byte_tokenizer(arrow=arrow)
     assert df.select(tk.decode("ids", tokens, skip_special=False)).first()[0] == "ab"
+
+
+def test_a_batch_of_ids_is_given_back_in_pieces(spark):
+    ids, text = tk._arrow_byte_functions()
+    widen, narrow = (next(c.cell_contents.func for c in f.__closure__ if hasattr(c.cell_contents, "func")) for f in (ids, text))
+    rows = [b"", None, b"ab" * tk.CHUNK, *[b"x" * 3000] * 1000, None]
+    made = list(widen(iter([pa.array(rows, pa.binary()), pa.array([], pa.binary())])))
+    assert pa.chunked_array(made).to_pylist() == [None if r is None else list(r) for r in rows]
+    assert all(len(piece) == 1 or len(piece.flatten()) <= tk.CHUNK for piece in made)
+    back = list(narrow(iter([pa.concat_arrays(made)])))
+    assert pa.chunked_array(back).to_pylist() == rows
+    assert len(back) > 3
+    frame = spark.createDataFrame([(i, None if r is None else r.decode()) for i, r in enumerate(rows)], "i int, text string").coalesce(1)
+    got = frame.select("i", tk.encode("text", ARROW).alias("ids"), "text").select("i", F.size("ids"), tk.decode("ids", ARROW).eqNullSafe(F.col("text"))).collect()
+    assert sorted(tuple(x) for x in got) == [(i, None if r is None else len(r), True) for i, r in enumerate(rows)]
