@@ -82,19 +82,18 @@ def complete(
         for batch in batches:
             # a single column comes bare, several as a tuple
             arrays = batch if isinstance(batch, tuple) else (batch,)
-            columns = [a.to_pylist() for a in arrays]
-            out = []
-            for at in range(0, len(columns[0]), batch_rows):
-                part = [c[at : at + batch_rows] for c in columns]
+            # texts become Python's one part at a time, and its answers leave with it
+            for at in range(0, len(arrays[0]), batch_rows):
+                part = [a.slice(at, batch_rows).to_pylist() for a in arrays]
                 try:
-                    out.extend((text, None) for text in call(part))
+                    out = [(text, None) for text in call(part)]
                 except Exception:
                     if on_error == "fail":
                         raise
-                    out.extend(one_by_one(part))
-            texts = pa.array([text for text, _ in out], pa.string())
-            errors = pa.array([error for _, error in out], pa.string())
-            yield pa.StructArray.from_arrays([texts, errors], ["completion", "error"])
+                    out = list(one_by_one(part))
+                texts = pa.array([text for text, _ in out], pa.string())
+                errors = pa.array([error for _, error in out], pa.string())
+                yield pa.StructArray.from_arrays([texts, errors], ["completion", "error"])
 
     # marked so that a filter on the outcome does not run the function again
     job = run.asNondeterministic()

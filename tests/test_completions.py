@@ -274,3 +274,17 @@ def test_no_batch_is_cut_at_an_arrow_border(spark):
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
         assert len(got) == 300 and all(r.completion == str(counted[r.batch_id]) for r in got)
+
+
+def test_texts_of_a_batch_become_python_texts_part_by_part(spark):
+    def make():
+        import tracemalloc
+
+        tracemalloc.start()
+        return lambda prompts: [str(tracemalloc.get_traced_memory()[1])] * len(prompts)
+
+    rows = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("x"), 5000).alias("prompt"))
+    done = cp.complete(rows, make).select("id", F.col("completion").cast("long").alias("held")).collect()
+    assert sorted(r.id for r in done) == list(range(4000))
+    # the batch is 20 MB as it arrives, and 64 of its texts are 0.3 MB
+    assert max(r.held for r in done) < 30_000_000
